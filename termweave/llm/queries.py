@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termweave.llm import packing, token_count, urlfilter
+from termweave.llm import neardup, packing, token_count, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_near_dedup": neardup.op1_near_dedup,
         "op6_token_counts": token_count.op6_token_counts,
         "op7_url_filter": urlfilter.op7_url_filter,
         "op9_packing": packing.op9_packing,
