@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termweave.llm.shared import Words, dropped, mixed, shingles, stored, text_chunks
+from termweave.llm.shared import Words, dropped, fresh, mixed, shingles, stored, text_chunks
 
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 4
@@ -264,9 +264,10 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     A row without words stays; of rows with equal doc_id and text one stays.
     """
-    row = F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text"))
-    keep = near_duplicates(docs).filter("keep").select(F.xxhash64("doc_id", "content").alias("_row")).distinct()
-    return docs.withColumn("_row", row).join(keep, "_row").dropDuplicates(["_row"]).drop("_row")
+    row = fresh(docs, "_row")
+    keep = near_duplicates(docs).filter("keep").select(F.xxhash64("doc_id", "content").alias(row)).distinct()
+    marked = docs.withColumn(row, F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    return marked.join(keep, row).dropDuplicates([row]).drop(row)
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termweave.llm import neardup, packing, token_count, urlfilter
+from termweave.llm import linededup, neardup, packing, token_count, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_near_dedup": neardup.op1_near_dedup,
         "op6_token_counts": token_count.op6_token_counts,
         "op7_url_filter": urlfilter.op7_url_filter,
+        "op8_substring_dedup": linededup.op8_substring_dedup,
         "op9_packing": packing.op9_packing,
     }
 

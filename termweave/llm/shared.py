@@ -173,3 +173,20 @@ def shingles(words: Words, width: int = 5, hashes: np.ndarray | None = None) ->
         order = np.argsort(rows, kind="stable")
         out, rows = out[order], rows[order]
     return out, rows
+
+
+def running_spans(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run values[start:end] of 64-bit numbers."""
+    up, down = _powers_to(len(values))
+    sums = np.empty(len(values) + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum(values * up[: len(values)], out=sums[1:])
+    return mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
