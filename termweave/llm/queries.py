@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termweave.llm import linededup, neardup, packing, token_count, urlfilter
+from termweave.llm import linededup, neardup, packing, quality, token_count, toxicity, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_dedup": neardup.op1_near_dedup,
+        "op4_toxicity": toxicity.op4_toxicity,
         "op6_token_counts": token_count.op6_token_counts,
         "op7_url_filter": urlfilter.op7_url_filter,
         "op8_substring_dedup": linededup.op8_substring_dedup,
         "op9_packing": packing.op9_packing,
+        "op10_quality": quality.op10_quality,
     }
 
 
