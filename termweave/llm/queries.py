@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termweave.llm import linededup, neardup, packing, quality, token_count, toxicity, urlfilter
+from termweave.llm import linededup, neardup, packing, quality, token_count, topk, toxicity, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_dedup": neardup.op1_near_dedup,
         "op4_toxicity": toxicity.op4_toxicity,
+        "op5_exact_topk": topk.op5_exact_topk,
         "op6_token_counts": token_count.op6_token_counts,
         "op7_url_filter": urlfilter.op7_url_filter,
         "op8_substring_dedup": linededup.op8_substring_dedup,
@@ -22,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filter": urlfilter.OP7_SQL}
+    return {"op5_exact_topk": topk.OP5_SQL, "op7_url_filter": urlfilter.OP7_SQL}
