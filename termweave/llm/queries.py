@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termweave.llm import decontaminate, linededup, neardup, packing, quality, token_count, topk, toxicity, urlfilter
+from termweave.llm import decontaminate, linededup, lm, neardup, packing, quality, token_count, topk, toxicity, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_dedup": neardup.op1_near_dedup,
         "op2_decontaminate": decontaminate.op2_decontaminate,
+        "op3_lm_scores": lm.op3_lm_scores,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_exact_topk": topk.op5_exact_topk,
         "op6_token_counts": token_count.op6_token_counts,
