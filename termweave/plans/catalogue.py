@@ -1,11 +1,16 @@
-"""Queries of the library over the driver's tables, with their SQL."""
+"""All queries of the library outside the llm folder, with their SQL."""
 
 from __future__ import annotations
 
+from termweave.plans import graph_catalogue, text_catalogue
+from termweave.plans.text_catalogue import similar_documents
 
-def queries():
-    return {}
+__all__ = ["oracle_sql", "queries", "similar_documents"]
 
 
-def oracle_sql():
-    return {}
+def queries() -> dict:
+    return graph_catalogue.QUERIES | text_catalogue.QUERIES
+
+
+def oracle_sql() -> dict[str, str]:
+    return graph_catalogue.SQL | text_catalogue.SQL
