@@ -16,16 +16,19 @@ Embedder = Callable[[list[str]], np.ndarray]
 
 
 def hashed_ngram_embedder(dims: int = 128, n: int = 3) -> Embedder:
-    """Vectors of hashed character n-grams; deterministic, no model needed."""
-    import zlib
-
+    """Vectors of hashed n-grams of bytes; deterministic, no model needed."""
     def embed(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dims))
-        for row, t in zip(out, texts, strict=True):
-            t = f" {t.lower()} "
-            for i in range(max(1, len(t) - n + 1)):
-                h = zlib.crc32(t[i : i + n].encode())
-                row[h % dims] += 1 if h >> 31 else -1
+        data = [f" {t.lower()} ".encode() for t in texts]
+        size = np.array([len(d) for d in data], np.int64)
+        raw = np.frombuffer(b"".join(data), np.uint8).astype(np.uint64)
+        row = np.repeat(np.arange(len(data)), size)
+        at = np.flatnonzero(np.arange(len(raw)) + n <= np.cumsum(size)[row]) if len(raw) else np.zeros(0, int)
+        h = np.zeros(len(at), np.uint64)
+        for k in range(n):
+            h = (h ^ raw[at + k]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        place = row[at] * dims + (h % np.uint64(dims)).astype(np.int64)
+        out = np.bincount(place, np.where(h >> np.uint64(63), 1.0, -1.0), len(data) * dims).reshape(len(data), dims)
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
     return embed
