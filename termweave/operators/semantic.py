@@ -34,11 +34,17 @@ def hashed_ngram_embedder(dims: int = 128, n: int = 3) -> Embedder:
     return embed
 
 
-def candidates(text: Column, profile: P.TextProfile = P.UNICODE, most: int = 5000) -> Column:
-    """Distinct one- and two-word phrases of the text's start, without stopwords."""
+def candidates(docs: DataFrame, profile: P.TextProfile = P.UNICODE, most: int = 5000) -> DataFrame:
+    """(doc_id, text, phrases): distinct one- and two-word phrases of the text's start, without stopwords.
+
+    The words are a column of their own, so that they are found once a text.
+    """
     stop = F.array(*[F.lit(w) for w in profile.stopwords])
-    kept = F.filter(T.words(F.substring(text, 1, most)), lambda w: (F.length(w) >= 2) & ~F.array_contains(stop, w))
-    return F.array_distinct(F.concat(kept, T.ngrams(kept, 2)))
+    start = F.substring(T.some(F.col("text")), 1, most)
+    kept = F.filter(T.words(start), lambda w: (F.length(w) >= 2) & ~F.array_contains(stop, w))
+    words = docs.select("doc_id", start.alias("text"), kept.alias("kept"))
+    pairs = F.zip_with("kept", F.slice("kept", F.lit(2), F.greatest(F.size("kept") - 1, F.lit(0))), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b)))
+    return words.select("doc_id", "text", F.array_distinct(F.concat("kept", F.array_compact(pairs))).alias("phrases"))
 
 
 def diverse(doc: np.ndarray, phrases: np.ndarray, k: int, diversity: float) -> list[int]:
@@ -69,8 +75,7 @@ def ranked_phrases(docs: DataFrame, embed: Embedder | None = None, k: int = 25,
                 found.append([phrases[i] for i in picked])
             yield pd.DataFrame({"doc_id": part["doc_id"], "phrases": found})
 
-    inputs = docs.select("doc_id", F.substring(T.some(F.col("text")), 1, most).alias("text"), candidates(T.some(F.col("text")), profile, most).alias("phrases"))
-    return inputs.mapInPandas(run, "doc_id long, phrases array<string>")
+    return candidates(docs, profile, most).mapInPandas(run, "doc_id long, phrases array<string>")
 
 
 def without_redundant(phrases: Column, most: int = 10) -> Column:
