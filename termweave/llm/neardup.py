@@ -8,10 +8,11 @@ agree on all coordinates of some band become candidates, and each candidate
 pair that is linked has been verified: Jaccard similarity >= 0.8.
 
 Work is bounded by the number of texts, not of pairs.  Equal texts are one
-node.  In each band bucket the node that meets most others is compared with
-all members; nodes that are left apart lead in later rounds, against the
-members of other components, until every pair of different components that
-shares a bucket has been compared.  Components are found by contraction.
+node.  In each band bucket the node that meets most others is compared with all
+members, and components are found by contraction.  Where a bucket still holds
+several components, the nodes outside its largest one are compared with all its
+nodes of other components in blocks of a fixed size, so every pair of different
+components that shares a bucket has been compared.
 
 Defined results: one row per input row, with repeated rows in one class; the
 class id is the smallest doc_id of the class (null ids don't count); a null,
@@ -33,6 +34,8 @@ from termweave.llm.shared import Words, dropped, fresh, mixed, shingles, stored,
 
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 4
+BLOCK = 1024  # nodes of a bucket that meet as many others in one task
+BITS = 26  # of the bitmap that keeps unwanted texts back: 8 MB
 CHUNK = 2 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -132,19 +135,31 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, weighted:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node and its sorted shingle hashes (32 bits each) for the wanted (node, doc_id, content)."""
+    """node and its sorted shingle hashes (32 bits each) for the wanted (node, doc_id, content).
+
+    A bitmap of 2 ** BITS bits (so of a fixed size) over the wanted contents keeps
+    most other texts from being read by Python and shuffled; the join decides.
+    """
+    place = F.xxhash64("content").bitwiseAND((1 << BITS) - 1)
+    marks = wanted.select(F.shiftright(place, 15).alias("part"), place.bitwiseAND(32767).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    bitmap = np.zeros((1 << BITS) // 8, np.uint8)
+    for r in marks.collect():
+        bitmap[r["part"] << 12 : (r["part"] + 1) << 12] = np.frombuffer(r["bits"], np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, raw, at in text_chunks(batch, size=CHUNK):
+            at = batch.column(2).to_numpy()
+            some = np.flatnonzero(shared.value[at >> 3] >> (at & 7) & 1)
+            for part, raw, at in text_chunks(batch.take(pa.array(some)), size=CHUNK):
                 s, _, first, _, _ = shingle_sets(raw, at)
                 small = (s >> np.uint64(32)).astype(np.uint32)
                 out = [np.unique(small[a:b]).tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary())], names=["node", "set"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.binary())], names=["doc_id", "content", "set"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("content"), "text")
-    found = texts.join(wanted, (texts.doc_id.eqNullSafe(wanted.doc_id)) & (texts.content == wanted.content)).select("node", "text")
-    return found.mapInArrow(run, "node binary, set binary").dropDuplicates(["node"])
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("content"), "text").select("doc_id", "content", place.alias("place"), "text")
+    found = texts.mapInArrow(run, "doc_id long, content long, set binary").withColumn("own", F.xxhash64("doc_id", "content"))
+    return found.join(wanted.select("node", F.xxhash64("doc_id", "content").alias("own")), "own").select("node", "set").dropDuplicates(["node"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -197,10 +212,48 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def _candidates(members: DataFrame, leaders: DataFrame) -> DataFrame:
-    """Pairs of each bucket's leaders with its members of other components, once each."""
-    met = members.join(leaders, "key").filter("label <> leader_label")
-    return met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+def _block_links(waiting: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) between different components of each bucket of (key, node, label).
+
+    All nodes outside a bucket's largest component meet all nodes of the bucket
+    in other components, in blocks of BLOCK by BLOCK nodes: a block's items are
+    indexed, and a node's common items with all nodes of the block are counted
+    at once, so no pair becomes a row unless it is a link.
+    """
+    sizes = waiting.groupBy("key", "label").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all")).select("key", F.col("top.label").alias("main"), "all", (F.col("all") - F.col("top.n")).alias("few"))
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    rows = waiting.join(largest, "key").join(sets, "node").withColumn("spread", F.xxhash64("node"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    asking = rows.filter("label <> main").select("key", F.pmod("spread", blocks("few")).alias("p"), every("all").alias("q"), "node", "label", "set")
+    own = [F.col(c).alias(c + "2") for c in ("key", "node", "label", "set")]
+    asked = rows.select(*own, every("few").alias("p2"), F.pmod("spread", blocks("all")).alias("q2"))
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        held = [np.frombuffer(x.as_buffer(), np.uint32) for x in right.column("set2").combine_chunks()] if right.num_rows else []
+        items = np.concatenate(held) if held else np.zeros(0, np.uint32)
+        size = np.array([len(x) for x in held], np.int64)
+        order = np.argsort(items, kind="stable")
+        owner, items = np.repeat(np.arange(len(held)), size)[order], items[order]
+        labels, nodes = np.array(right.column("label2").to_pylist(), object), right.column("node2").to_pylist()
+        a, b = [], []
+        for node, label, x in zip(left.column("node").to_pylist(), left.column("label").to_pylist(), left.column("set"), strict=True):
+            x = np.frombuffer(x.as_buffer(), np.uint32)
+            lo, hi = np.searchsorted(items, x, "left"), np.searchsorted(items, x, "right")
+            n = hi - lo
+            both = np.bincount(owner[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(held))
+            for k in np.flatnonzero((both >= least * (len(x) + size - both) - 1e-9) & (labels != label)).tolist():
+                a.append(min(node, nodes[k]))
+                b.append(max(node, nodes[k]))
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return asking.groupBy("key", "p", "q").cogroup(asked.groupBy("key2", "p2", "q2")).applyInArrow(meet, "a binary, b binary").distinct()
+
+
+def _torn(rows: DataFrame) -> DataFrame:
+    """The rows of buckets that hold more than one component."""
+    torn = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
+    return rows.join(torn, "key")
 
 
 def links_of(docs: DataFrame, signed: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame | None]:
@@ -216,35 +269,18 @@ def links_of(docs: DataFrame, signed: DataFrame, least: float = SIMILARITY) -> t
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "one.doc_id", "one.content")
     sets = stored(_sets(docs, wanted), "sets")
     leaders = stored(members.groupBy("key").agg(F.max(F.struct("popular", "node")).alias("top")).select("key", F.col("top.node").alias("leader")), "leaders")
-    alone = members.withColumn("label", F.col("node"))
-    pairs = _candidates(alone, leaders.withColumn("leader_label", F.col("leader")))
+    pairs = members.join(leaders, "key").filter("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
     links = stored(_verified(pairs, sets, least), "links")
     labels = components(links)
-    led, many = leaders.select("key", F.col("leader").alias("node")), 4
-    while True:
-        placed = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-        waiting = placed.join(led, ["key", "node"], "left_anti")
-        torn = waiting.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
-        waiting = stored(waiting.join(torn, "key"), "waiting")
-        if waiting.isEmpty():
-            break
-        # small components first: a large one is met by each of them
-        sizes = waiting.groupBy("key", "label").agg(F.count("*").alias("n"))
-        lead = (
-            waiting.join(sizes, ["key", "label"])
-            .groupBy("key", F.pmod(F.xxhash64("node"), F.lit(many)).alias("salt"))
-            .agg(F.min(F.struct("n", "node", "label")).alias("top"))
-            .select("key", F.col("top.node").alias("leader"), F.col("top.label").alias("leader_label"))
-        )
-        lead = stored(lead, "leaders")
-        more = stored(_verified(_candidates(waiting, lead), sets, least), "links")
+    placed = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    waiting = stored(_torn(placed.join(leaders.withColumnRenamed("leader", "node"), ["key", "node"], "left_anti")), "waiting")
+    more = stored(_block_links(waiting, sets, least), "links")
+    if not more.isEmpty():
         links = links.union(more)
-        if not more.isEmpty():
-            labels = components(links)
-        led = led.union(lead.select("key", F.col("leader").alias("node")))
-        many *= 4
-    for old in (sets, members):
+        labels = components(links)
+    for old in (members, leaders, waiting):
         dropped(old)
+    dropped(sets)
     return labels, links
 
 
