@@ -84,9 +84,9 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     """Sequence number and offset of each size, placed in the given order.
 
     counts[g]: open sequences with gap g.  Moving one from gap g to g - s
-    changes the sum of squares by 2 * (counts[g - s] - counts[g]) + 2, opening
-    a new one by 2 * counts[capacity - s] + 1 (a full one isn't counted).  Equal
-    changes go to the smaller gap.
+    changes the sum of squares by 2 * (counts[g - s] - counts[g]) + 2 (a full one
+    isn't counted).  Equal changes go to the smaller gap.  A new one is opened only
+    if no open one has room, for as few sequences as possible.
     """
     counts = np.zeros(capacity + 1, np.int64)
     stacks: list[list[int]] = [[] for _ in range(capacity + 1)]
@@ -94,7 +94,7 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     opened = 0
     for i, s in enumerate(sizes.tolist()):
         room = counts[s:capacity]
-        best, cost = -1, 0
+        best = -1
         if capacity - s:
             here = np.flatnonzero(room)
             if len(here):
@@ -103,9 +103,8 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
                 change = 2 * (after - room[here]) + 2
                 change[here == 0] = 1 - 2 * room[0] if room[0] else 0  # it closes
                 k = int(change.argmin())
-                best, cost = s + int(here[k]), int(change[k])
-        fresh = 2 * int(counts[capacity - s]) + 1 if s < capacity else 0
-        if best < 0 or fresh < cost:
+                best = s + int(here[k])
+        if best < 0:
             b, gap = opened, capacity
             opened += 1
         else:
