@@ -3,7 +3,8 @@ import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path[:0] = [os.path.dirname(HERE), HERE]
 os.environ["PYTHONPATH"] = os.pathsep.join([sys.path[0], os.environ.get("PYTHONPATH", "")])
 
 
@@ -18,30 +19,3 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
-
-
-SF = "/root/testdata/sf0.001"
-
-
-def canonical(value):
-    if isinstance(value, float):
-        return round(value, 6)
-    if isinstance(value, (list, tuple)):
-        return tuple(canonical(v) for v in value)
-    return float(value) if type(value).__name__ == "Decimal" else value
-
-
-def same_as_sql(df, sql, sf_dir=SF):
-    """Asserts that df and the SQL over the same tables give equal rows."""
-    import duckdb
-
-    con = duckdb.connect()
-    for name in os.listdir(sf_dir):
-        con.execute(f"create view {name.removesuffix('.parquet')} as select * from '{sf_dir}/{name}'")
-    rel = con.sql(sql)
-    columns = sorted(df.columns)
-    assert columns == sorted(rel.columns)
-    at = [rel.columns.index(c) for c in columns]
-    ours = sorted(repr(tuple(canonical(r[c]) for c in columns)) for r in df.collect())
-    theirs = sorted(repr(tuple(canonical(r[i]) for i in at)) for r in rel.fetchall())
-    assert ours == theirs

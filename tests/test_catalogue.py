@@ -1,5 +1,5 @@
 import pytest
-from conftest import SF, same_as_sql
+from helpers import SF, same_as_sql
 
 from termweave.plans import catalogue
 
