@@ -6,7 +6,7 @@ null text counts as an empty one.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termweave.functions import profiles as P
@@ -214,3 +214,13 @@ def display_text(annotation: Column, summary: Column) -> Column:
 
 def badges(author: Column, other: Column, n: int = 5) -> Column:
     return F.when(F.size(author) > 0, F.slice(author, 1, n)).otherwise(F.slice(other, 1, n))
+
+
+def held(df: DataFrame, *keep: str, **columns: Column) -> DataFrame:
+    """df with computed columns that later steps read rather than compute again.
+
+    They come out of a one-row generator, which the optimizer neither merges with
+    later projections nor pushes filters through; otherwise each use of a place
+    would copy the search for it, and the plan would grow with every step.
+    """
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))

@@ -42,3 +42,32 @@ def _prf(df: DataFrame, hits: Column) -> DataFrame:
 def rouge_averages(scores: DataFrame, *by: str) -> DataFrame:
     """Macro averages; 0 where there is nothing to average."""
     return scores.groupBy(*by).agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in ("precision", "recall", "f1")])
+
+
+def summary_scores(pairs: DataFrame, lemma_of: DataFrame | None = None) -> DataFrame:
+    """(pair_id, mode, metric, precision, recall, f1) of (pair_id, cand, ref) texts.
+
+    Modes: raw words, and lemmas by the (token, lemma) table; metrics: rouge1,
+    rouge2, rougeL.
+    """
+    raw = T.held(pairs, "pair_id", cand=T.words(F.col("cand")), ref=T.words(F.col("ref")))
+    modes = [("raw", raw), ("lemmatized", raw if lemma_of is None else _lemmatized(raw, lemma_of))]
+    out = None
+    for mode, df in modes:
+        for metric, scored in (("rouge1", rouge_n(df, 1)), ("rouge2", rouge_n(df, 2)), ("rougeL", rouge_l(df))):
+            one = scored.select("pair_id", F.lit(mode).alias("mode"), F.lit(metric).alias("metric"), "precision", "recall", "f1")
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _lemmatized(pairs: DataFrame, lemma_of: DataFrame) -> DataFrame:
+    """Token arrays with each token replaced by its lemma, in order."""
+
+    def side(c: str) -> DataFrame:
+        each = pairs.select("pair_id", F.posexplode(c).alias("i", "token")).join(lemma_of.select("token", "lemma"), "token", "left")
+        words = F.array_sort(F.collect_list(F.struct("i", F.coalesce("lemma", "token").alias("w"))))
+        return each.groupBy("pair_id").agg(F.transform(words, lambda x: x["w"]).alias(c))
+
+    none = F.array().cast("array<string>")
+    both = pairs.select("pair_id").join(side("cand"), "pair_id", "left").join(side("ref"), "pair_id", "left")
+    return both.select("pair_id", F.coalesce("cand", none).alias("cand"), F.coalesce("ref", none).alias("ref"))

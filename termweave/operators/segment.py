@@ -88,37 +88,40 @@ def segmented(texts: DataFrame, language_gate: bool = True) -> DataFrame:
     reason; the language gate may be left out.
     """
     t = F.col("t")
-    step = texts.select("filename", T.join_hyphens(F.col("full_text")).alias("t"))
-    step = step.withColumns({
-        "n": F.length(t), "ru_a": _at(t, "\\bаннотация\\b"), "ru_k": _at(t, "\\bключевые\\s+слова\\b"), "en_a": _at(t, "\\babstract\\b"), "en_k": _at(t, "\\bkeywords\\b|\\bkey\\s+words\\b"),
-        "ru_k_len": F.length(F.regexp_extract(t, "(?iU)\\bключевые\\s+слова\\b", 0)), "en_k_len": F.length(F.regexp_extract(t, "(?iU)\\bkeywords\\b|\\bkey\\s+words\\b", 0)),
-    })
+    step = T.held(texts, "filename", t=T.join_hyphens(F.col("full_text")))
+    step = T.held(
+        step, "filename", "t",
+        n=F.length(t), ru_a=_at(t, "\\bаннотация\\b"), ru_k=_at(t, "\\bключевые\\s+слова\\b"), en_a=_at(t, "\\babstract\\b"), en_k=_at(t, "\\bkeywords\\b|\\bkey\\s+words\\b"),
+        ru_k_len=F.length(F.regexp_extract(t, "(?iU)\\bключевые\\s+слова\\b", 0)), en_k_len=F.length(F.regexp_extract(t, "(?iU)\\bkeywords\\b|\\bkey\\s+words\\b", 0)),
+    )
     c = F.col
     is_a = (c("ru_a") > 0) & (c("ru_k") > 0) & (c("ru_a") - 1 > 0.5 * c("n")) & (c("en_a") > 0) & (c("en_a") - 1 < 0.3 * c("n"))
     is_b = (c("ru_a") > 0) & (c("ru_k") > c("ru_a"))
     is_c = (c("en_a") > 0) & (c("en_k") > c("en_a"))
-    step = step.withColumn("template", F.when(is_a, "A").when(is_b, "B").when(is_c, "C").otherwise("D"))
+    step = T.held(step, *step.columns, template=F.when(is_a, "A").when(is_b, "B").when(is_c, "C").otherwise("D"))
     k = c("template")
     # where the search for the body begins (1-based places)
     from_a = F.when(c("en_k") > 0, c("en_k") + c("en_k_len")).otherwise(c("en_a") + 100)
     body_a = F.coalesce(_after(t, BODY_ENGLISH, from_a), _newline(t, from_a + 100, from_a + 100))
     body_b = F.coalesce(_after(t, BODY_STANDARD, c("ru_k")), _newline(t, c("ru_k") + 150, c("ru_k") + 150))
     end_c = _newline(t, c("en_k") + 100, c("en_k") + 200)
-    step = step.withColumn("body", F.when(k == "A", body_a).when(k == "B", body_b).when(k == "C", end_c).otherwise(F.lit(1)))
+    step = T.held(step, *step.columns, body=F.when(k == "A", body_a).when(k == "B", body_b).when(k == "C", end_c).otherwise(F.lit(1)))
     keys_a = F.coalesce(_after(t, AFTER_KEYWORDS, c("ru_k")), _newline(t, c("ru_k") + 150, c("ru_k") + 150))
-    step = step.withColumns({
-        "keys_end": F.when(k == "A", keys_a).otherwise(c("body")),
-        "body_end": F.when(k == "A", c("ru_a")).when(k == "B", F.coalesce(_after(t, HEADINGS_REFERENCES, c("body")), c("n") + 1)).when(k == "C", F.coalesce(_after(t, HEADINGS_SHORT, c("body")), c("n") + 1)).otherwise(F.coalesce(_after(t, HEADINGS_SHORT, F.lit(0)), c("n") + 1)),
-    })
+    step = T.held(
+        step, *step.columns,
+        keys_end=F.when(k == "A", keys_a).otherwise(c("body")),
+        body_end=F.when(k == "A", c("ru_a")).when(k == "B", F.coalesce(_after(t, HEADINGS_REFERENCES, c("body")), c("n") + 1)).when(k == "C", F.coalesce(_after(t, HEADINGS_SHORT, c("body")), c("n") + 1)).otherwise(F.coalesce(_after(t, HEADINGS_SHORT, F.lit(0)), c("n") + 1)),
+    )
     block = F.when(k.isin("A", "C"), T.strip(F.substring(t, F.lit(1), c("en_a") - 1))).when(k == "B", T.strip(F.substring(t, F.lit(1), c("ru_a") - 1))).otherwise(F.substring(t, 1, 500))
     raw_abstract = F.when(k == "A", _between(t, c("ru_a") + 9, c("ru_k"))).when(k == "B", _between(t, c("ru_a") + 9, c("ru_k"))).when(k == "C", _between(t, c("en_a") + 8, c("en_k"))).otherwise(F.lit(""))
     raw_keys = F.when(k.isin("A", "B"), _between(t, c("ru_k") + c("ru_k_len"), c("keys_end"))).when(k == "C", _between(t, c("en_k") + c("en_k_len"), c("keys_end"))).otherwise(F.lit(""))
     raw_body = T.strip(_between(t, c("body"), c("body_end")))
     body = F.when(k == "A", _recut(raw_body, "introduction")).when(k == "B", _recut(raw_body, "введение")).otherwise(raw_body)
-    out = step.select(
-        "filename", "template", title_of(block, c("filename")).alias("title"), authors_of(block).alias("authors"),
-        T.squeeze_spacing(_lead(raw_abstract)).alias("annotation"), F.when(k == "D", F.array().cast("array<string>")).otherwise(T.keyword_list(_lead(raw_keys))).alias("keywords"),
-        T.squeeze_spacing(body).alias("main_text"), F.length(t).alias("n"),
+    step = T.held(step, "filename", "template", "n", block=block, raw_abstract=_lead(raw_abstract), raw_keys=_lead(raw_keys), raw_body=body)
+    out = T.held(
+        step, "filename", "template", "n",
+        title=title_of(c("block"), c("filename")), authors=authors_of(c("block")), annotation=T.squeeze_spacing(c("raw_abstract")),
+        keywords=F.when(k == "D", F.array().cast("array<string>")).otherwise(T.keyword_list(c("raw_keys"))), main_text=T.squeeze_spacing(c("raw_body")),
     )
     short = F.substring("title", 1, 50)
     reason = (
