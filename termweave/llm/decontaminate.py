@@ -30,14 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termweave.llm.shared import Words, mixed, span_sums, text_chunks
+from termweave.llm.shared import Words, bounded, mixed, span_sums, text_chunks
 
 WINDOW, STRIDE = 32, 16
 RANK, EXTRA, ROUNDS = 96, 16, 4
 COSINE, LCS, ANSWER = 0.4, 0.6, 0.5
 BLOCK = 4_000  # benchmark items handled (and broadcast) at once
 SLICES = 8  # partial sums of the subspace iteration
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 _MARK = np.zeros(256, bool)
 _MARK[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
@@ -272,7 +272,7 @@ def matches(items: Items, raw: np.ndarray, at: np.ndarray) -> list[tuple[int, in
 
 def prepared(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> list[Items]:
     """The benchmark's blocks, ready to be matched."""
-    spark = docs.sparkSession
+    spark = bounded(docs.sparkSession)
     usable = benchmark.filter("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     blocks = max(1, -(-usable.count() // block))
     out = []

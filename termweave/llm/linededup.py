@@ -28,7 +28,7 @@ from termweave.llm.shared import Words, fresh, running_spans, stored, text_chunk
 MIN_WORDS = 30  # a passage of over 50 words keeps as many if the sentences at its ends are cut
 SHORT = 4
 LAST = 2**63 - 1
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?"]] = True
 

@@ -36,7 +36,7 @@ WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 4
 BLOCK = 1024  # nodes of a bucket that meet as many others in one task
 BITS = 26  # of the bitmap that keeps unwanted texts back: 8 MB
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 

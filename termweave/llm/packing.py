@@ -29,7 +29,7 @@ MODEL = "word_bpe_49k.json"
 LENGTH = 4096
 END_ID = 1
 SHARD = 60_000  # pieces packed together; a shard's last open sequences are all the waste
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 

@@ -26,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termweave.llm.shared import Words, fresh, text_chunks
+from termweave.llm.shared import Words, bounded, fresh, text_chunks
 
 MAX_LABELLED, MAX_POOL = 20_000, 20_000
 ROUNDS, GROWTH, SURE = 5, 1_000, 0.98
 SET_ASIDE = 4  # one labelled document of so many calibrates
 KEEP = 0.5
 LANGS, SOURCES = 32, 128  # hash buckets
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 FEATURES = 30
 
 _KIND = np.zeros(256, np.int8)  # 1 lower 2 upper 3 digit 4 space 5 sentence mark 6 symbol
@@ -194,6 +194,7 @@ def feature_rows(docs: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> CoTrained:
+    bounded(docs.sparkSession)
     known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null")

@@ -7,6 +7,8 @@ reach that folder, so a lost executor costs only the tasks it was running.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 CHUNK_BYTES = 1 << 20
+BATCH_BYTES = 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,9 +32,24 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def bounded(spark: SparkSession) -> SparkSession:
+    """Makes Arrow batches small in bytes, so that long texts don't fill a worker's memory."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+    return spark
+
+
+def _give_back() -> None:
+    """Returns freed memory to the system: idle workers keep what they once used otherwise."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+    pa.default_memory_pool().release_unused()
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Writes df to the shared folder and returns a reader of it: lineage ends here."""
-    spark = df.sparkSession
+    spark = bounded(df.sparkSession)
     path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -70,6 +88,7 @@ def text_chunks(batch: pa.RecordBatch, column: str = "text", size: int = CHUNK_B
         last = min(max(last, first + 1), len(texts))
         yield batch.slice(first, last - first), raw[at[first] : at[last]], at[first : last + 1] - at[first]
         first = last
+    _give_back()
 
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -84,7 +103,7 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n + 1:
-        keep = n <= 4 * CHUNK_BYTES
+        keep = n <= 2 * CHUNK_BYTES + 65536
         out = []
         for base in (_BASE, _UNBASE):
             p = np.full(n + 1, base, np.uint64)

@@ -20,11 +20,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termweave.llm.bpe import PieceModel, piece_model
-from termweave.llm.shared import mixed, span_sums, text_chunks
+from termweave.llm.shared import bounded, mixed, span_sums, text_chunks
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 
 
 def model_path(name: str = MODEL) -> str:
@@ -58,6 +58,7 @@ def count_rows(model: PieceModel, raw: np.ndarray, at: np.ndarray) -> np.ndarray
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row of ``docs``."""
     path = path or model_path()
+    bounded(docs.sparkSession)
     out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

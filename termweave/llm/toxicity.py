@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termweave.llm.shared import Words, mixed, span_sums, text_chunks
+from termweave.llm.shared import Words, bounded, mixed, span_sums, text_chunks
 
 MAX_TRAIN = 6_000  # labelled documents the model is fitted on, at most
 BUCKETS, DIM = 1 << 17, 8
@@ -33,7 +33,7 @@ SHARP = 16.0  # of the soft maximum, reached by doubling from epoch to epoch
 EPOCHS, BATCH, RATE = 4, 16, 1.0
 SCALE = 16.0  # of a window's mean under the softmax: one telling word of a window suffices
 THRESHOLD = 0.3
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 
 def word_grams(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,6 +154,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> tuple[np.ndarr
 
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple[np.ndarray, float]:
     """Trains on the labelled documents outside the held-out quarter."""
+    bounded(docs.sparkSession)
     known = labels.filter("doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
