@@ -3,17 +3,19 @@
 Items and documents are cut into overlapping passages of words, weighted by
 TF-IDF over the words that items have (document frequencies come from all
 documents).  A randomised subspace iteration, run over the executors, finds the
-leading right singular vectors of the item passages; document passages that lie
+right singular vectors of the item passages; document passages that lie
 close enough to an item passage in that latent space (cosine) are candidates.
+The rank follows the passages: only directions that hold less than ``LOSS`` of
+any passage's squared norm are left out, and both sides of the cosine are
+normalised in the latent space, so a verbatim copy of a passage has a cosine of 1.
 A candidate counts if the longest common subsequence of the item's words and
 the text around the passage covers enough of the item, and enough of the item's
 answer (its last sentence) stands there too, so reworded copies are found.
 
-Term frequencies count by their square root, so the part of a passage's norm
-that item words make up is a difference of running sums.  The cosine can't
-exceed that part; passages below the threshold on this bound are left out
-before projection, which changes no result.  The benchmark is handled in blocks of ``BLOCK`` items,
-so what is broadcast is bounded whatever its size.
+Passages around which too few item words stand for any item's common
+subsequence are left out before projection, which changes no result.  The
+benchmark is read in blocks of ``BLOCK`` items and these are searched in blocks
+of ``PASSAGES`` passages, so what is broadcast is bounded whatever its size.
 
 Defined results: a null or empty text or item matches nothing; every row is
 judged, repeated rows alike; the query gives one row for each pair of doc_id and
@@ -33,9 +35,12 @@ from pyspark.sql import functions as F
 from termweave.llm.shared import Words, bounded, mixed, span_sums, text_chunks
 
 WINDOW, STRIDE = 32, 16
-RANK, EXTRA, ROUNDS = 96, 16, 4
+EXTRA, ROUNDS = 16, 4
+LOSS = 1e-4  # share of a passage's squared norm that the latent space may lack
 COSINE, LCS, ANSWER = 0.4, 0.6, 0.5
-BLOCK = 4_000  # benchmark items handled (and broadcast) at once
+BLOCK = 4_000  # benchmark items read (and counted) at once
+PASSAGES = 512  # item passages in one latent space, which bounds its rank
+BATCH = 512  # document passages projected at once
 SLICES = 8  # partial sums of the subspace iteration
 CHUNK = 1 << 20
 
@@ -108,6 +113,9 @@ class Items:
             self.words.append(w.tolist())
             self.answers.append(set((answer if len(answer) >= 3 else w).tolist()))
         self.owner = np.array(self.owner, np.int64)
+        sizes = [len(w) for w in self.words]
+        self.least = LCS * min(sizes, default=0)  # words of the block's shortest possible match
+        self.reach = max([WINDOW // 2 + STRIDE, *(n for n in sizes if n > WINDOW)])  # words looked at beside a passage
 
     def codes(self, h: np.ndarray) -> np.ndarray:
         """The vocabulary number of each word, -1 outside it."""
@@ -121,7 +129,6 @@ class Items:
 
     def weigh(self, df: np.ndarray, n: int) -> None:
         self.idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
-        self.rare = float(np.log(1 + n) + 1)  # of a word that no item has
 
     def rows(self, part: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """TF-IDF of passages, unit length: passage number, vocabulary number, weight."""
@@ -144,14 +151,16 @@ class Items:
         self.latent = z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
 
 
-def latent_basis(spark: SparkSession, items: Items, rank: int = RANK, seed: int = 3) -> np.ndarray:
-    """Leading right singular vectors of the item passages, by subspace iteration.
+def latent_basis(spark: SparkSession, items: Items, rank: int | None = None, seed: int = 3) -> np.ndarray:
+    """Right singular vectors of the item passages, by subspace iteration; without a
+    rank all that the passages need up to ``LOSS``.
 
     Each executor holds some passages A_i and returns A_i'(A_i Q); the driver
     adds the SLICES sums and makes them orthonormal.
     """
     n = len(items.vocab)
-    width = min(n, rank + EXTRA)
+    most = len(items.passages) if rank is None else rank
+    width = min(n, most + EXTRA)
     q = np.linalg.qr(np.random.default_rng(seed).normal(size=(n, width)))[0].astype(np.float32)
     shared = spark.sparkContext.broadcast(items)
     slices = spark.range(0, SLICES, 1, SLICES)
@@ -182,7 +191,10 @@ def latent_basis(spark: SparkSession, items: Items, rank: int = RANK, seed: int
         q = np.linalg.qr(image(q))[0].astype(np.float32)
     small = q.T @ image(q)
     values, turn = np.linalg.eigh((small + small.T) / 2)
-    return q @ turn[:, np.argsort(-values)[:rank]].astype(np.float32)
+    order = np.argsort(-values)[:most]
+    if rank is None:  # a unit passage's part in a direction is at most the singular value
+        order = order[: max(1, int((np.cumsum(np.maximum(values[order], 0)[::-1])[::-1] > LOSS).sum()))]
+    return q @ turn[:, order].astype(np.float32)
 
 
 def document_frequencies(docs: DataFrame, items: Items) -> tuple[np.ndarray, int]:
@@ -221,8 +233,7 @@ def matches(items: Items, raw: np.ndarray, at: np.ndarray) -> list[tuple[int, in
         return []
     code = items.codes(h)
     inside = code >= 0
-    weight = np.where(inside, items.idf[code], np.float32(0)).astype(np.float64)
-    own, rest = np.concatenate([[0], np.cumsum(weight * weight)]), np.concatenate([[0], np.cumsum(~inside)])
+    own = np.concatenate([[0], np.cumsum(inside)])
     n = np.diff(first)
     # passages start at every STRIDE-th word; the last of a row ends with it
     count = np.where(n > WINDOW, -(-(n - WINDOW) // STRIDE) + 1, (n > 0).astype(int))
@@ -230,12 +241,11 @@ def matches(items: Items, raw: np.ndarray, at: np.ndarray) -> list[tuple[int, in
     k = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
     start = first[row] + np.minimum(k * STRIDE, np.maximum(n[row] - WINDOW, 0))
     end = np.minimum(start + WINDOW, first[row + 1])
-    mine = own[end] - own[start]
-    rare = (rest[end] - rest[start]) * items.rare**2
-    many = np.flatnonzero((mine > 0) & (mine >= COSINE**2 * (mine + rare)))
+    around = own[np.minimum(end + items.reach, first[row + 1])] - own[np.maximum(start - items.reach, first[row])]
+    many = np.flatnonzero((own[end] > own[start]) & (around >= items.least))
     found: dict[tuple[int, int], tuple[float, float, float, int]] = {}
-    for lo in range(0, len(many), 4096):
-        w = many[lo : lo + 4096]
+    for lo in range(0, len(many), BATCH):
+        w = many[lo : lo + BATCH]
         length = end[w] - start[w]
         token = np.repeat(start[w] - np.cumsum(length) + length, length) + np.arange(length.sum())
         owner = np.repeat(np.arange(len(w)), length)
@@ -245,8 +255,8 @@ def matches(items: Items, raw: np.ndarray, at: np.ndarray) -> list[tuple[int, in
         owner, c = pair // len(items.vocab), pair % len(items.vocab)
         x = (np.sqrt(tf) * items.idf[c]).astype(np.float32)
         heads = np.searchsorted(owner, np.arange(len(w)))
-        size = np.sqrt(mine[w] + rare[w])
-        z = np.add.reduceat(items.basis[c] * x[:, None], heads, axis=0) / size[:, None]
+        z = np.add.reduceat(items.basis[c] * x[:, None], heads, axis=0)
+        z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
         cosines = z @ items.latent.T
         for i, p in zip(*(a.tolist() for a in np.nonzero(cosines >= COSINE)), strict=True):
             j, item = int(w[i]), int(items.owner[p])
@@ -278,11 +288,18 @@ def prepared(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> list[
     out = []
     for b in range(blocks):
         rows = usable.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
-        items = Items([r["item_id"] for r in rows], [r["text"] for r in rows])
-        if items.ids:
-            items.weigh(*document_frequencies(docs, items))
-            items.project(latent_basis(spark, items))
-            out.append(items)
+        whole = Items([r["item_id"] for r in rows], [r["text"] for r in rows])
+        if not whole.ids:
+            continue
+        df, n = document_frequencies(docs, whole)
+        group = np.cumsum([len(windows(len(r["text"].split()))) for r in rows]) // PASSAGES
+        for g in np.unique(group):
+            some = [r for r, of in zip(rows, group, strict=True) if of == g]
+            items = Items([r["item_id"] for r in some], [r["text"] for r in some])
+            if items.ids:
+                items.weigh(df[np.searchsorted(whole.vocab, items.vocab)], n)
+                items.project(latent_basis(spark, items))
+                out.append(items)
     return out
 
 
