@@ -4,7 +4,12 @@ Items and documents are cut into overlapping passages of words, weighted by
 TF-IDF over the words that items have (document frequencies come from all
 documents).  A randomised subspace iteration, run over the executors, finds the
 right singular vectors of the item passages; document passages that lie
-close enough to an item passage in that latent space (cosine) are candidates.
+close enough to an item passage in that latent space are candidates: by their
+cosine, or by the share of the item passage's weight that they hold.  Document
+passages are longer than item passages by their stride, so each item passage
+stands whole in one of them; a short item loses nothing by the text around it,
+and words that no item has need no weight, so results don't depend on them or
+on how many documents there are.
 The rank follows the passages: only directions that hold less than ``LOSS`` of
 any passage's squared norm are left out, and both sides of the cosine are
 normalised in the latent space, so a verbatim copy of a passage has a cosine of 1.
@@ -12,8 +17,9 @@ A candidate counts if the longest common subsequence of the item's words and
 the text around the passage covers enough of the item, and enough of the item's
 answer (its last sentence) stands there too, so reworded copies are found.
 
-Passages around which too few item words stand for any item's common
-subsequence are left out before projection, which changes no result.  The
+A common subsequence long enough needs a number of the item's rarer words
+(``KEYS`` of its words) near each other; passages without as many of any item
+are left out before projection, which changes no result.  The
 benchmark is read in blocks of ``BLOCK`` items and these are searched in blocks
 of ``PASSAGES`` passages, so what is broadcast is bounded whatever its size.
 
@@ -35,9 +41,11 @@ from pyspark.sql import functions as F
 from termweave.llm.shared import Words, bounded, mixed, span_sums, text_chunks
 
 WINDOW, STRIDE = 32, 16
+SPAN = WINDOW + STRIDE  # words of a document passage: any WINDOW of them stand whole in one
 EXTRA, ROUNDS = 16, 4
 LOSS = 1e-4  # share of a passage's squared norm that the latent space may lack
 COSINE, LCS, ANSWER = 0.4, 0.6, 0.5
+KEYS = 0.5  # share of an item's words, the rarest, that are looked up first
 BLOCK = 4_000  # benchmark items read (and counted) at once
 PASSAGES = 512  # item passages in one latent space, which bounds its rank
 BATCH = 512  # document passages projected at once
@@ -113,9 +121,8 @@ class Items:
             self.words.append(w.tolist())
             self.answers.append(set((answer if len(answer) >= 3 else w).tolist()))
         self.owner = np.array(self.owner, np.int64)
-        sizes = [len(w) for w in self.words]
-        self.least = LCS * min(sizes, default=0)  # words of the block's shortest possible match
-        self.reach = max([WINDOW // 2 + STRIDE, *(n for n in sizes if n > WINDOW)])  # words looked at beside a passage
+        self.reach = np.array([len(w) if len(w) > WINDOW else len(w) // 2 + STRIDE for w in self.words], np.int64)  # words looked at beside a passage
+        self.sets = [set(w) for w in self.words]
 
     def codes(self, h: np.ndarray) -> np.ndarray:
         """The vocabulary number of each word, -1 outside it."""
@@ -129,6 +136,42 @@ class Items:
 
     def weigh(self, df: np.ndarray, n: int) -> None:
         self.idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
+        keys, holders, self.need = [], [], np.zeros(len(self.words), np.int64)
+        for k, w in enumerate(self.words):
+            u, tf = np.unique(w, return_counts=True)
+            order = np.argsort(-self.idf[u], kind="stable")
+            held = np.cumsum(tf[order])
+            last = int(np.searchsorted(held, np.ceil(KEYS * len(w) - 1e-9)))
+            keys.append(u[order[: last + 1]])
+            holders.append(np.full(last + 1, k))
+            # words that a long enough subsequence has must be keys where the others run out
+            self.need[k] = np.ceil(LCS * len(w) - 1e-9) - (len(w) - held[last])
+        keys, holders = np.concatenate(keys) if keys else np.zeros(0, np.int64), np.concatenate(holders) if holders else np.zeros(0, np.int64)
+        order = np.argsort(keys, kind="stable")
+        self.holders = holders[order]
+        self.held = np.searchsorted(keys[order], np.arange(len(self.vocab) + 1))
+
+    def promising(self, code: np.ndarray, first: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """The passages (by their starts) near which enough keys of an item stand."""
+        at = np.flatnonzero(code >= 0)
+        n = self.held[code[at] + 1] - self.held[code[at]]
+        token = np.repeat(at, n)
+        item = self.holders[np.repeat(self.held[code[at]] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        order = np.argsort(item * (len(code) + 1) + token)
+        token, item = token[order], item[order]
+        head = np.arange(len(token))
+        tail = head + self.need[item] - 1
+        ok = tail < len(token)
+        head, tail = head[ok], tail[ok]
+        row = np.searchsorted(first, token, "right") - 1
+        ok = (item[head] == item[tail]) & (row[head] == row[tail]) & (token[tail] - token[head] < SPAN + 2 * self.reach[item[head]])
+        head, tail = head[ok], tail[ok]
+        reach = self.reach[item[head]]
+        lo = np.searchsorted(start, np.maximum(token[tail] - reach - SPAN, first[row[head]]))
+        hi = np.searchsorted(start, np.minimum(token[head] + reach, first[row[head] + 1] - 1), "right")
+        ok = hi > lo
+        marks = np.bincount(lo[ok], minlength=len(start) + 1) - np.bincount(hi[ok], minlength=len(start) + 1)
+        return np.flatnonzero(np.cumsum(marks)[: len(start)] > 0)
 
     def rows(self, part: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """TF-IDF of passages, unit length: passage number, vocabulary number, weight."""
@@ -149,6 +192,8 @@ class Items:
         z = np.zeros((len(self.passages), basis.shape[1]), np.float32)
         np.add.at(z, row, self.basis[col] * val[:, None])
         self.latent = z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
+        counts = [np.unique(p, return_counts=True) for p in self.passages]
+        self.size = np.sqrt([(tf * self.idf[c] ** 2).sum() for c, tf in counts]).astype(np.float32)  # before unit length
 
 
 def latent_basis(spark: SparkSession, items: Items, rank: int | None = None, seed: int = 3) -> np.ndarray:
@@ -236,13 +281,13 @@ def matches(items: Items, raw: np.ndarray, at: np.ndarray) -> list[tuple[int, in
     own = np.concatenate([[0], np.cumsum(inside)])
     n = np.diff(first)
     # passages start at every STRIDE-th word; the last of a row ends with it
-    count = np.where(n > WINDOW, -(-(n - WINDOW) // STRIDE) + 1, (n > 0).astype(int))
+    count = np.where(n > SPAN, -(-(n - SPAN) // STRIDE) + 1, (n > 0).astype(int))
     row = np.repeat(np.arange(len(n)), count)
     k = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    start = first[row] + np.minimum(k * STRIDE, np.maximum(n[row] - WINDOW, 0))
-    end = np.minimum(start + WINDOW, first[row + 1])
-    around = own[np.minimum(end + items.reach, first[row + 1])] - own[np.maximum(start - items.reach, first[row])]
-    many = np.flatnonzero((own[end] > own[start]) & (around >= items.least))
+    start = first[row] + np.minimum(k * STRIDE, np.maximum(n[row] - SPAN, 0))
+    end = np.minimum(start + SPAN, first[row + 1])
+    many = items.promising(code, first, start)
+    many = many[own[end[many]] > own[start[many]]]
     found: dict[tuple[int, int], tuple[float, float, float, int]] = {}
     for lo in range(0, len(many), BATCH):
         w = many[lo : lo + BATCH]
@@ -256,16 +301,17 @@ def matches(items: Items, raw: np.ndarray, at: np.ndarray) -> list[tuple[int, in
         x = (np.sqrt(tf) * items.idf[c]).astype(np.float32)
         heads = np.searchsorted(owner, np.arange(len(w)))
         z = np.add.reduceat(items.basis[c] * x[:, None], heads, axis=0)
-        z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
-        cosines = z @ items.latent.T
-        for i, p in zip(*(a.tolist() for a in np.nonzero(cosines >= COSINE)), strict=True):
+        size = np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
+        near = z @ items.latent.T
+        for i, p in zip(*(a.tolist() for a in np.nonzero(near >= COSINE * np.minimum(size, items.size))), strict=True):
             j, item = int(w[i]), int(items.owner[p])
             words = items.words[item]
-            lo_word = max(int(first[row[j]]), int(start[j]) - len(words) // 2 - STRIDE)
-            hi_word = min(int(first[row[j] + 1]), int(end[j]) + len(words) // 2 + STRIDE)
-            if len(words) > WINDOW:
-                lo_word, hi_word = max(int(first[row[j]]), int(start[j]) - len(words)), min(int(first[row[j] + 1]), int(end[j]) + len(words))
-            region = code[lo_word:hi_word].tolist()
+            reach = int(items.reach[item])
+            lo_word, hi_word = max(int(first[row[j]]), int(start[j]) - reach), min(int(first[row[j] + 1]), int(end[j]) + reach)
+            own_words = items.sets[item]
+            region = [c for c in code[lo_word:hi_word].tolist() if c in own_words]
+            if len(region) / len(words) < LCS:
+                continue
             share = common_subsequence(words, region) / len(words)
             if share < LCS:
                 continue
@@ -273,7 +319,7 @@ def matches(items: Items, raw: np.ndarray, at: np.ndarray) -> list[tuple[int, in
             told = len(answer & set(region)) / len(answer)
             if told < ANSWER:
                 continue
-            new = (float(cosines[i, p]), share, told, lo_word - int(first[row[j]]))
+            new = (float(near[i, p] / size[i, 0]), share, told, lo_word - int(first[row[j]]))
             key = (int(row[j]), item)
             if key not in found or (share, new[0]) > (found[key][1], found[key][0]):
                 found[key] = new

@@ -3,7 +3,6 @@
 import random
 
 import numpy as np
-from helpers import SF  # noqa: F401
 
 from termweave.llm import decontaminate
 
@@ -25,3 +24,25 @@ def test_copies_of_several_hundred_items(spark):
     docs += [(1000 + k, " ".join(words(rng, 150))) for k in range(200)]
     got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert {(r.doc_id, r.item_id) for r in got.collect()} == {(k, k) for k in range(160)}
+
+
+def test_short_items_at_every_corpus_size():
+    rng = random.Random(6)
+    common, rare = [f"c{k}" for k in range(40)], [f"r{k}" for k in range(400)]
+    short = [" ".join(rng.sample(common, 15)) for _ in range(3)]
+    others = [" ".join(rng.sample(rare, 30)) for _ in range(10)]
+    items = decontaminate.Items(list(range(13)), [*short, *others])
+    plain = set(decontaminate.plain_words(*encoded(common))[0].tolist())
+    texts = []
+    for k in range(60):  # a short item at every offset, among words of no item and of other items
+        around = [f"x{j}" for j in range(80)] if k % 2 else rng.sample(rare, 80)
+        texts.append(" ".join([*around[:k], short[k % 3], *around[k:]]))
+    for n in (100, 10_000, 10_000_000):
+        items.weigh(np.array([n // 3 if int(v) in plain else n // 100 for v in items.vocab]), n)
+        items.project(np.eye(len(items.vocab)))
+        assert {(r, i) for r, i, *_ in decontaminate.matches(items, *encoded(texts))} == {(k, k % 3) for k in range(60)}
+
+
+def encoded(texts):
+    data = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(d) for d in data])]).astype(np.int64)
