@@ -2,11 +2,16 @@
 
 Units are lines, cut further at sentence ends, since repeated passages also
 stand within lines.  A unit is normalised (A-Z lower-cased, white space
-squeezed) and digested; digests are counted over the whole corpus, and a unit
-is a repeat unless it stands in the document of smallest doc_id that has it,
-and first there.  Runs of repeated units with at least ``min_words`` words in
-all are removed; units of fewer than four words are too common to tell and
-join a run only between repeats.  Offsets are characters of the original text.
+squeezed) and digested.  As passages also begin and end within sentences, runs
+of ``GRAM`` words are pieces as well: of every ``SPREAD`` that follow each other
+the one of smallest digest, which two texts choose alike where they agree.
+Digests are counted over the whole corpus, and a piece is a repeat unless it
+stands in the document of smallest doc_id that has it, and first there.
+Repeated pieces that overlap or meet make a run, and runs of at least
+``min_words`` words are removed; units of fewer than four words are too common
+to tell and join a run only between repeats.  So at least n - 2 (SPREAD - 1) words
+go of any repeated passage of n >= GRAM + SPREAD - 1 words, wherever its
+sentences end.  Offsets are characters of the original text.
 
 Defined results: a null or empty text has no units; rows of one doc_id are one
 document, whose rows don't repeat each other; a null doc_id ranks last; equal
@@ -25,7 +30,8 @@ from pyspark.sql import functions as F
 
 from termweave.llm.shared import Words, fresh, running_spans, stored, text_chunks
 
-MIN_WORDS = 30  # a passage of over 50 words keeps as many if the sentences at its ends are cut
+MIN_WORDS = 30
+GRAM, SPREAD = 30, 11  # so 31 words or more of any repeated passage of over 50 words go
 SHORT = 4
 LAST = 2**63 - 1
 CHUNK = 1 << 20
@@ -49,36 +55,55 @@ def units_of(raw: np.ndarray, at: np.ndarray):
     return words, unit_row, np.arange(len(first)) - heads[unit_row], first, last
 
 
+def grams_of(words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and first word of each run of GRAM words that is a piece."""
+    n = len(hashes) - GRAM - SPREAD + 2
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.arange(len(hashes) - GRAM + 1)
+    digest = running_spans(hashes, at, at + GRAM)
+    row = words.row
+    whole = np.flatnonzero(row[:n] == row[GRAM + SPREAD - 2 :])
+    best = np.unique(whole + np.lib.stride_tricks.sliding_window_view(digest, SPREAD)[whole].argmin(1))
+    return row[best], best
+
+
 def units(docs: DataFrame, short: int = SHORT) -> DataFrame:
-    """The units of at least ``short`` words of all rows.
+    """The units of at least ``short`` words of all rows, and the runs of GRAM words.
 
-    row: a hash of doc_id and text; idx: ordinal in the text; prev: ordinal of
-    the last such unit before; again: whether the text has it before.
+    row: a hash of doc_id and text; first, last: word bounds in the text; joins: the
+    word that a run must reach to go on with this piece; again: whether the text has
+    the piece before, not overlapping it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, raw, at in text_chunks(batch, size=CHUNK):
-                words, row, idx, first, last = units_of(raw, at)
-                digest = running_spans(words.hashes(), first, last)
+                words, row, _, first, last = units_of(raw, at)
+                hashes = words.hashes()
                 keep = np.flatnonzero(last - first >= short)
-                row, idx, first, last, digest = row[keep], idx[keep], first[keep], last[keep], digest[keep]
-                prev = np.full(len(idx), -1)
+                row, first, last = row[keep], first[keep], last[keep]
+                joins = first.copy()
                 same = row[1:] == row[:-1]
-                prev[1:][same] = idx[:-1][same]
-                order = np.lexsort((idx, digest, row))
-                again = np.zeros(len(idx), bool)
-                again[order[1:]] = (digest[order[1:]] == digest[order[:-1]]) & (row[order[1:]] == row[order[:-1]])
+                joins[1:][same] = last[:-1][same]
+                more, begin = grams_of(words, hashes)
+                row, first, last, joins = (np.concatenate(x) for x in ((row, more), (first, begin), (last, begin + GRAM), (joins, begin)))
+                digest = running_spans(hashes, first, last)
+                order = np.lexsort((first, digest, row))
+                heads = np.append(True, (digest[order[1:]] != digest[order[:-1]]) | (row[order[1:]] != row[order[:-1]]))[: len(order)]
+                again = np.zeros(len(order), bool)
+                again[order] = first[order] - first[order[np.flatnonzero(heads)]][np.cumsum(heads) - 1] >= (last - first)[order]
                 chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
-                base = chars[at[:-1]][row]
+                base, head = chars[at[:-1]][row], words.first[row]
                 take = pa.array(row)
+                small = lambda x: pa.array(x.astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(take), part.column(1).take(take), pa.array(digest.view(np.int64)), pa.array(idx.astype(np.int32)), pa.array(prev.astype(np.int32)), pa.array((last - first).astype(np.int32)),
-                     pa.array((chars[words.start[first]] - base).astype(np.int32)), pa.array((chars[words.end[last - 1]] - base).astype(np.int32)), pa.array(again)],
-                    names=["doc", "row", "digest", "idx", "prev", "words", "start", "end", "again"])
+                    [part.column(0).take(take), part.column(1).take(take), pa.array(digest.view(np.int64)), small(first - head), small(last - head), small(joins - head),
+                     small(chars[words.start[first]] - base), small(chars[words.end[last - 1]] - base), pa.array(again)],
+                    names=["doc", "row", "digest", "first", "last", "joins", "start", "end", "again"])
 
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    return docs.select(doc.alias("doc"), _row_hash().alias("row"), "text").mapInArrow(run, "doc long, row long, digest long, idx int, prev int, words int, start int, end int, again boolean")
+    return docs.select(doc.alias("doc"), _row_hash().alias("row"), "text").mapInArrow(run, "doc long, row long, digest long, first int, last int, joins int, start int, end int, again boolean")
 
 
 def _row_hash():
@@ -88,18 +113,19 @@ def _row_hash():
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The passages to remove: doc (LAST for null), row, start, end, words, first_doc.
 
-    first_doc is the document that keeps the passage's first unit.
+    first_doc is the document that keeps the passage's first piece.
     """
     every = stored(units(docs), "units")
-    known = stored(every.groupBy("digest").agg(F.min("doc").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "repeats")
-    repeats = every.join(known, "digest").filter("again or doc <> first")
-    w = Window.partitionBy("row").orderBy("idx")
-    # equal rows give each unit more than once
-    repeats = repeats.withColumn("before", F.lag("idx").over(w)).filter("before is null or before <> idx")
-    runs = repeats.withColumn("breaks", F.coalesce(F.lag("idx").over(w) != F.col("prev"), F.lit(True)).cast("int")).withColumn("run", F.sum("breaks").over(w))
+    known = stored(every.groupBy("digest").agg(F.min("doc").alias("holder"), F.count("*").alias("n")).filter("n > 1").drop("n"), "repeats")
+    repeats = every.join(known, "digest").filter("again or doc <> holder")
+    w = Window.partitionBy("row").orderBy("first", "last")
+    # how far the pieces before reach; equal rows give each piece more than once, which adds nothing
+    repeats = repeats.withColumn("reached", F.coalesce(F.max("last").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1)))
+    repeats = repeats.withColumn("words", F.greatest(F.lit(0), F.col("last") - F.greatest("first", "reached")))
+    runs = repeats.withColumn("run", F.sum((F.col("joins") > F.col("reached")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return (
         runs.groupBy("row", "run")
-        .agg(F.min("doc").alias("doc"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.min_by("first", "idx").alias("first_doc"))
+        .agg(F.min("doc").alias("doc"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.min_by("holder", "first").alias("first_doc"))
         .filter(F.col("words") >= min_words)
         .select("doc", "row", "start", "end", "words", "first_doc")
     )

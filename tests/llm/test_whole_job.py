@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from termweave.llm import decontaminate
+from termweave.llm import decontaminate, linededup
 
 
 def words(rng, n, size=4):
@@ -46,3 +46,24 @@ def test_short_items_at_every_corpus_size():
 def encoded(texts):
     data = [t.encode() for t in texts]
     return np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(d) for d in data])]).astype(np.int64)
+
+
+def test_passages_cut_anywhere(spark):
+    rng = random.Random(7)
+    rows, spans = [], {}
+    for k in range(60):
+        passage = words(rng, rng.randint(51, 80))
+        for at in rng.sample(range(1, len(passage) - 1), (k % 4)):  # sentence ends, or none
+            passage[at] += "."
+        first = [*words(rng, 40), *passage, *words(rng, 40)]
+        before = words(rng, rng.randint(0, 60))
+        rows += [(k, " ".join(first)), (100 + k, " ".join([*before, *passage, *words(rng, 30)]))]
+        start = sum(len(x) + 1 for x in before)
+        spans[100 + k] = (start, start + len(" ".join(passage)), len(passage))
+    got = {}
+    for r in linededup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r.doc, []).append(r)
+    assert set(got) == set(spans)
+    for doc, (start, end, n) in spans.items():
+        assert all(start <= r.start and r.end <= end for r in got[doc])
+        assert sum(r.words for r in got[doc]) >= n - 2 * (linededup.SPREAD - 1)
