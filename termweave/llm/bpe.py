@@ -17,7 +17,10 @@ import numpy as np
 NONE = np.int32(2**31 - 1)
 _SCRAMBLE = np.uint64(0x9E3779B97F4A7C15)
 BLOCK = 1 << 15  # rows of a matrix at once
-LONG = 256  # longer sequences are merged one by one with a heap, in n log n steps
+#: A matrix of n symbols a row takes n steps over n columns.  Beyond this length a
+#: sequence (a word of hundreds of characters) is merged by itself with a heap, in
+#: n log n steps, so that a long text without spaces stays cheap; the result is the same.
+LONG = 256
 
 
 class Merges:
@@ -251,11 +254,12 @@ class WordModel:
         return [e.ids for e in self.library.encode_batch(words, add_special_tokens=False)]
 
     def encode(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of each word raw[start:end] (A-Z already lower-cased), ragged."""
+        """Ids of each word raw[start:end], ragged; A-Z are lower-cased here, elsewhere by the library."""
         n = len(start)
         lengths = end - start
         first = np.concatenate([[0], np.cumsum(lengths)])
         flat = raw[np.repeat(start - first[:-1], lengths) + np.arange(first[-1])]
+        flat = np.where((flat >= 65) & (flat <= 90), flat + np.uint8(0x20), flat)
         word = np.repeat(np.arange(n), lengths)
         plain, lead = flat < 0x80, flat == 0xC3
         follow = np.zeros(len(flat), bool)
@@ -273,7 +277,6 @@ class WordModel:
         # runs of letters, single digits, runs of others
         kind = np.full(256, 3, np.int8)
         kind[97:123] = 1
-        kind[65:91] = 1
         kind[128:] = 1
         kind[48:58] = 2
         k = kind[flat]

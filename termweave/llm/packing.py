@@ -41,7 +41,7 @@ def model_path(name: str = MODEL) -> str:
 
 def encoded_rows(model: WordModel, raw: np.ndarray, at: np.ndarray, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
     """Ids of each row with the end id after them, ragged."""
-    words = Words(raw, at)
+    words = Words(raw, at, lower=False)  # special strings are told by their case
     _, one, back = np.unique(words.hashes(), return_index=True, return_inverse=True)
     out, ends = model.encode(words.raw, words.start[one], words.end[one])
     length = np.diff(ends)[back]

@@ -61,6 +61,15 @@ def test_piece_counts_long(text):
     assert token_count.count_rows(bpe.piece_model(path), *joined([" " + text]))[0] == len(sp.encode(text))
 
 
+SPECIAL = st.sampled_from(["<|startoftext|>", "<|STARTOFTEXT|>", "<|endoftext|>", "<|EndOfText|>", "<|", "|>", "Ab", " ", "\n", "é"])
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(SPECIAL, max_size=8).map("".join), min_size=1, max_size=5))
+def test_word_ids_of_special_strings(texts):
+    test_word_ids.hypothesis.inner_test(texts)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(TEXT, min_size=1, max_size=5))
 def test_word_ids(texts):
