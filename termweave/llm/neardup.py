@@ -72,7 +72,7 @@ def _throw(items, weights, row, depth, best, k):
         inside = np.flatnonzero(weights > low) if low else np.arange(len(items))
         if not len(inside):
             return
-        seed, w, r = mixed(items[inside] + np.uint64(cell) * _STEP), weights[inside], row[inside]
+        seed, w, r = mixed(items[inside] + np.uint64(cell * int(_STEP) & (2**64 - 1))), weights[inside], row[inside]
         rank, done = np.zeros(len(seed)), 0
         while len(seed):
             m = 1 if len(seed) * 2 > 100_000 or done < 2 else 32

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,15 +17,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20
 BATCH_BYTES = 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a local one only where none is set (tests)."""
+    """The cluster's checkpoint folder.
+
+    Where none is set, a folder of this machine serves a local master, whose
+    executors are this process; any other master is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = getattr(spark, "_termweave_folder", None)
         if not found:
             found = "file://" + tempfile.mkdtemp(prefix="termweave-")
@@ -203,6 +211,25 @@ def running_spans(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.
     return mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+BITS = 26  # of a bitmap that keeps unwanted rows back: 8 MB, whatever the input
+
+
+def bit_marks(df: DataFrame, key) -> np.ndarray:
+    """A bitmap of 2 ** BITS bits over the 64-bit numbers ``key`` of df."""
+    place = key.bitwiseAND((1 << BITS) - 1)
+    marks = df.select(F.shiftright(place, 15).alias("part"), place.bitwiseAND(32767).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    bitmap = np.zeros((1 << BITS) // 8, np.uint8)
+    for r in marks.collect():
+        bitmap[r["part"] << 12 : (r["part"] + 1) << 12] = np.frombuffer(r["bits"], np.uint8)
+    return bitmap
+
+
+def marked(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the bit of each 64-bit number is set: always for those that were marked."""
+    at = keys & ((1 << BITS) - 1)
+    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name like ``name`` that df doesn't have."""
     taken = {c.lower() for c in df.columns}
