@@ -1,40 +1,50 @@
 """Document quality by co-training a text view and a metadata view.
 
-The text view sees statistics of the text, the metadata view language, source
-and length.  Both are logistic models.  In each round each view gives the
-other the unlabelled documents it is surest of, as pseudo-labels; then both
-are calibrated on labelled documents set aside, and their evidence is added.
-All documents are scored.
-
-The models are fitted on the driver from feature rows (no texts) of at most
-``MAX_LABELLED`` labelled and ``MAX_POOL`` unlabelled documents, those of
-smallest hash; these bounds don't depend on the corpus.
+The text view sees statistics of the text and the shares of hashed groups of its
+words, the metadata view language, source and length.  Both are logistic models,
+fitted on labelled documents first.  In each round each view gives the other the
+unlabelled documents it is surest of (calibrated probability of ``SURE``) as
+pseudo-labels, and both make Newton steps; then they are calibrated on labelled
+documents set aside, and their evidence is added.  All documents are scored.
+
+The labelled documents are a sample of ``MAX_LABELLED`` of them, by hash (each is
+taken with that chance, so about as many); their feature rows are on the driver.
+All unlabelled documents take part in every round: executors keep their feature
+rows, written once, and return the sums of a Newton step, whose number doesn't
+depend on the corpus.  The pseudo-labels of a class weigh as much as its labels at
+most, so that they don't drown them however large the corpus is.
 
 Defined results: a null or empty text has statistics of zero and is scored by
 them; null metadata is a value of its own; without labels of both kinds every
 score is the share of good labels (1 without any), so all is kept; a doc_id
-labelled twice is good only if all its labels say so; repeated rows are scored
-alike; other columns don't matter; an empty table gives an empty result.
+labelled twice is good only if all its labels say so; of several rows of one
+labelled doc_id the smallest is learned from; repeated rows are scored alike;
+other columns don't matter, whatever their names; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
+import copy
+import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termweave.llm.shared import Words, bounded, fresh, text_chunks
+from termweave.llm.shared import Words, bounded, dropped, fresh, sampled, stored, text_chunks
 
-MAX_LABELLED, MAX_POOL = 20_000, 20_000
-ROUNDS, GROWTH, SURE = 5, 1_000, 0.98
+MAX_LABELLED = 20_000
+ROUNDS, STEPS, SURE = 3, 3, 0.98
 SET_ASIDE = 4  # one labelled document of so many calibrates
 KEEP = 0.5
 LANGS, SOURCES = 32, 128  # hash buckets
 CHUNK = 1 << 20
-FEATURES = 30
+GROUPS = 32  # of words, by hash
+FEATURES = 30 + GROUPS
 
 _KIND = np.zeros(256, np.int8)  # 1 lower 2 upper 3 digit 4 space 5 sentence mark 6 symbol
 _KIND[97:123] = 1
@@ -76,7 +86,8 @@ def text_features(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
         per_word(length) / many / 10, per_word(same) / many, distinct / many,
         per_word(lead == 2) / many, per_word(tail == 6) / many, per_word(tail == 5) / many, np.log1p(n) / 10,
     ], 1)
-    return np.concatenate([base, np.sqrt(base)], 1)
+    groups = np.bincount(row * GROUPS + (h >> np.uint64(59)).astype(np.int64), minlength=rows * GROUPS).reshape(rows, GROUPS) / many[:, None]
+    return np.concatenate([base, np.sqrt(base), groups], 1)
 
 
 def meta_features(lang: list, source: list, n_chars: np.ndarray) -> np.ndarray:
@@ -90,34 +101,41 @@ def meta_features(lang: list, source: list, n_chars: np.ndarray) -> np.ndarray:
     return out
 
 
+@lru_cache(1 << 14)
 def _bucket(value, n: int) -> int:
-    import zlib
-
     return 0 if value is None else 1 + zlib.crc32(str(value).encode()) % (n - 1)
 
 
 class Logistic:
-    """Weighted logistic regression with a ridge, by Newton steps."""
+    """Logistic regression with a ridge, by Newton steps; the first ``plain`` columns are taken as they are."""
 
-    def __init__(self, ridge: float = 1.0):
-        self.ridge = ridge
+    def __init__(self, ridge: float = 1.0, plain: int = 0):
+        self.ridge, self.plain = ridge, plain
 
-    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> Logistic:
-        self.mean, self.scale = x.mean(0), x.std(0) + 1e-6
-        z = np.concatenate([(x - self.mean) / self.scale, np.ones((len(x), 1))], 1)
-        w = np.ones(len(y)) if weight is None else weight
-        beta = np.zeros(z.shape[1])
-        keep = np.full(len(beta), self.ridge)
-        keep[-1] = 1e-3
+    def fit(self, x: np.ndarray, y: np.ndarray) -> Logistic:
+        self.mean, spread = x.mean(0), x.std(0)
+        self.scale = np.where(spread < 1e-6, 1.0, spread)
+        self.mean[: self.plain], self.scale[: self.plain] = 0, 1
+        self.beta = np.zeros(x.shape[1] + 1)
         for _ in range(25):
-            p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
-            step = np.linalg.solve((z * (w * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ z + np.diag(keep), z.T @ (w * (y - p)) - keep * beta)
-            beta += np.clip(step, -5, 5)
-            if np.abs(step).max() < 1e-6:
+            if self.step(*self.sums(x, y)[1:]) < 1e-6:
                 break
-        self.beta = beta
         return self
 
+    def sums(self, x: np.ndarray, y: np.ndarray | float) -> tuple[float, np.ndarray, np.ndarray]:
+        """Rows, gradient and curvature of a Newton step; those of several tables may be added."""
+        z = np.concatenate([(x - self.mean) / self.scale, np.ones((len(x), 1))], 1)
+        p = sigmoid(z @ self.beta)
+        return float(len(x)), z.T @ (y - p), (z * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ z
+
+    def step(self, gradient: np.ndarray, curvature: np.ndarray) -> float:
+        """Makes the step; its largest change."""
+        keep = np.full(len(self.beta), self.ridge)
+        keep[-1] = 1e-3
+        step = np.linalg.solve(curvature + np.diag(keep), gradient - keep * self.beta)
+        self.beta = self.beta + np.clip(step, -5, 5)
+        return float(np.abs(step).max())
+
     def logit(self, x: np.ndarray) -> np.ndarray:
         return np.clip(((x - self.mean) / self.scale) @ self.beta[:-1] + self.beta[-1], -30, 30)
 
@@ -129,7 +147,8 @@ def sigmoid(z):
 class CoTrained:
     """Two views trained on each other's confident labels, then calibrated."""
 
-    def fit(self, text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray) -> CoTrained:
+    def learn(self, text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool=None) -> CoTrained:
+        """pool(self): the added-up ``pool_sums`` of all unlabelled documents."""
         self.prior = float(y.mean()) if len(y) else 1.0
         self.views = None
         if len(np.unique(y)) < 2:
@@ -139,26 +158,39 @@ class CoTrained:
             aside[:] = False
         learn = np.flatnonzero(~aside)
         check = np.flatnonzero(aside) if aside.any() else learn
-        views, pools = (text, meta), (pool_text, pool_meta)
-        given: list[dict[int, float]] = [{}, {}]  # pseudo-labels that each view has been given
+        x = (text, meta)
+        self.views = [Logistic().fit(text[learn], y[learn]), Logistic(plain=LANGS + SOURCES if meta.shape[1] > LANGS + SOURCES else 0).fit(meta[learn], y[learn])]
+        own = [float((y[learn] == c).sum()) for c in (0, 1)]
         for r in range(ROUNDS + 1):
-            models = []
-            for v in (0, 1):
-                ids = np.fromiter(given[v].keys(), int)
-                x = np.concatenate([views[v][learn], pools[v][ids]]) if len(ids) else views[v][learn]
-                models.append(Logistic().fit(x, np.concatenate([y[learn], np.fromiter(given[v].values(), float)])))
-            scale = [Logistic(1e-2).fit(m.logit(views[v][check])[:, None], y[check]) for v, m in enumerate(models)]
-            if r == ROUNDS or not len(pool_text):
+            self.scale = [Logistic(1e-2).fit(m.logit(x[v][check])[:, None], y[check]) for v, m in enumerate(self.views)]
+            if r == ROUNDS or pool is None:
                 break
-            for v in (0, 1):
-                p = sigmoid(scale[v].logit(models[v].logit(pools[v])[:, None]))
-                for value, sure, share in ((1.0, p, self.prior), (0.0, 1 - p, 1 - self.prior)):
-                    best = np.argsort(-sure, kind="stable")[: max(1, int(GROWTH * share))]
-                    for i in best[sure[best] >= SURE].tolist():
-                        given[1 - v].setdefault(i, value)
-        self.views, self.scale = models, scale
+            self.teachers = list(zip(copy.deepcopy(self.views), self.scale, strict=True))
+            for _ in range(STEPS):
+                given = pool(self)
+                for v, m in enumerate(self.views):
+                    _, gradient, curvature = m.sums(x[v][learn], y[learn])
+                    for c in (0, 1):
+                        n, more, curve = given[v][c]
+                        weight = min(1.0, own[c] / n) if n else 0.0
+                        gradient, curvature = gradient + weight * more, curvature + weight * curve
+                    m.step(gradient, curvature)
+        self.teachers = None
         return self
 
+    def fit(self, text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray) -> CoTrained:
+        """The same with the unlabelled documents' features at hand."""
+        return self.learn(text, meta, y, (lambda model: model.pool_sums(pool_text, pool_meta)) if len(pool_text) else None)
+
+    def pool_sums(self, text: np.ndarray, meta: np.ndarray) -> list[list[tuple[float, np.ndarray, np.ndarray]]]:
+        """For each view and class the sums over the documents that the other view is sure of."""
+        x, out = (text, meta), []
+        for v, m in enumerate(self.views):
+            teacher, scale = self.teachers[1 - v]
+            p = sigmoid(scale.logit(teacher.logit(x[1 - v])[:, None]))
+            out.append([m.sums(x[v][sure], float(c)) for c, sure in ((0, p <= 1 - SURE), (1, p >= SURE))])
+        return out
+
     def scores(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Calibrated probabilities of the text view, the metadata view and both together."""
         if self.views is None:
@@ -181,39 +213,80 @@ def _rows(part: pa.RecordBatch, raw: np.ndarray, at: np.ndarray) -> tuple[np.nda
 
 
 def feature_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source, n_chars and the text's statistics."""
+    """doc_id, lang, source, n_chars and the text's statistics (32-bit floats)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, raw, at in text_chunks(batch, size=CHUNK):
-                x = text_features(raw, at)
-                stats = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * FEATURES), pa.array(x.ravel()))
-                yield pa.RecordBatch.from_arrays([*part.columns[:4], stats], names=["doc_id", "lang", "source", "n_chars", "stats"])
-
-    return _inputs(docs).mapInArrow(run, "doc_id long, lang string, source string, n_chars double, stats array<double>")
-
-
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> CoTrained:
-    bounded(docs.sparkSession)
-    known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null")
-    pool = ids.join(known, "doc_id", "left_anti").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_pool).withColumn("quality", F.lit(None).cast("int"))
-    rows = chosen.select("doc_id", F.col("quality").cast("int").alias("quality")).union(pool)
-    texts = docs.join(F.broadcast(rows.select(F.col("doc_id").alias(name := fresh(docs, "_id")))), F.col("doc_id") == F.col(name), "left_semi")
-    got = feature_rows(texts).join(F.broadcast(rows), "doc_id").toPandas().drop_duplicates(["doc_id"]).sort_values("doc_id")
-    stats = np.stack(got["stats"].to_numpy()) if len(got) else np.zeros((0, FEATURES))
-    null = got["lang"].isna().to_numpy(), got["source"].isna().to_numpy()
-    meta = meta_features([None if n else v for v, n in zip(got["lang"], null[0], strict=True)], [None if n else v for v, n in zip(got["source"], null[1], strict=True)], got["n_chars"].to_numpy(float))
-    y = got["quality"].to_numpy(float)
-    has = ~np.isnan(y)
-    order = np.random.default_rng(5).permutation(int(has.sum()))
-    return CoTrained().fit(stats[has][order], meta[has][order], (y[has] > 0).astype(float)[order], stats[~has], meta[~has])
-
-
-def quality_scores(docs: DataFrame, labels: DataFrame, keep: float = KEEP, **bounds: int) -> DataFrame:
+                x = text_features(raw, at).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "lang", "source", "n_chars", "stats"])
+
+    return _inputs(docs).mapInArrow(run, "doc_id long, lang string, source string, n_chars double, stats binary")
+
+
+def _features(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """What feature_rows made, as numbers: text view, metadata view."""
+    stats = np.frombuffer(b"".join(table.column("stats").to_pylist()), np.float32).reshape(-1, FEATURES).astype(float)
+    return stats, meta_features(table.column("lang").to_pylist(), table.column("source").to_pylist(), table.column("n_chars").to_numpy(zero_copy_only=False) if isinstance(table, pa.RecordBatch) else table.column("n_chars").to_numpy())
+
+
+def _flat(sums: list) -> np.ndarray:
+    """The sums of both views and classes in one row; of a curvature the upper triangle."""
+    return np.concatenate([np.concatenate([[n], g, h[np.triu_indices(len(g))]]) for view in sums for n, g, h in view])
+
+
+def _unflat(row: np.ndarray, sizes: tuple[int, int]) -> list:
+    out, at = [], 0
+    for d in sizes:
+        view = []
+        for _ in (0, 1):
+            upper = np.triu_indices(d)
+            h = np.zeros((d, d))
+            h[upper] = row[at + 1 + d : at + 1 + d + len(upper[0])]
+            view.append((float(row[at]), row[at + 1 : at + 1 + d], h + np.triu(h, 1).T))
+            at += 1 + d + len(upper[0])
+        out.append(view)
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> CoTrained:
+    spark = bounded(docs.sparkSession)
+    known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.min("quality") > 0).cast("int").alias("quality"))
+    rows = stored(feature_rows(docs).join(known, "doc_id", "left"), "features")
+    chosen = sampled(rows.filter("quality is not null"), max_labelled)
+    columns = ("lang", "source", "n_chars", "stats")
+    got = chosen.groupBy("doc_id", "quality").agg(F.min(F.struct(*columns)).alias("r")).select("doc_id", "quality", *[f"r.{c}" for c in columns]).toArrow().sort_by("doc_id")
+    order = np.random.default_rng(5).permutation(got.num_rows)
+    text, meta = (x[order] for x in _features(got))
+    sizes = (text.shape[1] + 1, meta.shape[1] + 1)
+    unlabelled = rows.filter("quality is null").select(*columns)
+
+    def pool(model: CoTrained) -> list:
+        held = spark.sparkContext.broadcast(model)  # a few hundred numbers
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = 0.0
+            for batch in batches:
+                if batch.num_rows:
+                    total = total + _flat(held.value.pool_sums(*_features(batch)))
+            if np.ndim(total):
+                some = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["place", "x"])
+
+        sums = unlabelled.mapInArrow(run, "place int, x double").groupBy("place").agg(F.sum("x").alias("x")).toArrow()
+        held.destroy()
+        row = np.zeros(sum(2 * (1 + d + d * (d + 1) // 2) for d in sizes))
+        row[sums.column("place").to_numpy()] = sums.column("x").to_numpy()
+        return _unflat(row, sizes)
+
+    model = CoTrained().learn(text, meta, got.column("quality").to_numpy().astype(float)[order], pool)
+    dropped(rows)
+    return model
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, keep: float = KEEP, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """doc_id, text_score, meta_score, score (that the document is good), keep of every row."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **bounds))  # a few hundred numbers
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, max_labelled))  # a few hundred numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,9 +297,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, keep: float = KEEP, **bou
     return _inputs(docs).mapInArrow(run, "doc_id long, text_score double, meta_score double, score double, keep boolean")
 
 
-def good_documents(docs: DataFrame, labels: DataFrame, keep: float = KEEP, **bounds: int) -> DataFrame:
+def good_documents(docs: DataFrame, labels: DataFrame, keep: float = KEEP, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """The rows of docs, with all their columns, that are kept."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **bounds))
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, max_labelled))
     order = _inputs(docs).columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -74,6 +74,13 @@ def dropped(df: DataFrame) -> None:
         hadoop.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(hadoop, True)
 
 
+def sampled(df: DataFrame, most: int, key: str = "doc_id") -> DataFrame:
+    """The rows whose key's hash is among the smallest, so many keys that there are about ``most``;
+    all if there are no more.  Nothing is sorted or collected."""
+    n = df.select(key).distinct().count()
+    return df if n <= most else df.filter(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(most / n * (1 << 30)))
+
+
 def text_chunks(batch: pa.RecordBatch, column: str = "text", size: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Cuts a batch into runs of rows holding about ``size`` bytes of text each.
 
