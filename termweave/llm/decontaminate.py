@@ -19,14 +19,19 @@ answer (its last sentence) stands there too, so reworded copies are found.
 
 A common subsequence long enough needs a number of the item's rarer words
 (``KEYS`` of its words) near each other; passages without as many of any item
-are left out before projection, which changes no result.  The
-benchmark is read in blocks of ``BLOCK`` items and these are searched in blocks
-of ``PASSAGES`` passages, so what is broadcast is bounded whatever its size.
+are left out before projection, which changes no result.
+
+Document frequencies of all the benchmark's words come from one pass over the
+documents.  The benchmark is read in blocks of ``BLOCK`` items, or fewer if they are
+long, and these are searched in groups of ``PASSAGES`` passages, one after the
+other: a group's space is broadcast, its hits are written, and it is let go, so
+what the driver and the executors hold is bounded whatever the benchmark's size.
 
 Defined results: a null or empty text or item matches nothing; every row is
 judged, repeated rows alike; the query gives one row for each pair of doc_id and
-item_id, with the best evidence; other columns don't matter; empty tables give
-an empty result.
+item_id, with the best evidence (of equal ones the first place); an item that
+stands twice, or two texts of one item_id, count as one item; other columns don't
+matter, whatever their names; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -38,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termweave.llm.shared import Words, bounded, mixed, span_sums, text_chunks
+from termweave.llm.shared import Words, bit_marks, bounded, dropped, fresh, marked, mixed, span_sums, stored, text_chunks
 
 WINDOW, STRIDE = 32, 16
 SPAN = WINDOW + STRIDE  # words of a document passage: any WINDOW of them stand whole in one
@@ -46,7 +51,8 @@ EXTRA, ROUNDS = 16, 4
 LOSS = 1e-4  # share of a passage's squared norm that the latent space may lack
 COSINE, LCS, ANSWER = 0.4, 0.6, 0.5
 KEYS = 0.5  # share of an item's words, the rarest, that are looked up first
-BLOCK = 4_000  # benchmark items read (and counted) at once
+BLOCK, BLOCK_BYTES = 4_000, 16 << 20  # benchmark items, and their bytes, that the driver reads at once
+FLUSH = 1 << 20  # words whose frequencies a task holds
 PASSAGES = 512  # item passages in one latent space, which bounds its rank
 BATCH = 512  # document passages projected at once
 SLICES = 8  # partial sums of the subspace iteration
@@ -99,31 +105,43 @@ def common_subsequence(a: list[int], b: list[int]) -> int:
 
 
 class Items:
-    """The items of a block: vocabulary, words, answers, and later the latent space."""
+    """The items of a block or group: vocabulary, words, answers, and later the latent space.
+
+    ``parts``, if given, are the bounds of the passages taken of each item.
+    """
 
-    def __init__(self, ids: list[int], texts: list[str]):
+    def __init__(self, ids: list[int], texts: list[str], parts: list[tuple[int, int]] | None = None):
         data = [t.encode() for t in texts]
         h, first, stop = plain_words(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in data])]).astype(np.int64))
         self.vocab, code = np.unique(h, return_inverse=True)
         self.gate = np.zeros(1 << 20, bool)
         self.gate[(self.vocab >> np.uint64(44)).astype(np.int64)] = True
-        self.ids, self.words, self.answers, self.owner, self.passages = [], [], [], [], []
+        self.ids, self.texts, self.words, self.answers, self.owner, self.passages = [], [], [], [], [], []
         for k, i in enumerate(ids):
             w = code[first[k] : first[k + 1]]
             if not len(w):
                 continue
             ends = np.flatnonzero(stop[first[k] : first[k + 1]][:-1])
             answer = w[ends[-1] + 1 :] if len(ends) else w
-            for s in windows(len(w)):
+            for s in windows(len(w)) if parts is None else windows(len(w))[slice(*parts[k])]:
                 self.owner.append(len(self.ids))
                 self.passages.append(w[s : s + WINDOW])
             self.ids.append(i)
+            self.texts.append(texts[k])
             self.words.append(w.tolist())
             self.answers.append(set((answer if len(answer) >= 3 else w).tolist()))
         self.owner = np.array(self.owner, np.int64)
         self.reach = np.array([len(w) if len(w) > WINDOW else len(w) // 2 + STRIDE for w in self.words], np.int64)  # words looked at beside a passage
         self.sets = [set(w) for w in self.words]
 
+    def groups(self, most: int = PASSAGES) -> Iterator[Items]:
+        """The same passages in groups of at most so many; a long item may be in several."""
+        for lo in range(0, len(self.owner), most):
+            owner = self.owner[lo : lo + most]
+            own, first, n = np.unique(owner, return_index=True, return_counts=True)
+            start = lo + first - np.searchsorted(self.owner, own)  # of the first passage taken, in its item
+            yield Items([self.ids[k] for k in own], [self.texts[k] for k in own], [(int(a), int(a + m)) for a, m in zip(start, n, strict=True)])
+
     def codes(self, h: np.ndarray) -> np.ndarray:
         """The vocabulary number of each word, -1 outside it."""
         out = np.full(len(h), -1, np.int32)
@@ -226,15 +244,17 @@ def latent_basis(spark: SparkSession, items: Items, rank: int | None = None, see
                         np.add.at(y, back, z[row] * val[:, None])
                         yield pa.RecordBatch.from_arrays([pa.array([use.astype(np.int64).tobytes()]), pa.array([y.tobytes()])], names=["use", "sums"])
 
-        total = np.zeros((n, q.shape[1]), np.float64)
-        for r in slices.mapInArrow(run, "use binary, sums binary").collect():
+        total = np.zeros((n, q.shape[1]), np.float32)
+        for r in slices.mapInArrow(run, "use binary, sums binary").toLocalIterator():
             use = np.frombuffer(r["use"], np.int64)
             total[use] += np.frombuffer(r["sums"], np.float32).reshape(len(use), -1)
+        held.destroy()
         return total
 
     for _ in range(ROUNDS):
         q = np.linalg.qr(image(q))[0].astype(np.float32)
-    small = q.T @ image(q)
+    small = (q.T @ image(q)).astype(np.float64)
+    shared.destroy()
     values, turn = np.linalg.eigh((small + small.T) / 2)
     order = np.argsort(-values)[:most]
     if rank is None:  # a unit passage's part in a direction is at most the singular value
@@ -242,33 +262,40 @@ def latent_basis(spark: SparkSession, items: Items, rank: int | None = None, see
     return q @ turn[:, order].astype(np.float32)
 
 
-def document_frequencies(docs: DataFrame, items: Items) -> tuple[np.ndarray, int]:
-    """How many documents have each vocabulary word, and how many there are."""
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+def word_frequencies(docs: DataFrame, words: DataFrame) -> DataFrame:
+    """hash, df: how many documents have each of the words (hash); those that none has are left out,
+    a few others may come with them."""
+    shared = docs.sparkSession.sparkContext.broadcast(bit_marks(words, F.col("hash")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        df, n = np.zeros(len(known.vocab), np.int64), 0
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            u, back = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
+            return u, np.bincount(back, np.concatenate([n for _, n in held])).astype(np.int64)
+
+        row = lambda h, n: pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["hash", "df"])
         for batch in batches:
-            for part, raw, at in text_chunks(batch, size=CHUNK):
+            for _, raw, at in text_chunks(batch, size=CHUNK):
                 h, first, _ = plain_words(raw, at)
-                code = known.codes(h)
-                hit = np.flatnonzero(code >= 0)
-                row = np.searchsorted(first, hit, "right") - 1
-                pair = np.unique(row * len(known.vocab) + code[hit])
-                df += np.bincount(pair % max(len(known.vocab), 1), minlength=len(known.vocab))
-                n += part.num_rows
-        some = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(df[some], n))], names=["word", "n"])
-
-    sums = docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    df, n = np.zeros(len(items.vocab), np.int64), 0
-    for r in sums:
-        if r["word"] < 0:
-            n = r["n"]
-        else:
-            df[r["word"]] = r["n"]
-    return df, n
+                some = np.flatnonzero(marked(shared.value, h.view(np.int64)))
+                u, back = np.unique(h[some], return_inverse=True)
+                if not len(u):
+                    continue
+                pair = np.unique((np.searchsorted(first, some, "right") - 1) * len(u) + back)
+                held.append((u, np.bincount(pair % len(u))))
+                size += len(u)
+                if size > 4 * FLUSH:
+                    held = [summed()]
+                    size = len(held[0][0])
+                    if size > FLUSH:
+                        yield row(*held[0])
+                        held, size = [], 0
+        if held:
+            yield row(*summed())
+
+    return docs.select("text").mapInArrow(run, "hash long, df long").groupBy("hash").agg(F.sum("df").alias("df"))
 
 
 def matches(items: Items, raw: np.ndarray, at: np.ndarray) -> list[tuple[int, int, float, float, float, int]]:
@@ -326,64 +353,79 @@ def matches(items: Items, raw: np.ndarray, at: np.ndarray) -> list[tuple[int, in
     return [(r, items.ids[i], *v) for (r, i), v in found.items()]
 
 
-def prepared(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> list[Items]:
-    """The benchmark's blocks, ready to be matched."""
+def item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, hash) of the words of items (block, text)."""
+    for batch in batches:
+        for part, raw, at in text_chunks(batch, size=CHUNK):
+            h, first, _ = plain_words(raw, at)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.repeat(np.arange(len(first) - 1), np.diff(first)))), pa.array(h.view(np.int64))], names=["block", "hash"])
+
+
+def prepared(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK, passages: int = PASSAGES) -> Iterator[Items]:
+    """The benchmark's groups, ready to be matched, one at a time."""
     spark = bounded(docs.sparkSession)
     usable = benchmark.filter("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
-    blocks = max(1, -(-usable.count() // block))
-    out = []
+    size = usable.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    if not size["n"]:
+        return
+    blocks = max(-(-size["n"] // block), -(-size["bytes"] // BLOCK_BYTES), 1)
+    usable = stored(usable.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).cast("int")), "items")
+    words = stored(usable.select("block", "text").mapInArrow(item_words, "block int, hash long").distinct(), "words")
+    counts = stored(words.join(word_frequencies(docs, words), "hash"), "counts")
+    dropped(words)
+    n = docs.count()
     for b in range(blocks):
-        rows = usable.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
+        rows = usable.filter(F.col("block") == b).orderBy("item_id", "text").collect()
         whole = Items([r["item_id"] for r in rows], [r["text"] for r in rows])
-        if not whole.ids:
-            continue
-        df, n = document_frequencies(docs, whole)
-        group = np.cumsum([len(windows(len(r["text"].split()))) for r in rows]) // PASSAGES
-        for g in np.unique(group):
-            some = [r for r, of in zip(rows, group, strict=True) if of == g]
-            items = Items([r["item_id"] for r in some], [r["text"] for r in some])
-            if items.ids:
-                items.weigh(df[np.searchsorted(whole.vocab, items.vocab)], n)
-                items.project(latent_basis(spark, items))
-                out.append(items)
-    return out
+        got = counts.filter(F.col("block") == b).select("hash", "df").toArrow()
+        df = np.zeros(len(whole.vocab), np.int64)
+        df[np.searchsorted(whole.vocab, got.column("hash").to_numpy().view(np.uint64))] = got.column("df").to_numpy()
+        for items in whole.groups(passages):
+            items.weigh(df[np.searchsorted(whole.vocab, items.vocab)], n)
+            items.project(latent_basis(spark, items))
+            yield items
+    dropped(usable)
+    dropped(counts)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, cosine, lcs, answer, word (where the matched text begins) of each hit."""
-    kind = "doc_id long, item_id long, cosine double, lcs double, answer double, word long"
-    out = docs.sparkSession.createDataFrame([], kind)
-    for items in prepared(docs, benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
+HIT = "doc_id long, content long, item_id long, cosine double, lcs double, answer double, word long"
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, **bounds: int) -> DataFrame:
+    """The evidence of each group, written: HIT; content is a hash of the row's text."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("content"), "text")
+    out = spark.createDataFrame([], HIT)
+    for items in prepared(docs, benchmark, **bounds):
+        shared = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part, raw, at in text_chunks(batch, size=CHUNK):
-                    hits = matches(shared.value, raw, at)
-                    if hits:
-                        cols = list(zip(*hits, strict=True))
-                        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.float64()) for c in cols[2:5]), pa.array(cols[5], pa.int64())], names=["doc_id", "item_id", "cosine", "lcs", "answer", "word"])
-
-        out = out.union(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, kind))
-    best = F.max(F.struct("lcs", "cosine", "answer", "word")).alias("best")
-    return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.cosine", "best.lcs", "best.answer", "best.word")
+                    found = matches(shared.value, raw, at)
+                    if found:
+                        cols = list(zip(*found, strict=True))
+                        take = pa.array(cols[0], pa.int64())
+                        yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.float64()) for c in cols[2:5]), pa.array(cols[5], pa.int64())], names=["doc_id", "content", "item_id", "cosine", "lcs", "answer", "word"])
+
+        out = out.union(stored(rows.mapInArrow(run, HIT), "hits"))
+        shared.destroy()
+    return out
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, that hold no benchmark item."""
-    for items in prepared(docs, benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
+def contaminated(docs: DataFrame, benchmark: DataFrame, **bounds: int) -> DataFrame:
+    """doc_id, item_id, cosine, lcs, answer, word (where the matched text begins) of each hit."""
+    best = F.max(F.struct("lcs", "cosine", "answer", (-F.col("word")).alias("back"))).alias("best")
+    return hits(docs, benchmark, **bounds).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.cosine", "best.lcs", "best.answer", (-F.col("best.back")).alias("word"))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep, base = np.ones(batch.num_rows, bool), 0
-                for part, raw, at in text_chunks(batch, size=CHUNK):
-                    keep[[base + m[0] for m in matches(shared.value, raw, at)]] = False
-                    base += part.num_rows
-                yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+def clean_documents(docs: DataFrame, benchmark: DataFrame, **bounds: int) -> DataFrame:
+    """The rows of docs, with all their columns, that hold no benchmark item."""
+    doc, content = fresh(docs, "_doc"), fresh(docs, "_content")
+    dirty = hits(docs, benchmark, **bounds).select(F.col("doc_id").alias(doc), F.col("content").alias(content)).distinct()
+    marked_rows = docs.withColumns({doc: F.col("doc_id").cast("long"), content: F.xxhash64("text")}).alias("l")
+    same = F.col(f"l.{content}").eqNullSafe(F.col(f"r.{content}")) & F.col(f"l.{doc}").eqNullSafe(F.col(f"r.{doc}"))
+    return marked_rows.join(dirty.alias("r"), same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

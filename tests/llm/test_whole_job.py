@@ -27,6 +27,43 @@ def test_copies_of_several_hundred_items(spark):
     assert {(r.doc_id, r.item_id) for r in got.collect()} == {(k, k) for k in range(160)}
 
 
+def test_groups_and_blocks_by_brute_force(spark):
+    """Small blocks and groups, long, short, repeated and null items: the hits of plain dynamic programming."""
+    rng = random.Random(15)
+    items = [(k, " ".join(words(rng, rng.choice([6, 25, 90, 200]))) + ". " + " ".join(words(rng, 5)) + ".") for k in range(30)]
+    items += [(3, items[3][1]), (30, ""), (31, None), (None, "no id")]
+    docs = [(100 + k, " ".join(words(rng, 80))) for k in range(20)] + [(5, None), (6, ""), (None, items[2][1])]
+    for k, t in items[:30:2]:
+        w = t.split()
+        for at in rng.sample(range(len(w) - 5), len(w) // 8):
+            w[at] = "changed"
+        docs += [(k, " ".join([*words(rng, 20), *w, *words(rng, 20)]))] * (1 + k % 3)
+    frame = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as content", "2 as _doc", "3 as item_id")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    plain = lambda t: [w.strip(".") for w in t.split()]
+    want, dirty = set(), set()
+    for d, t in docs:
+        for i, item in items:
+            if t and item and i is not None and common(plain(item), plain(t)) >= 0.6 * len(plain(item)) and set(plain(item)[-5:]) & set(plain(t)):
+                want.add((d, i))
+                dirty.add(t)
+    got = decontaminate.contaminated(frame, bench, block=7, passages=9)
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want and got.count() == len(want) and len(want) >= 16
+    clean = decontaminate.clean_documents(frame, bench, block=50, passages=1000)
+    assert clean.columns == frame.columns
+    assert sorted(str(r.doc_id) for r in clean.collect()) == sorted(str(d) for d, t in docs if t not in dirty)
+
+
+def common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
 def test_short_items_at_every_corpus_size():
     rng = random.Random(6)
     common, rare = [f"c{k}" for k in range(40)], [f"r{k}" for k in range(400)]
