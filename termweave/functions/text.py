@@ -160,20 +160,6 @@ def ngrams(tokens: Column, n: int) -> Column:
     return F.when(last >= 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(0)) + 1), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
-def common_subsequence(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two arrays, row by row of the table."""
-    start = F.transform(F.concat(F.array(F.lit("")), b), lambda _: F.lit(0))
-
-    def next_row(row: Column, x: Column) -> Column:
-        cells = F.transform(b, lambda y, j: F.when(y == x, F.get(row, j) + 1).otherwise(F.lit(-1)))
-        return F.aggregate(
-            cells, F.array(F.lit(0)),
-            lambda acc, c: F.concat(acc, F.array(F.when(c >= 0, c).otherwise(F.greatest(F.element_at(acc, -1), F.get(row, F.size(acc)))))),
-        )
-
-    return F.element_at(F.aggregate(a, start, next_row), -1)
-
-
 def upper_first(text: Column) -> Column:
     return F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, F.lit(2), F.greatest(F.length(text) - 1, F.lit(0))))
 

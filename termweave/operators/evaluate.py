@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termweave.functions import text as T
+from termweave.functions.sequences import with_common_subsequence
 
 
 def keyword_metrics(pairs: DataFrame, cuts: tuple[int, ...] = (5, 10)) -> DataFrame:
@@ -29,9 +30,10 @@ def rouge_n(pairs: DataFrame, n: int) -> DataFrame:
 
 
 def rouge_l(pairs: DataFrame) -> DataFrame:
-    """The same by the longest common subsequence."""
-    sized = pairs.select("pair_id", F.size("cand").cast("double").alias("c"), F.size("ref").cast("double").alias("r"), T.common_subsequence(F.col("cand"), F.col("ref")).cast("double").alias("hits"))
-    return _prf(sized, F.col("hits"))
+    """The same by the longest common subsequence, in Arrow batches: each step needs the row before."""
+    some = lambda c: F.coalesce(c, F.array().cast("array<string>")).alias(c)
+    found = with_common_subsequence(pairs.select("pair_id", some("cand"), some("ref")), "cand", "ref", "hits")
+    return _prf(found.withColumnsRenamed({"cand": "c", "ref": "r"}), F.col("hits"))
 
 
 def _prf(df: DataFrame, hits: Column) -> DataFrame:

@@ -1,7 +1,7 @@
-"""The bipartite graph of documents and keywords, as three tables.
+"""The bipartite graph of documents and keywords, as tables.
 
 documents (id, title, ...), keywords (id, name, methods) and has_keyword
-(pub_id, keyword_id, method, weight).  has_keyword is a multiset: one pair may
+(pub_id, keyword_id, method, weight); links between documents are a fourth.  has_keyword is a multiset: one pair may
 be linked by several methods, or twice by one.
 """
 
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termweave.functions import text as T
+from termweave.operators.lexicon import phrase_ids
 
 
 @dataclass
@@ -20,15 +21,18 @@ class Graph:
     documents: DataFrame
     keywords: DataFrame
     has_keyword: DataFrame
+    similar: DataFrame | None = None  # (source, target, score), if there are such links
 
     def as_views(self, spark: SparkSession) -> None:
         """Names the tables for spark.sql: documents_v, keywords_v, has_keyword."""
         self.documents.createOrReplaceTempView("documents_v")
         self.keywords.createOrReplaceTempView("keywords_v")
         self.has_keyword.createOrReplaceTempView("has_keyword")
+        if self.similar is not None:
+            self.similar.createOrReplaceTempView("similar_to")
 
 
-def keyword_mentions(articles: DataFrame, keep_digits: bool = True, letters: str = "а-яёa-z") -> DataFrame:
+def keyword_mentions(articles: DataFrame, keep_digits: bool = True, letters: str = "а-яёa-z", lexicon: DataFrame | None = None) -> DataFrame:
     """(pub_id, method, idx, spelling, keyword_id) of all keyword lists; blank ones are left out but counted in idx.
 
     ``articles`` has filename and the arrays keywords, keywords_tfidf, keywords_keybert.
@@ -37,7 +41,11 @@ def keyword_mentions(articles: DataFrame, keep_digits: bool = True, letters: str
     for order, (method, column) in enumerate((("author", "keywords"), ("tfidf", "keywords_tfidf"), ("keybert", "keywords_keybert"))):
         one = articles.select(F.col("filename").alias("pub_id"), F.lit(method).alias("method"), F.lit(order).alias("list"), F.posexplode(F.coalesce(F.col(column), F.array().cast("array<string>"))).alias("idx", "raw"))
         parts = one if parts is None else parts.unionByName(one)
-    spelled = parts.withColumn("spelling", F.regexp_replace(T.strip(F.col("raw")), "\\.+$", "")).withColumn("keyword_id", T.phrase_id(F.col("spelling"), keep_digits, letters))
+    spelled = parts.withColumn("spelling", F.regexp_replace(T.strip(F.col("raw")), "\\.+$", ""))
+    if lexicon is None:
+        spelled = spelled.withColumn("keyword_id", T.phrase_id(F.col("spelling"), keep_digits, letters))
+    else:
+        spelled = phrase_ids(spelled.withColumn("phrase", F.col("spelling")), lexicon, keep_digits, letters).withColumnRenamed("phrase_id", "keyword_id").drop("phrase")
     return spelled.filter("spelling <> '' and keyword_id <> ''").drop("raw")
 
 
@@ -45,8 +53,8 @@ def edge_weight(method: Column, idx: Column) -> Column:
     return F.when(method == "author", F.lit(1.0)).otherwise((10 - F.least(idx, F.lit(9))).cast("double"))
 
 
-def build(articles: DataFrame, summaries: DataFrame | None = None, keep_digits: bool = True, letters: str = "а-яёa-z") -> Graph:
-    mentions = keyword_mentions(articles, keep_digits, letters)
+def build(articles: DataFrame, summaries: DataFrame | None = None, keep_digits: bool = True, letters: str = "а-яёa-z", lexicon: DataFrame | None = None) -> Graph:
+    mentions = keyword_mentions(articles, keep_digits, letters, lexicon)
     edges = mentions.select("pub_id", "keyword_id", "method", edge_weight(F.col("method"), F.col("idx")).alias("weight"))
     keywords = keyword_vertices(mentions.withColumn("seq", F.struct("pub_id", "list", "idx")))
     docs = articles.select(F.col("filename").alias("id"), "title", F.array_join("authors", "; ").alias("authors"), "annotation")
@@ -86,17 +94,25 @@ def expanded(g: Graph) -> DataFrame:
     return g.has_keyword.join(d, F.col("pub_id") == F.col("d_id")).join(k, F.col("keyword_id") == F.col("k_id"))
 
 
-def shared_terms(edges: DataFrame, ordered: bool = True) -> DataFrame:
+HUB = 2048  # documents of a keyword that meet as many others in one key of the join
+
+
+def shared_terms(edges: DataFrame, ordered: bool = True, hub: int = HUB) -> DataFrame:
     """(d1, d2, paths, shared) of the pairs of documents with a common keyword.
 
     paths counts pairs of parallel edges; shared counts distinct keywords.  Edges
     are summed by document and keyword before the join, so parallel edges don't
     multiply rows.  Only ids are joined; pairs are d1 < d2 unless not ordered.
+    The documents of a keyword of more than ``hub`` are split into parts, and each
+    part meets each in a key of its own: the same pairs, by more tasks.
     """
     one = edges.groupBy("keyword_id", "pub_id").agg(F.count("*").alias("n"))
-    left = one.select("keyword_id", F.col("pub_id").alias("d1"), F.col("n").alias("n1"))
-    right = one.select("keyword_id", F.col("pub_id").alias("d2"), F.col("n").alias("n2"))
-    pairs = left.join(right, "keyword_id").filter("d1 < d2" if ordered else "d1 <> d2")
+    parts = one.groupBy("keyword_id").agg(F.ceil(F.count("*") / hub).cast("int").alias("parts"))
+    dealt = one.join(parts, "keyword_id").withColumn("part", F.pmod(F.xxhash64("pub_id"), F.col("parts")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    left = dealt.select("keyword_id", F.col("part").alias("p1"), every.alias("p2"), F.col("pub_id").alias("d1"), F.col("n").alias("n1"))
+    right = dealt.select("keyword_id", every.alias("p1"), F.col("part").alias("p2"), F.col("pub_id").alias("d2"), F.col("n").alias("n2"))
+    pairs = left.join(right, ["keyword_id", "p1", "p2"]).filter("d1 < d2" if ordered else "d1 <> d2")
     return pairs.groupBy("d1", "d2").agg(F.sum(F.col("n1") * F.col("n2")).alias("paths"), F.count("*").alias("shared"))
 
 
@@ -114,5 +130,6 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.union(edges.select(F.col("target").alias("source"), F.col("source").alias("target"), "score"))
 
 
-def from_tables(documents: DataFrame, keywords: DataFrame, edges: DataFrame) -> Graph:
-    return Graph(documents, keywords, edges)
+def similar_of(edges: DataFrame, pub_id) -> DataFrame:
+    """(pub_id, score) of the documents linked to one, whichever way the link points."""
+    return both_ways(edges).filter(F.col("source") == F.lit(pub_id)).select(F.col("target").alias("pub_id"), "score")

@@ -64,3 +64,15 @@ def valid_keywords(phrases: DataFrame, lexicon: DataFrame | None = None, profile
     parts = distinct.select("phrase", F.size("words").alias("n"), F.posexplode("words").alias("i", "token")).join(lexicon.select("token", "pos"), "token", "left")
     wrong = parts.filter(F.col("pos").isin(*P.NOT_KEYWORD_POS) | ((F.col("n") > 1) & (F.col("i") == F.col("n") - 1) & F.col("pos").isin(*P.NOT_LAST_POS)))
     return good.join(wrong.select("phrase").distinct(), "phrase", "left_anti")
+
+
+def phrase_ids(phrases: DataFrame, lexicon: DataFrame, keep_digits: bool = True, letters: str = "а-яёa-z") -> DataFrame:
+    """phrases with phrase_id: the lemmas of ``phrase`` in alphabetical order ('' if it has no word).
+
+    Lemmas are looked up once for each distinct phrase.
+    """
+    distinct = phrases.select("phrase").distinct()
+    parts = distinct.select("phrase", F.explode(T.words(F.col("phrase"), letters + ("0-9" if keep_digits else ""))).alias("token"))
+    named = parts.join(lexicon.select("token", "lemma"), "token", "left").withColumn("lemma", F.coalesce("lemma", "token"))
+    ids = named.groupBy("phrase").agg(F.array_join(F.array_sort(F.collect_list("lemma")), " ").alias("phrase_id"))
+    return phrases.join(ids, "phrase", "left").withColumn("phrase_id", F.coalesce("phrase_id", F.lit("")))

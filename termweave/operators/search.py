@@ -32,16 +32,10 @@ def has(column: str, query: str) -> Column:
     return F.lower(F.col(column)).contains(query.lower())
 
 
-def all_of(*conditions: Column | None) -> Column:
-    out = F.lit(True)
-    for c in conditions:
-        out = out if c is None else out & c
-    return out
-
-
 def stats(g: Graph) -> DataFrame:
     one = lambda df, name: df.agg(F.count("*").alias(name))
-    return one(g.documents, "documents").crossJoin(one(g.keywords, "keywords")).crossJoin(one(g.has_keyword, "edges")).withColumn("similar", F.lit(0).cast("long"))
+    counts = one(g.documents, "documents").crossJoin(one(g.keywords, "keywords")).crossJoin(one(g.has_keyword, "edges"))
+    return counts.withColumn("similar", F.lit(0).cast("long")) if g.similar is None else counts.crossJoin(one(g.similar, "similar"))
 
 
 def matching_documents(g: Graph, query: str = "") -> DataFrame:
@@ -65,14 +59,32 @@ def search_documents(g: Graph, query: str = "", page: Page = Page(1, 15)) -> Dat
     return rows.join(nested.withColumnRenamed("pub_id", "id"), "id", "left").withColumn("keywords", F.coalesce(k, empty)).drop("k")
 
 
+def with_authors(rows: DataFrame, authors: DataFrame) -> DataFrame:
+    """A page of rows (id, ...) with each document's ``authors`` (id, authors), [] for unknown ones.
+
+    The page is small and fixed in size, the table of authors is not: the page's
+    ids are broadcast to it, and what is left is joined to the page.
+    """
+    page = rows.select("id").distinct()
+    some = authors.join(F.broadcast(page), "id", "left_semi").groupBy("id").agg(F.min("authors").alias("authors"))
+    return rows.join(some, "id", "left").withColumn("authors", F.coalesce("authors", F.array().cast("array<string>")))
+
+
 def document_keywords(g: Graph, pub_id) -> DataFrame:
     return expanded(Graph(g.documents, g.keywords, g.has_keyword.filter(F.col("pub_id") == F.lit(pub_id)))).select(F.col("k_id").alias("id"), F.col("k_name").alias("name"), "method", "weight").orderBy("method", F.desc("weight"), "id")
 
 
 def similar_documents(g: Graph, pub_id, k: int = 10, names: bool = True) -> DataFrame:
-    """The k documents that share most distinct keywords with one: id, title, score, shared names."""
-    mine = g.has_keyword.filter(F.col("pub_id") == F.lit(pub_id)).select("keyword_id").distinct()
-    others = g.has_keyword.filter(F.col("pub_id") != F.lit(pub_id)).join(mine, "keyword_id", "left_semi").select("pub_id", "keyword_id").distinct()
+    """The k documents that share most distinct keywords with one: id, title, score, shared names.
+
+    ``pub_id`` is an id, or a DataFrame of one row that holds it.
+    """
+    if isinstance(pub_id, DataFrame):  # one row, so it is broadcast
+        marked = g.has_keyword.join(F.broadcast(pub_id.toDF("_anchor")), F.lit(True)).withColumn("_own", F.col("pub_id") == F.col("_anchor"))
+    else:
+        marked = g.has_keyword.withColumn("_own", F.col("pub_id") == F.lit(pub_id))
+    mine = marked.filter("_own").select("keyword_id").distinct()
+    others = marked.filter("not _own").join(mine, "keyword_id", "left_semi").select("pub_id", "keyword_id").distinct()
     top = others.groupBy("pub_id").agg(F.count("*").alias("score")).orderBy(F.desc("score"), "pub_id").limit(k)
     if names:
         shared = others.join(F.broadcast(top), "pub_id").join(g.keywords.select(F.col("id").alias("keyword_id"), "name"), "keyword_id")

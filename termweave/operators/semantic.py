@@ -13,6 +13,29 @@ from termweave.functions import profiles as P
 from termweave.functions import text as T
 
 Embedder = Callable[[list[str]], np.ndarray]
+AT_ONCE = 20_000  # phrases embedded together
+
+
+def model_embedder(path: str, inputs: Callable[[list[str]], dict[str, np.ndarray]], output: int = 0) -> Embedder:
+    """Unit vectors of an ONNX model at ``path``: ``inputs`` makes its arrays of texts (a tokenizer),
+    its token vectors are averaged over the attention mask.  The model is loaded once a worker."""
+    held: dict = {}
+
+    def embed(texts: list[str]) -> np.ndarray:
+        import onnxruntime
+
+        if "model" not in held:
+            held["model"] = onnxruntime.InferenceSession(path, providers=["CPUExecutionProvider"])
+        if not texts:
+            return np.zeros((0, 1))
+        fed = inputs(texts)
+        out = held["model"].run(None, fed)[output]
+        if out.ndim == 3:
+            mask = fed["attention_mask"][:, :, None] if "attention_mask" in fed else np.ones(out.shape[:2])[:, :, None]
+            out = (out * mask).sum(1) / np.maximum(mask.sum(1), 1)
+        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+
+    return embed
 
 
 def hashed_ngram_embedder(dims: int = 128, n: int = 3) -> Embedder:
@@ -68,11 +91,18 @@ def ranked_phrases(docs: DataFrame, embed: Embedder | None = None, k: int = 25,
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            found = []
-            for text, phrases in zip(part["text"], part["phrases"], strict=True):
-                phrases = list(phrases)
-                picked = diverse(embed([text])[0], embed(phrases), k, diversity) if phrases else []
-                found.append([phrases[i] for i in picked])
+            lists = [list(p) for p in part["phrases"]]
+            ends = np.cumsum([len(p) for p in lists])
+            found, at = [], 0
+            while at < len(lists):  # as many documents at once as have about AT_ONCE phrases
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, "right")))
+                docs, vectors = embed(part["text"].iloc[at:to].tolist()), embed([p for some in lists[at:to] for p in some])
+                lo = 0
+                for doc, phrases in zip(docs, lists[at:to], strict=True):
+                    picked = diverse(doc, vectors[lo : lo + len(phrases)], k, diversity) if phrases else []
+                    found.append([phrases[i] for i in picked])
+                    lo += len(phrases)
+                at = to
             yield pd.DataFrame({"doc_id": part["doc_id"], "phrases": found})
 
     return candidates(docs, profile, most).mapInPandas(run, "doc_id long, phrases array<string>")
@@ -92,6 +122,35 @@ def semantic_keywords(docs: DataFrame, valid, embed: Embedder | None = None, k:
     return kept.select("doc_id", F.posexplode("kept").alias("i", "phrase")).select("doc_id", (F.col("i") + 1).alias("rank"), "phrase")
 
 
+def diverse_rows(vectors: DataFrame, anchor: DataFrame, k: int = 10, diversity: float = 0.55, candidates: int = 256) -> DataFrame:
+    """(rank, vec_id): maximal marginal relevance over (vec_id, embedding) to one anchor (embedding).
+
+    The ``candidates`` rows nearest to the anchor by cosine, ties to the smaller id, are
+    what is chosen from: a feature of the search, so that the greedy choice, which
+    needs the choices before it, works on a fixed number of rows.
+    """
+    one = anchor.select(F.col("embedding").alias("_anchor")).limit(1)
+    near = vectors.crossJoin(F.broadcast(one)).select("vec_id", "embedding", F.round(cosine(F.col("embedding"), F.col("_anchor")), 12).alias("like"))
+    best = near.orderBy(F.desc("like"), "vec_id").limit(candidates)
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["like", "vec_id"], ascending=[False, True])
+        x = np.stack([np.asarray(v, float) for v in part["embedding"]])
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+        ids, like = part["vec_id"].to_numpy(), part["like"].to_numpy()
+        chosen, worst = [], np.full(len(ids), -np.inf)
+        for _ in range(min(k, len(ids))):
+            score = like.copy() if not chosen else np.round((1 - diversity) * like - diversity * worst, 10)
+            score[chosen] = -np.inf
+            at = np.flatnonzero(score == score.max())
+            i = int(at[np.argmin(ids[at])])
+            chosen.append(i)
+            worst = np.maximum(worst, x @ x[i])
+        return pd.DataFrame({"rank": np.arange(1, len(chosen) + 1, dtype=np.int32), "vec_id": ids[chosen]})
+
+    return best.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(run, "rank int, vec_id long")
+
+
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda acc, v: acc + v)
     size = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))

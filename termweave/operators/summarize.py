@@ -23,6 +23,11 @@ def sentence_scores(sentence_words: Column, keywords: Column) -> Column:
     return F.transform(sentence_words, score)
 
 
+def normalised(scores: Column) -> Column:
+    """The scores as shares of the highest; 0 if that is 0."""
+    return F.transform(scores, lambda x: T.share(x, F.array_max(scores)))
+
+
 def chosen_sentences(words: list[set[str]], scores: list[float], count: int = 4, balance: float = 0.6) -> list[int]:
     """Places of the sentences that maximal marginal relevance picks, in order of choice.
 

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from termweave.plans import graph_catalogue, text_catalogue
+from termweave.plans import article_catalogue, graph_catalogue, text_catalogue
 from termweave.plans.text_catalogue import similar_documents
 
 __all__ = ["oracle_sql", "queries", "similar_documents"]
+PARTS = (graph_catalogue, text_catalogue, article_catalogue)
 
 
 def queries() -> dict:
-    return graph_catalogue.QUERIES | text_catalogue.QUERIES
+    return {name: f for part in PARTS for name, f in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return graph_catalogue.SQL | text_catalogue.SQL
+    return {name: sql for part in PARTS for name, sql in part.SQL.items()}

@@ -194,9 +194,10 @@ def optional_match_docs(g: G.Graph) -> DataFrame:
     return joined.groupBy("id").agg(F.count("keyword_id").alias("n"), F.countDistinct("keyword_id").alias("terms"))
 
 
-@query("select * from e where pub_id in (select id from d where id % 3 = 0) and keyword_id in (select id from k where id % 2 = 0)")
+@query("select * from e where pub_id in (select id from d where annotation = 'F') and keyword_id in (select id from k where contains(name, 'bolt'))")
 def edge_endpoint_semi(g: G.Graph) -> DataFrame:
-    return G.with_endpoints(g.has_keyword, g.documents.filter("id % 3 = 0"), g.keywords.filter("id % 2 = 0")).select("pub_id", "keyword_id", "method", "weight")
+    """Edges whose ends are known, where finished orders are the documents and bolts the keywords."""
+    return G.with_endpoints(g.has_keyword, g.documents.filter("annotation = 'F'"), g.keywords.filter(F.contains("name", F.lit("bolt")))).select("pub_id", "keyword_id", "method", "weight")
 
 
 @query("select d.id, coalesce(array_to_string(list_sort(list(k.name)), '|'), '') as names from (select * from d order by title nulls last, id limit 15) d left join e on e.pub_id = d.id left join k on k.id = e.keyword_id group by 1")
@@ -223,7 +224,8 @@ def shared_label(g: G.Graph) -> DataFrame:
     return names.select("pub_id", T.first_and_more(F.col("names")).alias("label"))
 
 
-@query("select id, title, case when trim(annotation) = 'O' then annotation else 'summary' end as shown, case when length(title) > 8 then substr(title, 1, 8) || '...' else title end as tip from d")
+@query("""select k.id, case when trim(brand) <> '' then brand when trim(name) <> '' then name else '' end as shown, case when length(name) > 8 then substr(name, 1, 8) || '...' else name end as tip from (select id, name, translate(brand, 'Brand#123', '         ') as brand from k) k""")
 def display_fallback(g: G.Graph) -> DataFrame:
-    blank = F.when(F.col("annotation") == "O", F.col("annotation")).otherwise(F.lit(" "))
-    return g.documents.select("id", "title", T.display_text(blank, F.lit("summary")).alias("shown"), T.tooltip(F.col("title"), 8).alias("tip"))
+    """A text that is blank for some rows, or the name in its place; a short tip."""
+    text = F.translate(F.get("methods", F.lit(0)), "Brand#123", "         ")
+    return g.keywords.select("id", T.display_text(text, F.col("name")).alias("shown"), T.tooltip(F.col("name"), 8).alias("tip"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from termweave.functions import profiles as P
 from termweave.functions import text as T
 from termweave.operators import evaluate, graph, lexicon, search, semantic, summarize, tfidf
-from termweave.sources import readers
+from termweave.sources import readers, scratch
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -153,11 +153,6 @@ def sentence_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.explode(F.arrays_zip(F.transform("s", lambda x: x["idx"]).alias("idx"), F.col("v").alias("v"))).alias("x")).select("doc_id", "x.idx", F.round("x.v", 6).alias("score"))
 
 
-@query()
-def mmr_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summarize.summaries(summary_inputs(spark, sf_dir))
-
-
 @query(rf"with {PARTS} select doc_id, array_to_string(list_filter(list_transform(string_split_regex(rtrim(trim(replace(annotation, chr(10), ' ')), '.'), '[,;]\s*'), lambda k: regexp_replace(lower(trim(k)), '\s+', ' ', 'g')), lambda k: k <> '' and length(k) <= 60 and len(string_split(k, ' ')) <= 6 and not contains(k, 'doi:') and not contains(k, 'http') and not contains(k, '//') and not contains(k, '№') and not contains(k, ' c. ')), ';') as keywords from parts")
 def clean_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts(spark, sf_dir).select("doc_id", F.array_join(T.keyword_list(F.col("annotation")), ";").alias("keywords"))
@@ -216,6 +211,13 @@ def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.withColumn("ref", F.lag("cand").over(w)).filter("ref is not null").select(F.concat_ws("-", "conv_id", "turn").alias("pair_id"), "cand", "ref")
 
 
+def turn_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as texts."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("cand"))
+    return turns.withColumn("ref", F.lag("cand").over(w)).filter("ref is not null").select(F.concat_ws("-", "conv_id", "turn").alias("pair_id"), "cand", "ref")
+
+
 def _turn_sql(n: int) -> str:
     gram = "array_to_string(x.w[i : i + " + str(n - 1) + "], ' ')"
     return rf"""with t as (select conv_id, turn, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') as w from conversations),
@@ -246,11 +248,6 @@ def rouge2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(evaluate.rouge_n(turn_pairs(spark, sf_dir), 2), "pair_id")
 
 
-@query()
-def rougeL(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.rouge_l(turn_pairs(spark, sf_dir))
-
-
 @query(_turn_sql(1) + "select 'rouge1' as metric, round(coalesce(avg(precision), 0), 6) as precision, round(coalesce(avg(recall), 0), 6) as recall, round(coalesce(avg(f1), 0), 6) as f1 from f")
 def rouge_macro_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = evaluate.rouge_n(turn_pairs(spark, sf_dir), 1).withColumn("metric", F.lit("rouge1"))
@@ -263,12 +260,6 @@ def extract_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("name", T.last_segment(F.col("link")))
 
 
-@query(r"select page_id, len(list_filter(regexp_extract_all(html, '<p[^>]*>'), lambda x: true))::int as paragraphs, 0::int as pdf_links from pages")
-def issue_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    html = F.col("html")
-    return table(spark, sf_dir, "pages").select("page_id", F.size(F.regexp_extract_all(html, F.lit("(<p[^>]*>)"), F.lit(1))).alias("paragraphs"), F.size(readers.issue_links(html)).alias("pdf_links"))
-
-
 @query("""with v as (select vec_id, cast(embedding as double[]) as e from embeddings), q as (select * from v where vec_id = 0)
 select v.vec_id, round(list_cosine_similarity(q.e, v.e), 6) as score from v, q where v.vec_id <> 0 order by list_cosine_similarity(q.e, v.e) desc, v.vec_id limit 10""")
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -280,15 +271,10 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def semantic_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten diverse phrases of each document; as the feature is, of its first 5,000 characters."""
     return semantic.semantic_keywords(table(spark, sf_dir, "documents"), lexicon.is_valid_keyword)
 
 
-@query()
-def greedy_substring_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = tfidf.top_terms(weighted(spark, sf_dir), 25).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("k"))
-    return terms.select("doc_id", F.array_join(semantic.without_redundant(F.transform("k", lambda x: x["term"])), "|").alias("kept"))
-
-
 def terms_graph(spark: SparkSession, sf_dir: str) -> graph.Graph:
     """Documents and their ten heaviest terms as a graph."""
     top = tfidf.top_terms(weighted(spark, sf_dir))
@@ -305,8 +291,9 @@ select doc_id as id, score, shared from z order by score desc, doc_id limit 10""
 def similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: documents that share most terms with the first one that has any."""
     g = terms_graph(spark, sf_dir)
-    anchor = g.has_keyword.agg(F.min("pub_id")).first()[0]
-    return search.similar_documents(g, -1 if anchor is None else anchor).select("id", "score", F.array_join("shared", "|").alias("shared"))
+    g.has_keyword = scratch.stored(g.has_keyword, "edges")  # ten rows a document, read three times
+    anchor = g.has_keyword.agg(F.min("pub_id"))
+    return search.similar_documents(g, anchor).select("id", "score", F.array_join("shared", "|").alias("shared"))
 
 
 @query("select event_type, date_trunc('hour', ts) as start, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")

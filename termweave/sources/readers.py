@@ -12,9 +12,9 @@ EDGES_CSV = "pub_id string, keyword_id string, method string, weight string"
 SIMILAR_CSV = "source string, target string, score string"
 
 
-def articles_json(spark: SparkSession, path: str) -> DataFrame:
-    """Articles, one JSON document a file; what a file lacks is '' or an empty list."""
-    return with_defaults(spark.read.schema(ARTICLE).option("multiLine", True).json(path))
+def articles_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Articles, one JSON document a file (or a line); what one lacks is '' or an empty list."""
+    return with_defaults(spark.read.schema(ARTICLE).option("multiLine", not lines).json(path))
 
 
 def with_defaults(articles: DataFrame) -> DataFrame:
@@ -37,6 +37,12 @@ def graph_csv(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, D
     return read("publications.csv", PUBLICATIONS_CSV), keywords, edges
 
 
+def similar_csv(spark: SparkSession, folder: str) -> DataFrame:
+    """(source, target, score) of the links between documents."""
+    rows = spark.read.schema(SIMILAR_CSV).options(header=True, multiLine=True, quote='"', escape='"').csv(f"{folder}/rel_pub_pub.csv")
+    return rows.withColumn("score", F.col("score").try_cast("double"))
+
+
 def listing(spark: SparkSession, folder: str, suffix: str = "pdf", first: int | None = None) -> DataFrame:
     """Files of a folder by name, their bytes unread until asked for; the first n in order of path."""
     pattern = "*." + "".join(f"[{c.lower()}{c.upper()}]" for c in suffix)
@@ -66,6 +72,11 @@ def issue_links(html: Column, kind: str = ".pdf") -> Column:
     return F.filter(found, lambda u: F.contains(u, F.lit(kind)))
 
 
+def unnested(batches: DataFrame, column: str = "batch") -> DataFrame:
+    """The rows of arrays of structs, one row each."""
+    return batches.select(F.explode(column).alias("_row")).select("_row.*")
+
+
 def last_of_each(df: DataFrame, key: str, order: str) -> DataFrame:
     """One row a key: the one written last."""
     rest = [c for c in df.columns if c != key]

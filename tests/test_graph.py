@@ -115,3 +115,52 @@ def test_streaming(spark, tmp_path):
     run()
     run()
     assert {r.doc_id: r.status for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {1: "ok", 2: "skipped"}
+
+
+def test_hubs_are_split(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [(f"d{rng.randrange(40):02}", f"k{min(rng.randrange(30), 12)}") for _ in range(400)]
+    edges = spark.createDataFrame(rows, "pub_id string, keyword_id string")
+    count = {}
+    for d, k in rows:
+        count[d, k] = count.get((d, k), 0) + 1
+    want = {}
+    for (a, k), m in count.items():
+        for (b, j), n in count.items():
+            if k == j and a < b:
+                p, s = want.get((a, b), (0, 0))
+                want[a, b] = (p + m * n, s + 1)
+    for hub in (3, 2048):
+        assert {(r.d1, r.d2): (r.paths, r.shared) for r in G.shared_terms(edges, hub=hub).collect()} == want
+    assert G.shared_terms(edges, ordered=False, hub=5).count() == 2 * len(want)
+
+
+def test_dangling_edges_go(spark):
+    edges = spark.createDataFrame([("a", "k", "x", 1.0), ("a", "k", "x", 1.0), ("a", "gone", "x", 1.0), ("gone", "k", "x", 1.0), (None, "k", "x", 1.0)], "pub_id string, keyword_id string, method string, weight double")
+    docs, words = spark.createDataFrame([("a",), ("b",)], "id string"), spark.createDataFrame([("k",)], "id string")
+    assert [tuple(r) for r in G.with_endpoints(edges, docs, words).select("pub_id", "keyword_id").collect()] == [("a", "k")] * 2
+
+
+def test_links_and_script(spark, g, tmp_path):
+    links = spark.createDataFrame([("a.pdf", "b.pdf", 0.5), ("c.pdf", "a.pdf", 0.25)], "source string, target string, score double")
+    full = G.Graph(g.documents, g.keywords, g.has_keyword, links)
+    writers.graph_csv(full, str(tmp_path))
+    assert sorted(map(tuple, readers.similar_csv(spark, str(tmp_path)).collect())) == sorted(map(tuple, links.collect()))
+    assert {tuple(r) for r in G.similar_of(links, "a.pdf").collect()} == {("b.pdf", 0.5), ("c.pdf", 0.25)}
+    assert S.stats(full).first()["similar"] == 2
+    script = writers.import_script(similar=True)
+    assert script.count("LOAD CSV") == 4 and writers.import_script().count("LOAD CSV") == 3
+    for p in ("title", "annotation", "summary_tfidf", "summary_keybert", "name", "methods"):
+        assert f"x.{p} = row.{p}" in script
+    authors = spark.createDataFrame([("a.pdf", ["X"]), ("z", ["Y"])], "id string, authors array<string>")
+    page = S.with_authors(g.documents.select("id"), authors)
+    assert {r.id: r.authors for r in page.collect()} == {"a.pdf": ["X"], "b.pdf": [], "c.pdf": []}
+
+
+def test_lemmas_join_keywords(spark, articles):
+    lex = spark.createDataFrame([("графы", "граф", None), ("онтологии", "онтология", None)], "token string, lemma string, pos string")
+    other = articles.withColumn("keywords", F.array(F.lit("Онтологии и графы"), F.lit("графы")))
+    ids = {r.keyword_id for r in G.build(other, lexicon=lex).has_keyword.filter("method = 'author'").collect()}
+    assert ids == {"граф и онтология", "граф"}

@@ -109,3 +109,51 @@ def test_lexicon(spark):
     assert [r.phrase for r in lexicon.valid_keywords(phrases, lex).collect()] == ["кошки"]
     docs = spark.createDataFrame([(1, "Кошки и я -бежать- вкл")], "doc_id long, text string")
     assert Counter(r.lemma for r in lexicon.lemmas(docs, F.col("text"), lex).collect())["кошк"] == 1
+
+
+def test_semantic_keywords_by_brute_force(spark):
+    """Each document alone, with plain loops over the vectors."""
+    import numpy as np
+
+    texts = {1: "graphs of knowledge link words and documents by the words of a graph", 2: "", 3: None, 4: "one", 5: "the of and", 6: "alpha beta alpha gamma beta delta alpha"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    embed = semantic.hashed_ngram_embedder()
+    stop = set(lexicon.P.UNICODE.stopwords)
+    got = {}
+    for r in semantic.semantic_keywords(docs, lexicon.is_valid_keyword, k=4).orderBy("doc_id", "rank").collect():
+        got.setdefault(r.doc_id, []).append(r.phrase)
+    for i, t in texts.items():
+        w = [x for x in (t or "").split() if len(x) >= 2 and x not in stop]
+        phrases = list(dict.fromkeys([*w, *(" ".join(p) for p in zip(w, w[1:], strict=False))]))
+        chosen = []
+        if phrases:
+            doc, vectors = embed([t])[0], embed(phrases)
+            while len(chosen) < min(25, len(phrases)):
+                score = [-9 if p in chosen else (0.45 * float(vectors[p] @ doc) - 0.55 * max(float(vectors[p] @ vectors[c]) for c in chosen)) if chosen else float(vectors[p] @ doc) for p in range(len(phrases))]
+                chosen.append(int(np.argmax(np.round(score, 12))))
+        kept = []
+        for p in (phrases[c] for c in chosen):
+            if all(len(x) >= 3 for x in p.split()) and len(kept) < 4 and not any(p in e or e in p for e in kept):
+                kept.append(p)
+        assert got.get(i, []) == kept
+
+
+def test_russian_profile(spark):
+    docs = spark.createDataFrame([(1, "Для статьи и модели онтология из-за анализ всех граф")], "doc_id long, text string")
+    found = [r.lemma for r in lexicon.lemmas(docs, F.col("text"), profile=lexicon.P.RUSSIAN).orderBy("pos_in_text").collect()]
+    assert found == ["статьи", "модели", "онтология", "граф"]
+    assert len(lexicon.P.RUSSIAN_STOPWORDS) + len(lexicon.P.RUSSIAN_DOMAIN_STOPWORDS) == len({*lexicon.P.RUSSIAN_STOPWORDS, *lexicon.P.RUSSIAN_DOMAIN_STOPWORDS})
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 4), max_size=12), st.lists(st.integers(0, 4), max_size=12))
+def test_common_subsequence(a, b):
+    from termweave.functions.sequences import common_subsequence
+
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    assert common_subsequence(a, b) == row[-1]
