@@ -1,17 +1,13 @@
-"""Where intermediate tables go, and how texts reach numpy.
+"""How texts reach numpy, and small helpers.
 
-Intermediate results that several jobs read are written as Parquet below the
-folder named by ``spark.checkpoint.dir``.  Every executor and the driver can
-reach that folder, so a lost executor costs only the tasks it was running.
+Intermediate results that several jobs read are written as Parquet in the folder
+that the cluster shares (see ``sources.scratch``).
 """
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,25 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 1 << 20
-BATCH_BYTES = 8 << 20
-
+from termweave.sources import scratch
+from termweave.sources.scratch import dropped
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder.
+__all__ = ["bit_marks", "bounded", "dropped", "fresh", "marked", "mixed", "running_spans", "sampled", "shingles", "span_sums", "stored", "text_chunks", "Words"]
 
-    Where none is set, a folder of this machine serves a local master, whose
-    executors are this process; any other master is an error.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = getattr(spark, "_termweave_folder", None)
-        if not found:
-            found = "file://" + tempfile.mkdtemp(prefix="termweave-")
-            spark._termweave_folder = found
-    return found.rstrip("/")
+CHUNK_BYTES = 1 << 20
+BATCH_BYTES = 8 << 20
 
 
 def bounded(spark: SparkSession) -> SparkSession:
@@ -57,21 +41,8 @@ def _give_back() -> None:
 
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Writes df to the shared folder and returns a reader of it: lineage ends here."""
-    spark = bounded(df.sparkSession)
-    path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._termweave_path = path
-    return out
-
-
-def dropped(df: DataFrame) -> None:
-    """Deletes a table made by stored() that nothing reads any more."""
-    path = getattr(df, "_termweave_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        hadoop = jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(hadoop, True)
+    bounded(df.sparkSession)
+    return scratch.stored(df, what)
 
 
 def sampled(df: DataFrame, most: int, key: str = "doc_id") -> DataFrame:

@@ -4,16 +4,17 @@ Components become integers floor(64 x).  Candidates are packed into blocks with
 a posting list for every component (which vectors have it, and its weight);
 each query of a block adds, component by component, its weighted postings to a
 dense array of scores.  The best k of each block are selected by partition, and
-a window merges the blocks.  Query blocks are copied to each of a fixed number
-of groups of candidate blocks and meet them in an equi-join on the group, so no
-task holds all candidates or all queries.
+a window merges the blocks.  Blocks are numbered; each block of candidates is
+dealt to ``PARTS`` slots, each block of queries to one slot of every candidate
+block, and the slots are tasks of even size, as many as the table needs.  A task
+holds one block of candidates and one of queries at a time.
 
 Defined results: a vector that is null or holds a null or non-finite component,
 or has a null vec_id, takes no part; a shorter vector has zeros at its end;
 rows with the query's vec_id are its own and no candidates; repeated candidate
 rows count each; a vec_id queried by several rows is answered once, for the
-smallest vector; scores beyond a long are clipped; other columns don't matter;
-an empty table gives an empty result.
+smallest vector; scores beyond a long are clipped; other columns don't matter,
+whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,11 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from termweave.llm.shared import bounded, stored
+
 SCALE, K, EVERY = 64, 20, 20
-QUERY_BLOCK, GROUPS = 256, 24
+BLOCK, QUERY_BLOCK, PARTS = 8192, 256, 4
 TILE = 4096  # candidates whose scores are accumulated at once
 
 
@@ -85,42 +89,65 @@ def best_of_block(query_ids, queries, ids, vectors, k: int) -> tuple[np.ndarray,
     return row, place, found.astype(np.int64)
 
 
-def packed(vectors: DataFrame, size: int = 8192) -> DataFrame:
-    """Blocks of at most so many (ids, vectors), ids ascending, as lists."""
+def packed(vectors: DataFrame, size: int = BLOCK) -> tuple[DataFrame, int]:
+    """Blocks of at most so many (ids, vectors), ids ascending, as lists, numbered from 0; how many there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(at, size) for b in batches for at in range(0, b.num_rows, size)):
-            if batch.num_rows:
-                batch = pa.Table.from_batches([batch]).sort_by("vec_id").combine_chunks().to_batches()[0]
-                ids = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(0))
-                rows = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(1))
-                yield pa.RecordBatch.from_arrays([ids, rows], names=["ids", "vectors"])
-
-    return vectors.select("vec_id", "embedding").mapInArrow(run, "ids array<long>, vectors array<array<double>>")
+        task, k, held, n = TaskContext.get().partitionId(), 0, [], 0
 
+        def block(rows: pa.Table) -> pa.RecordBatch:
+            rows = rows.sort_by("vec_id").combine_chunks()
+            bound = pa.array([0, rows.num_rows], pa.int32())
+            lists = [pa.ListArray.from_arrays(bound, rows.column(c).chunk(0)) for c in (0, 1)]
+            return pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([k], pa.int32()), *lists], names=["task", "k", "ids", "vectors"])
 
-def top_k(candidates: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            while n >= size:
+                rows = pa.Table.from_batches(held)
+                yield block(rows.slice(0, size))
+                held, n, k = rows.slice(size).to_batches(), n - size, k + 1
+        if n:
+            yield block(pa.Table.from_batches(held))
+
+    blocks = stored(vectors.select("vec_id", "embedding").mapInArrow(run, "task int, k int, ids array<long>, vectors array<array<double>>"), "blocks")
+    # a row a task of the scan: the number of its first block
+    counts = sorted((r["task"], r["n"]) for r in blocks.groupBy("task").agg(F.count("*").alias("n")).collect())
+    ends = np.cumsum([n for _, n in counts], dtype=np.int64).tolist()
+    firsts = blocks.sparkSession.createDataFrame([(t, end - n) for (t, n), end in zip(counts, ends, strict=True)], "task int, first long")
+    return blocks.join(F.broadcast(firsts), "task").select((F.col("first") + F.col("k")).alias("block"), "ids", "vectors"), ends[-1] if ends else 0
+
+
+def top_k(candidates: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score of each query's k best candidates; both have vec_id and embedding."""
+    bounded(candidates.sparkSession)
 
     def valid(df: DataFrame) -> DataFrame:
         e = F.col("embedding").cast("array<double>")
         fine = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         return df.filter(F.col("vec_id").isNotNull() & e.isNotNull() & F.coalesce(fine, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("embedding"))
 
-    asked = valid(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    blocks = packed(valid(candidates)).withColumn("group", F.pmod(F.xxhash64("ids"), F.lit(GROUPS)).cast("int"))
-    asking = packed(asked, QUERY_BLOCK)
-    copies = asking.select(F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"), F.explode(F.sequence(F.lit(0), F.lit(GROUPS - 1))).alias("group"))
+    blocks, n = packed(valid(candidates), block)
+    asking, _ = packed(valid(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), query_block)
+    mine = blocks.select(F.explode(F.sequence(F.col("block") * PARTS, F.col("block") * PARTS + PARTS - 1)).alias("slot"), F.lit(0).alias("asks"), "ids", "vectors")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(n, 1) - 1).cast("long")))
+    theirs = asking.select(every.alias("to"), F.col("block"), "ids", "vectors").select((F.col("to") * PARTS + F.col("block") % PARTS).alias("slot"), F.lit(1).alias("asks"), "ids", "vectors")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot, ids, vectors = None, None, None
         for batch in batches:
             for i in range(batch.num_rows):
-                query_ids, ids = (batch.column(c)[i].values.to_numpy() for c in (0, 2))
-                queries, vectors = (integers(_dense(batch.column(c)[i].values)) for c in (1, 3))
-                row, place, score = best_of_block(query_ids, queries, ids, vectors, k)
-                yield pa.RecordBatch.from_arrays([pa.array(query_ids[row]), pa.array(ids[place]), pa.array(score)], names=["query_id", "vec_id", "score"])
-
-    partial = copies.join(blocks, "group").select("query_ids", "queries", "ids", "vectors").mapInArrow(run, "query_id long, vec_id long, score long")
+                own = batch.column(2)[i].values.to_numpy()
+                rows = integers(_dense(batch.column(3)[i].values))
+                if not batch.column(1)[i].as_py():
+                    slot, ids, vectors = batch.column(0)[i].as_py(), own, rows
+                elif batch.column(0)[i].as_py() == slot:  # where there are no candidates, none are found
+                    row, place, score = best_of_block(own, rows, ids, vectors, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(own[row]), pa.array(ids[place]), pa.array(score)], names=["query_id", "vec_id", "score"])
+
+    dealt = mine.union(theirs).repartitionByRange(max(n, 1) * PARTS, "slot").sortWithinPartitions("slot", "asks")
+    partial = dealt.mapInArrow(run, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return partial.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -5,7 +5,7 @@ import re
 
 import numpy as np
 
-from termweave.llm import decontaminate, linededup
+from termweave.llm import decontaminate, linededup, topk
 
 
 def words(rng, n, size=4):
@@ -166,3 +166,17 @@ def test_unrepeated_text_between_repeats_stays(spark):
     got = {r.doc_id: r.text.strip() for r in linededup.without_repeats(docs).collect()}
     assert got[2] == "Unique secret 4711." and got[4] == rows[3][1]
     assert {r.doc_id: r.text.strip() for r in linededup.without_repeats(docs, 1).collect()}[4] == "Other."
+
+
+def test_topk_over_many_small_blocks(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, rng.integers(-2, 3, 6).astype(float).tolist()) for k in range(120)] + [(40, [0.0] * 6), (7, [1.0] * 6)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 as block", "2 as slot").repartition(5)
+    queries = vectors.filter("vec_id % 20 = 0")
+    found = lambda **sizes: sorted(map(tuple, topk.top_k(vectors, queries, 9, **sizes).collect()))
+    want = []
+    for q in range(0, 120, 20):
+        mine = min(v for i, v in rows if i == q)
+        best = sorted((-int(sum(64 * a * 64 * b for a, b in zip(mine, v, strict=True))), i) for i, v in rows if i != q)[:9]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert found(block=7, query_block=2) == found(block=1, query_block=1) == found() == sorted(want)
