@@ -1,23 +1,28 @@
 """Near-duplicate classes by DartMinHash signatures, banding and verification.
 
-A text is the set of its five-word shingles (A-Z lower-cased, cut at white
-space; a shorter text is one shingle).  Every shingle is a region of weight by
-rank into which darts are thrown by a hash, at Poisson arrivals; a text keeps,
-for each coordinate, the earliest dart that falls below its weight.  Texts that
-agree on all coordinates of some band become candidates, and each candidate
-pair that is linked has been verified: Jaccard similarity >= 0.8.
-
-Work is bounded by the number of texts, not of pairs.  Equal texts are one
-node.  In each band bucket the node that meets most others is compared with all
-members, and components are found by contraction.  Where a bucket still holds
-several components, the nodes outside its largest one are compared with all its
-nodes of other components in blocks of a fixed size, so every pair of different
-components that shares a bucket has been compared.
+A text is the weighted set of its five-word shingles (A-Z lower-cased, cut at white
+space; a shorter text is one shingle), each as heavy as it stands often.  Every
+shingle is a region of weight by rank into which darts are thrown by a hash, at
+Poisson arrivals; a text keeps, for each coordinate, the earliest dart that falls
+below its weight.  Texts that agree on all coordinates of some band become
+candidates, and each candidate pair that is linked has been verified: weighted
+Jaccard similarity (sum of the smaller weights over that of the larger) >= 0.8.
+Without repeated shingles, or with ``weighted=False``, that is the Jaccard
+similarity of the sets.
+
+Equal texts are one node.  In each band bucket the node that meets most others is
+compared with all members, and components are found by contraction: work in the
+number of texts.  Where a bucket still holds several components, the nodes outside
+its largest one are compared with all its nodes of other components in blocks of a
+fixed size, so every pair of different components that shares a bucket has been
+compared; that part grows with the product of the two, spread over tasks, and no
+pair becomes a row unless it is a link.
 
 Defined results: one row per input row, with repeated rows in one class; the
 class id is the smallest doc_id of the class (null ids don't count); a null,
 empty or blank text is alike to nothing and stays alone, with its own doc_id
-as class; other columns don't matter; an empty table gives an empty result.
+as class; other columns don't matter, whatever their names; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -30,12 +35,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termweave.llm.shared import Words, dropped, fresh, mixed, shingles, stored, text_chunks
+from termweave.llm.shared import Words, bit_marks, dropped, fresh, marked, mixed, shingles, stored, text_chunks
 
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 4
 BLOCK = 1024  # nodes of a bucket that meet as many others in one task
-BITS = 26  # of the bitmap that keeps unwanted texts back: 8 MB
+LAST = 2**63 - 1  # stands for a null doc_id
 CHUNK = 1 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -108,7 +113,7 @@ def shingle_sets(raw: np.ndarray, at: np.ndarray, width: int = WIDTH) -> tuple[n
     return s[heads], counts, np.searchsorted(row[heads], np.arange(len(at))), words, h
 
 
-def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, weighted: bool = False) -> DataFrame:
+def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, weighted: bool = True) -> DataFrame:
     """Per row: doc_id, content (64-bit hash of the text), node (digest of its words), bands.
 
     ``weighted`` counts a repeated shingle as often as it stands; otherwise
@@ -134,32 +139,34 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, weighted:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("content"), "text").mapInArrow(run, "doc_id long, content long, node binary, bands array<long>")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame, weighted: bool) -> DataFrame:
     """node and its sorted shingle hashes (32 bits each) for the wanted (node, doc_id, content).
 
-    A bitmap of 2 ** BITS bits (so of a fixed size) over the wanted contents keeps
-    most other texts from being read by Python and shuffled; the join decides.
+    A shingle that stands n times is n different items, so that the Jaccard similarity
+    of the items is the weighted one of the shingles.  A bitmap over the wanted
+    contents keeps most other texts from being read by Python and shuffled; the join
+    decides.
     """
-    place = F.xxhash64("content").bitwiseAND((1 << BITS) - 1)
-    marks = wanted.select(F.shiftright(place, 15).alias("part"), place.bitwiseAND(32767).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
-    bitmap = np.zeros((1 << BITS) // 8, np.uint8)
-    for r in marks.collect():
-        bitmap[r["part"] << 12 : (r["part"] + 1) << 12] = np.frombuffer(r["bits"], np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    shared = docs.sparkSession.sparkContext.broadcast(bit_marks(wanted, F.col("content")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column(2).to_numpy()
-            some = np.flatnonzero(shared.value[at >> 3] >> (at & 7) & 1)
+            some = np.flatnonzero(marked(shared.value, batch.column(1).to_numpy()))
             for part, raw, at in text_chunks(batch.take(pa.array(some)), size=CHUNK):
-                s, _, first, _, _ = shingle_sets(raw, at)
+                s, counts, first, _, _ = shingle_sets(raw, at)
+                if weighted:
+                    ends = np.cumsum(counts)
+                    again = np.arange(len(counts) and ends[-1]) - np.repeat(ends - counts, counts)
+                    s = np.repeat(s, counts)
+                    s[again > 0] = mixed(s[again > 0] + again[again > 0].astype(np.uint64) * _STEP)
+                    first = np.concatenate([[0], ends])[first]
                 small = (s >> np.uint64(32)).astype(np.uint32)
                 out = [np.unique(small[a:b]).tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.binary())], names=["doc_id", "content", "set"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.binary())], names=["doc", "content", "set"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("content"), "text").select("doc_id", "content", place.alias("place"), "text")
-    found = texts.mapInArrow(run, "doc_id long, content long, set binary").withColumn("own", F.xxhash64("doc_id", "content"))
-    return found.join(wanted.select("node", F.xxhash64("doc_id", "content").alias("own")), "own").select("node", "set").dropDuplicates(["node"])
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc")
+    found = docs.select(doc, F.xxhash64("text").alias("content"), "text").mapInArrow(run, "doc long, content long, set binary")
+    return found.join(wanted.select("node", doc, "content"), ["doc", "content"]).select("node", "set").dropDuplicates(["node"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -256,7 +263,7 @@ def _torn(rows: DataFrame) -> DataFrame:
     return rows.join(torn, "key")
 
 
-def links_of(docs: DataFrame, signed: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame | None]:
+def links_of(docs: DataFrame, signed: DataFrame, least: float = SIMILARITY, weighted: bool = True) -> tuple[DataFrame, DataFrame]:
     """(labels of the linked nodes, verified links); see the module's text."""
     nodes = signed.filter("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "content")).alias("one"), F.first("bands").alias("bands"))
     nodes = stored(nodes, "nodes")
@@ -267,7 +274,7 @@ def links_of(docs: DataFrame, signed: DataFrame, least: float = SIMILARITY) -> t
     members = stored(met.join(popular, "node").select("key", "node", "popular"), "members")
     dropped(met)
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "one.doc_id", "one.content")
-    sets = stored(_sets(docs, wanted), "sets")
+    sets = stored(_sets(docs, wanted, weighted), "sets")
     leaders = stored(members.groupBy("key").agg(F.max(F.struct("popular", "node")).alias("top")).select("key", F.col("top.node").alias("leader")), "leaders")
     pairs = members.join(leaders, "key").filter("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
     links = stored(_verified(pairs, sets, least), "links")
@@ -277,19 +284,22 @@ def links_of(docs: DataFrame, signed: DataFrame, least: float = SIMILARITY) -> t
     more = stored(_block_links(waiting, sets, least), "links")
     if not more.isEmpty():
         links = links.union(more)
+        dropped(labels)
         labels = components(links)
-    for old in (members, leaders, waiting):
+    for old in (members, leaders, waiting, sets, nodes):
         dropped(old)
-    dropped(sets)
     return labels, links
 
 
-def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, least: float = SIMILARITY) -> DataFrame:
+def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, least: float = SIMILARITY, weighted: bool = True) -> DataFrame:
     """doc_id, content, class_id, class_size, keep of every row; keep marks one (doc_id, content) of each class."""
-    signed = stored(signatures(docs, bands, rows), "signed")
-    labels, _ = links_of(docs, signed, least)
-    placed = signed.join(labels, "node", "left").select("doc_id", "content", F.coalesce("label", "node").alias("class"))
-    classes = placed.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), F.min(F.struct("doc_id", "content")).alias("one"))
+    signed = stored(signatures(docs, bands, rows, weighted), "signed")
+    labels, _ = links_of(docs, signed, least, weighted)
+    placed = stored(signed.join(labels, "node", "left").select("doc_id", "content", F.coalesce("label", "node").alias("class")), "placed")
+    dropped(signed)
+    dropped(labels)
+    # written, so that the join below is one of its own, whose large classes Spark can split
+    classes = stored(placed.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), F.min(F.struct("doc_id", "content")).alias("one")), "classes")
     out = placed.filter("class is not null").join(classes, "class").select(
         "doc_id", "content", "class_id", "class_size", (F.col("doc_id").eqNullSafe(F.col("one.doc_id")) & (F.col("content") == F.col("one.content"))).alias("keep"))
     return out.union(placed.filter("class is null").select("doc_id", "content", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("keep")))
@@ -300,10 +310,11 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     A row without words stays; of rows with equal doc_id and text one stays.
     """
-    row = fresh(docs, "_row")
-    keep = near_duplicates(docs).filter("keep").select(F.xxhash64("doc_id", "content").alias(row)).distinct()
-    marked = docs.withColumn(row, F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")))
-    return marked.join(keep, row).dropDuplicates([row]).drop(row)
+    doc, content = fresh(docs, "_doc"), fresh(docs, "_content")
+    id_of = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
+    keep = near_duplicates(docs).filter("keep").select(id_of.alias(doc), F.col("content").alias(content)).distinct()
+    named = docs.withColumns({doc: id_of, content: F.xxhash64("text")})
+    return named.join(keep, [doc, content]).dropDuplicates([doc, content]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,6 +33,8 @@ def texts():
         for _ in range(k % 4):
             w[rng.randrange(len(w))] = "changed"
         rows.append((100 + k, " ".join(w)))
+    for k in range(20, 26):  # the same shingles, some of them more often
+        rows.append((100 + k, f"{base[k]} {base[k]}" if k % 2 else " ".join([base[k], *base[k].split()[-8:]])))
     passage = " ".join(sentence(rng, 12) for _ in range(5))
     rows += [(200 + k, f"{sentence(rng, 9)} {passage} {sentence(rng, 9)}") for k in range(6)]
     return rows
@@ -49,11 +51,18 @@ def empty(docs):
     return docs.limit(0)
 
 
-def brute_classes(rows):
+def brute_classes(rows, weighted=True):
+    """Classes by the (weighted) Jaccard similarity of all pairs."""
     sets = {}
     for i, t in rows:
         w = split(t)
-        sets.setdefault(i, frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset())
+        seen = Counter()
+        items = set()
+        for k in range(max(1, len(w) - 4) if w else 0):
+            s = tuple(w[k : k + 5])
+            items.add((s, seen[s] if weighted else 0))
+            seen[s] += 1
+        sets.setdefault(i, frozenset(items))
     parent = {i: i for i in sets}
 
     def root(x):
@@ -73,12 +82,14 @@ def brute_classes(rows):
 
 
 def test_near_duplicates(spark, docs, empty, texts):
+    for weighted in (True, False):
+        want = brute_classes([(i, t) for i, t in [*texts, *ODD] if i is not None], weighted)
+        got = neardup.near_duplicates(docs, weighted=weighted).collect()
+        assert len(got) == docs.count()
+        for r in got:
+            if r.doc_id is not None:
+                assert r.class_id == want[r.doc_id]
     want = brute_classes([(i, t) for i, t in [*texts, *ODD] if i is not None])
-    got = neardup.near_duplicates(docs).collect()
-    assert len(got) == docs.count()
-    for r in got:
-        if r.doc_id is not None:
-            assert r.class_id == want[r.doc_id]
     kept = neardup.deduplicated(docs)
     assert kept.columns == docs.columns
     ids = [r.doc_id for r in kept.select("doc_id").collect()]
