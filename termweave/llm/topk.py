@@ -54,25 +54,26 @@ def best_of_block(query_ids, queries, ids, vectors, k: int) -> tuple[np.ndarray,
     dims = min(queries.shape[1], vectors.shape[1])
     high = int(np.abs(queries).max(initial=0)) * int(np.abs(vectors).max(initial=0)) * max(dims, 1)
     kind = np.int32 if high < 2**31 else np.int64 if high < 2**62 else object
-    queries, vectors = queries[:, :dims].astype(kind), vectors[:, :dims].astype(kind)
-    scores = np.zeros((len(queries), len(vectors)), kind)
+    # a term's weights, of queries and of candidates, lie side by side
+    queries, postings = (np.ascontiguousarray(x[:, :dims].T.astype(kind)) for x in (queries, vectors))
+    scores = np.zeros((queries.shape[1], len(vectors)), kind)
     for lo in range(0, len(vectors), TILE):
         tile = scores[:, lo : lo + TILE]
         for term in range(dims):
-            weights = vectors[lo : lo + TILE, term]
+            weights = postings[term, lo : lo + TILE]
             posting = np.flatnonzero(weights)
-            asking = np.flatnonzero(queries[:, term])
+            asking = np.flatnonzero(queries[term])
             if not len(posting) or not len(asking):
                 continue
-            if len(posting) == len(weights):
+            if 2 * len(posting) >= len(weights):  # few zeros: adding them is cheaper than leaving them out
                 for q in asking.tolist():
-                    tile[q] += queries[q, term] * weights
+                    tile[q] += queries[term, q] * weights
             else:
                 weights = weights[posting]
                 for q in asking.tolist():
-                    tile[q, posting] += queries[q, term] * weights
+                    tile[q, posting] += queries[term, q] * weights
     rows, places = [], []
-    for q in range(len(queries)):
+    for q in range(len(scores)):
         s = scores[q].copy()
         others = np.flatnonzero(ids != query_ids[q])
         s = s[others]
