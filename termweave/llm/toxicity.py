@@ -5,13 +5,16 @@ word bounds), so an unseen misspelling shares most of its vector with the word
 it comes from.  A window of words is the mean of its words, a linear softmax
 judges each window, and a document's logit is the soft maximum over its
 windows.  Embeddings and softmax are trained jointly in numpy (AdaGrad) on the
-driver, on at most ``MAX_TRAIN`` labelled documents (those of smallest hash):
-a fixed bound, so the model and its broadcast don't grow with the corpus.
+driver, on a sample by hash of about ``MAX_TRAIN`` labelled documents and
+``MAX_BYTES`` of text: fixed bounds, so the driver's memory, the model and its
+broadcast don't grow with the corpus.
 
 Defined results: a null or empty text has no window and gets the score of the
-bias alone; without any label every score is 0; a doc_id labelled twice counts
-as toxic if one label says so, null labels don't count; repeated rows are
-scored alike; other columns don't matter; an empty table gives an empty result.
+bias alone; without any label every score is 0, with labels of one kind it is 0 or
+(toxic ones) nearly 1; a doc_id labelled twice counts as toxic if one label says
+so, null labels don't count; of several rows of one labelled doc_id the smallest
+text is learned from; repeated rows are scored alike; other columns don't matter,
+whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +28,9 @@ from pyspark.sql import functions as F
 
 from termweave.llm.shared import Words, bounded, mixed, span_sums, text_chunks
 
-MAX_TRAIN = 6_000  # labelled documents the model is fitted on, at most
+MAX_TRAIN = 6_000  # labelled documents the model is fitted on, about
+MAX_BYTES = 16 << 20  # of their texts, about
+LONGEST = 1 << 20  # bytes of a text it is fitted on; longer ones are scored only
 BUCKETS, DIM = 1 << 17, 8
 NGRAMS = (3, 4, 5, 6)
 WINDOW = 8
@@ -152,15 +157,18 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> tuple[np.ndarr
     return (SCALE * (table @ top)).astype(np.float32), bias
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple[np.ndarray, float]:
-    """Trains on the labelled documents outside the held-out quarter."""
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_bytes: int = MAX_BYTES, longest: int = LONGEST) -> tuple[np.ndarray, float]:
+    """Trains on labelled documents outside the held-out quarter: a sample by hash of about as
+    many rows and bytes as the bounds allow, of texts up to ``longest`` bytes."""
     bounded(docs.sparkSession)
     known = labels.filter("doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    rows = texts.select("doc_id", "text", "toxic").toPandas().drop_duplicates(["doc_id"]).sort_values("doc_id")
-    return train(rows["text"].tolist(), rows["toxic"].to_numpy().astype(int))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).filter(F.octet_length("text") <= longest)
+    size = texts.join(known, "doc_id").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    share = min(1.0, max_train / max(size["n"], 1), max_bytes / max(size["bytes"] or 0, 1))
+    chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    rows = texts.join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).toArrow().sort_by("doc_id")
+    return train(rows.column("text").to_pylist(), rows.column("toxic").to_numpy().astype(int))
 
 
 def held_out(doc_id):

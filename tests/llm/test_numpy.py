@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from termweave.llm import bpe, decontaminate, linededup, lm, neardup, packing, quality, token_count, topk, toxicity
-from termweave.llm.shared import Words
+from termweave.llm.shared import Words, mixed
 
 
 def joined(texts):
@@ -167,6 +167,36 @@ def test_toxicity_learns_and_shares_spelling():
     assert toxicity.Bags(*joined(["x"])).scores(none, low)[0] < 1e-6
 
 
+def test_toxicity_scores_by_plain_loops():
+    """Words to n-grams, windows to means, documents to soft maxima, one at a time."""
+    rng = np.random.default_rng(6)
+    per_gram, bias = rng.normal(0, 0.4, toxicity.BUCKETS).astype(np.float32), -0.7
+    texts = ["", " \n", "one", "a b c d e f g h", "Some longer TEXT with more words than one window holds, até logo " * 3, "x" * 400, "漢字 <|a|>"]
+
+    def bucket(piece, n):
+        total = (n + sum((c + 1) * pow(0x9E3779B97F4A7C15, k, 1 << 64) for k, c in enumerate(piece))) % (1 << 64)
+        return int(mixed(np.array([total], np.uint64))[0]) & (toxicity.BUCKETS - 1)
+
+    def word(w):
+        data = b"\x01" + w.encode() + b"\x02"
+        grams = [(data[i : i + n], n) for n in toxicity.NGRAMS for i in range(len(data) - n + 1)]
+        return np.mean([per_gram[bucket(g, n)] for g, n in [*grams, (data, 0)]])
+
+    got = toxicity.Bags(*joined(texts)).scores(per_gram, bias)
+    for t, s in zip(texts, got, strict=True):
+        w = [word(x) for x in split(t)]
+        z = np.array([np.mean(w[k : k + toxicity.WINDOW]) + bias for k in range(0, len(w), toxicity.WINDOW)])
+        pull = np.exp(toxicity.SHARP * (z - z.max())) if len(z) else 0
+        assert abs(s - 1 / (1 + np.exp(-((pull * z).sum() / pull.sum() if len(z) else bias)))) < 1e-5
+
+
+def test_toxicity_of_one_class():
+    texts = ["a b", "c d", "e"]
+    for label, low, high in ((0, 0, 1e-6), (1, 0.99, 1)):
+        per_gram, bias = toxicity.train(texts, np.full(3, label))
+        assert all(low <= s <= high for s in toxicity.Bags(*joined([*texts, ""])).scores(per_gram, bias))
+
+
 def test_quality_views():
     rng = np.random.default_rng(0)
     y = (rng.random(600) < 0.8).astype(float)
