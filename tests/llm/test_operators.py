@@ -180,6 +180,75 @@ def test_lm_scores(spark, docs, empty, texts, monkeypatch):
     assert lm.lm_scores(empty, rounds=1).count() == 0
 
 
+def test_lm_scores_by_plain_loops(spark, docs, texts, monkeypatch):
+    """The probability of each token from dictionaries, each text's n-grams without its own."""
+    import numpy as np
+
+    from termweave.llm.shared import mixed
+
+    monkeypatch.setattr(lm, "TOP", 60)
+    rows = [(i, t) for i, t in [*texts, *ODD]]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
+    counts = lm.Counts(docs)
+    model = lm.Model().fit(docs, counts, 2)
+    assert 0 < len(model.frequent.counts) <= 61 and 0 < model.discount < 1 and np.abs(model.weights[1]).max() > 0
+    one = lambda v: int(mixed(np.array([v % 2**64], np.uint64))[0])
+    tally = Counter(w for i, t in rows if not held(i) for w in [*split(t), None])
+    known = {}
+    for w in {w for _, t in rows for w in [*split(t), None]}:
+        data = (w or "").encode()
+        u, ending, _, _ = lm.tokens(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        k = 0 if w else len(u) - 1
+        kind, code = lm.classes_and_codes(model.frequent.ranks(u[k : k + 1]), ending[k : k + 1])
+        known[w] = int(u[k]), int(kind[0]), int(code[0])
+    follow, texts_own = defaultdict(Counter), []
+    for i, t in rows:
+        w, own = [*split(t), None], defaultdict(Counter)
+        for a, b, x in zip(w, w[1:], w[2:], strict=False):
+            if one(known[a][0] * 0x9E3779B97F4A7C15 % 2**64 ^ known[b][0]) % lm.SELECT == 0:
+                own[a, b][x] += 1
+        texts_own.append(own if not held(i) else {})
+        if not held(i):
+            for c, n in own.items():
+                follow[c].update(n)
+
+    def softmax(z):
+        z = np.exp(z - z.max())
+        return z / z.sum()
+
+    want, gained = Counter(), 0
+    for (i, t), own in zip(rows, texts_own, strict=True):
+        w, total = [*split(t), None], 0.0
+        if len(w) > 5000:
+            continue
+        for at, x in enumerate(w):
+            u, kind, _ = known[x]
+            codes = [known[w[at - d]][2] if at >= d else lm.CODES - 1 for d in (1, 2)]
+            gram = 2 * lm.CODES + one(codes[0] * lm.CODES + codes[1]) % lm.GRAMS
+            p = softmax(model.weights[0][codes[0]] + model.weights[0][lm.CODES + codes[1]] + model.weights[0][gram] + model.bias)[kind]
+            leaf = kind
+            if kind >= lm.SINGLE:
+                part = u >> 8 & lm.SUB - 1
+                features = [one(f * lm.CLASSES + kind) % lm.INNER for f in (codes[0], gram)]
+                p *= softmax(sum(model.weights[1][f] for f in features) + model.part_bias[kind - lm.SINGLE])[part]
+                leaf = lm.SINGLE + (kind - lm.SINGLE) * lm.SUB + part
+                p *= (tally[x] + 0.1) / (model.size[leaf] + 0.1 * (model.kinds[leaf] + 1))
+            c = (w[at - 2], w[at - 1]) if at >= 2 else None
+            if c in follow:
+                others = follow[c] - own.get(c, Counter())
+                if others:
+                    n, d = sum(others.values()), model.discount
+                    p = max(others[x] - d, 0) / n + d * len(others) / n * p
+                    gained += others[x] > 0
+            total += math.log10(p)
+        want[i, round(total, 2)] += 1
+    got = Counter((r.doc_id, round(r.score, 2)) for r in lm.scored(docs, counts, model).collect() if r.n_tokens <= 5000)
+    near = lambda a: {i: sorted(s for j, s in a.elements() if j == i) for i, _ in a}
+    a, b = near(got), near(want)
+    assert a.keys() == b.keys() and all(len(a[i]) == len(b[i]) and np.allclose(a[i], b[i], atol=0.03) for i in a)
+    assert gained > 50
+
+
 def test_toxicity(spark, docs, empty):
     labels = spark.createDataFrame([(k, int(k % 7 == 0)) for k in range(60)] + [(None, 1), (61, None)], "doc_id long, toxic int")
     got = toxicity.toxicity(docs, labels, max_train=40).collect()
