@@ -229,6 +229,7 @@ def _block_links(waiting: DataFrame, sets: DataFrame, least: float) -> DataFrame
     """
     sizes = waiting.groupBy("key", "label").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all")).select("key", F.col("top.label").alias("main"), "all", (F.col("all") - F.col("top.n")).alias("few"))
+    largest = stored(largest, "largest")
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     rows = waiting.join(largest, "key").join(sets, "node").withColumn("spread", F.xxhash64("node"))
     every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
@@ -258,9 +259,12 @@ def _block_links(waiting: DataFrame, sets: DataFrame, least: float) -> DataFrame
 
 
 def _torn(rows: DataFrame) -> DataFrame:
-    """The rows of buckets that hold more than one component."""
+    """The rows of buckets that hold more than one component.
+
+    The buckets are written first: a join of its own can be split where one is large.
+    """
     torn = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
-    return rows.join(torn, "key")
+    return rows.join(stored(torn, "torn"), "key")
 
 
 def links_of(docs: DataFrame, signed: DataFrame, least: float = SIMILARITY, weighted: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -268,8 +272,9 @@ def links_of(docs: DataFrame, signed: DataFrame, least: float = SIMILARITY, weig
     nodes = signed.filter("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "content")).alias("one"), F.first("bands").alias("bands"))
     nodes = stored(nodes, "nodes")
     banded = nodes.select("node", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = stored(banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "shared")  # written, so that the join can be split where a bucket is large
     met = stored(banded.join(shared, "key"), "met")
+    dropped(shared)
     popular = met.groupBy("node").agg(F.sum("n").alias("popular"))
     members = stored(met.join(popular, "node").select("key", "node", "popular"), "members")
     dropped(met)
@@ -280,13 +285,14 @@ def links_of(docs: DataFrame, signed: DataFrame, least: float = SIMILARITY, weig
     links = stored(_verified(pairs, sets, least), "links")
     labels = components(links)
     placed = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    waiting = stored(_torn(placed.join(leaders.withColumnRenamed("leader", "node"), ["key", "node"], "left_anti")), "waiting")
+    placed = stored(placed.join(leaders.withColumnRenamed("leader", "node"), ["key", "node"], "left_anti"), "placed")
+    waiting = stored(_torn(placed), "waiting")
     more = stored(_block_links(waiting, sets, least), "links")
     if not more.isEmpty():
         links = links.union(more)
         dropped(labels)
         labels = components(links)
-    for old in (members, leaders, waiting, sets, nodes):
+    for old in (members, leaders, placed, waiting, sets, nodes):
         dropped(old)
     return labels, links
 
