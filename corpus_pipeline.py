@@ -1,7 +1,17 @@
 """A corpus from raw documents to packed sequences, stage by stage.
 
 Every stage works on all rows that the one before it kept.  All but the last
-return the columns of ``documents``.
+return the columns of ``documents``, those that a table has besides too, whatever
+their names.
+
+Defined results, besides what each operator's module says: rows without doc_id are
+rows like others; a null or empty text is judged by its metadata, is no copy of
+anything, holds no item, and is packed as the end id alone if it is kept; rows that
+are equal in doc_id and text are one document, of which one stays; texts are never
+cut short, only repeated passages go, and a document whose whole text goes stays
+as an empty one; ties go to the smaller doc_id; an empty table of documents gives an
+empty result, without labels nothing is rejected, without a benchmark nothing is
+contaminated.
 """
 
 from __future__ import annotations
@@ -49,12 +59,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir, each written before the next."""
-    from termweave.llm.shared import stored
+    """All stages over the documents of sf_dir, each written before the next; what is read no more is deleted."""
+    from termweave.llm.shared import dropped, stored
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stored(docs, name)
+    for name, stage in STAGES:
+        out = stored(stage(spark, docs, sf_dir), name)
+        dropped(docs)
+        docs = out
     return docs
