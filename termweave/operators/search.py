@@ -27,6 +27,17 @@ class Page:
     def pages(self, total: int) -> int:
         return max(1, math.ceil(total / self.size))
 
+    def window(self, total: int, most: int = 7) -> list[int | None]:
+        """The page numbers to offer: ``most`` around this one, the first and the last; None is a gap."""
+        last = self.pages(total)
+        if last == 1:
+            return []
+        low = min(max(1, self.number - most // 2), max(1, last - most + 1))
+        high = min(last, low + most - 1)
+        before = [1, None][: min(low - 1, 2)]
+        after = [None, last][2 - min(last - high, 2) :]
+        return [*before, *range(low, high + 1), *after]
+
 
 def has(column: str, query: str) -> Column:
     return F.lower(F.col(column)).contains(query.lower())
@@ -163,3 +174,12 @@ def rows_and_subgraph(g: Graph, edges: DataFrame) -> DataFrame:
     e = expanded(Graph(g.documents, g.keywords, edges))
     ends = lambda p, df: F.struct(*[F.col(p + c).alias(c) for c in df.columns])
     return e.select(ends("d_", g.documents).alias("d"), F.struct("method", "weight").alias("r"), ends("k_", g.keywords).alias("k"))
+
+
+def paths(g: Graph, edges: DataFrame, most: int | None = None) -> DataFrame:
+    """Edges as paths for display: an array of node, edge and node (kind, id, label); the first ``most`` by ids."""
+    e = expanded(Graph(g.documents, g.keywords, edges))
+    if most is not None:
+        e = e.orderBy("pub_id", "keyword_id", "method", "weight").limit(most)
+    part = lambda kind, i, label: F.struct(F.lit(kind).alias("kind"), F.col(i).cast("string").alias("id"), F.col(label).cast("string").alias("label"))
+    return e.select(F.array(part("document", "pub_id", "d_title"), part("edge", "method", "weight"), part("keyword", "keyword_id", "k_name")).alias("path"))

@@ -492,3 +492,34 @@ def mmr_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight of the 64 vectors nearest to one that are like it and unlike each other."""
     vectors = base.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return semantic.diverse_rows(vectors.filter("vec_id <> 0"), vectors.filter("vec_id = 0"), 8, 0.55, 64)
+
+
+PATH = "'document:' || d.id || ':' || d.title || '>edge:' || e.method || ':' || cast(e.weight as bigint) || '>keyword:' || k.id || ':' || k.name as path from e join d on d.id = e.pub_id join k on k.id = e.keyword_id"
+
+
+def _spelled(found: DataFrame) -> DataFrame:
+    return found.select(F.array_join(F.transform("path", lambda x: F.concat_ws(":", x["kind"], x["id"], F.regexp_replace(x["label"], "\\.0$", ""))), ">").alias("path"))
+
+
+@query(CTE + f"select {PATH} where e.keyword_id = 7")
+def path_structs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole paths of one keyword's edges, as arrays of nodes and edges."""
+    g = orders_graph(spark, sf_dir)
+    return _spelled(search.paths(g, g.has_keyword.filter("keyword_id = 7")))
+
+
+@query(CTE + f"select {PATH} order by e.pub_id, e.keyword_id, e.method, e.weight limit 100")
+def display_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All links of documents and keywords in the form for display: the first hundred paths."""
+    g = orders_graph(spark, sf_dir)
+    return _spelled(search.paths(g, g.has_keyword, 100))
+
+
+@query("""with t as (select greatest(1, ceil(count(*) / 15.0))::int as n from documents), p as (select unnest(range(1, n + 1))::int as p, n from t), l as (select p, n, least(greatest(1, p - 3), greatest(1, n - 6)) as lo from p), h as (select *, least(n, lo + 6) as hi from l)
+select p as page, case when n = 1 then '' else case when lo > 1 then '1 ' else '' end || case when lo > 2 then '... ' else '' end || array_to_string(range(lo, hi + 1), ' ') || case when hi < n - 1 then ' ...' else '' end || case when hi < n then ' ' || n else '' end end as shown from h""")
+def pager_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the pager offers on each page of all documents."""
+    total = base.table(spark, sf_dir, "documents").count()
+    pages = search.Page.of(1, 15).pages(total)
+    shown = [(p, " ".join("..." if x is None else str(x) for x in search.Page.of(p, 15).window(total))) for p in range(1, pages + 1)]
+    return spark.createDataFrame(shown, "page int, shown string")
