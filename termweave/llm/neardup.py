@@ -267,8 +267,8 @@ def _torn(rows: DataFrame) -> DataFrame:
     return rows.join(stored(torn, "torn"), "key")
 
 
-def links_of(docs: DataFrame, signed: DataFrame, least: float = SIMILARITY, weighted: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(labels of the linked nodes, verified links); see the module's text."""
+def links_of(docs: DataFrame, signed: DataFrame, least: float = SIMILARITY, weighted: bool = True) -> tuple[DataFrame, list[DataFrame]]:
+    """(labels of the linked nodes, tables of verified links); see the module's text."""
     nodes = signed.filter("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "content")).alias("one"), F.first("bands").alias("bands"))
     nodes = stored(nodes, "nodes")
     banded = nodes.select("node", F.explode("bands").alias("key"))
@@ -289,21 +289,20 @@ def links_of(docs: DataFrame, signed: DataFrame, least: float = SIMILARITY, weig
     waiting = stored(_torn(placed), "waiting")
     more = stored(_block_links(waiting, sets, least), "links")
     if not more.isEmpty():
-        links = links.union(more)
         dropped(labels)
-        labels = components(links)
+        labels = components(links.union(more))
     for old in (members, leaders, placed, waiting, sets, nodes):
         dropped(old)
-    return labels, links
+    return labels, [links, more]
 
 
 def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, least: float = SIMILARITY, weighted: bool = True) -> DataFrame:
     """doc_id, content, class_id, class_size, keep of every row; keep marks one (doc_id, content) of each class."""
     signed = stored(signatures(docs, bands, rows, weighted), "signed")
-    labels, _ = links_of(docs, signed, least, weighted)
+    labels, links = links_of(docs, signed, least, weighted)
     placed = stored(signed.join(labels, "node", "left").select("doc_id", "content", F.coalesce("label", "node").alias("class")), "placed")
-    dropped(signed)
-    dropped(labels)
+    for old in (signed, labels, *links):
+        dropped(old)
     # written, so that the join below is one of its own, whose large classes Spark can split
     classes = stored(placed.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), F.min(F.struct("doc_id", "content")).alias("one")), "classes")
     out = placed.filter("class is not null").join(classes, "class").select(
