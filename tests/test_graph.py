@@ -164,3 +164,26 @@ def test_lemmas_join_keywords(spark, articles):
     other = articles.withColumn("keywords", F.array(F.lit("Онтологии и графы"), F.lit("графы")))
     ids = {r.keyword_id for r in G.build(other, lexicon=lex).has_keyword.filter("method = 'author'").collect()}
     assert ids == {"граф и онтология", "граф"}
+
+
+def test_pager_and_paths(g):
+    assert S.Page.of(1).window(15) == [] and S.Page.of(8).window(300) == [1, None, 5, 6, 7, 8, 9, 10, 11, None, 20]
+    assert S.Page.of(5).window(106) == [1, 2, 3, 4, 5, 6, 7, 8]
+    path = S.paths(g, g.has_keyword, 1).first()["path"]
+    assert [p.kind for p in path] == ["document", "edge", "keyword"] and path[0].id == "a.pdf"
+
+
+def test_scratch_folder(spark):
+    from types import SimpleNamespace
+
+    from termweave.sources import scratch
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    made = lambda master: SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, getConf=lambda: conf))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch.shared_folder(made("spark://host:7077"))
+    assert scratch.shared_folder(made("local[4]")).startswith("file://")
+    table = scratch.stored(spark.range(3), "x")
+    assert table.count() == 3
+    scratch.dropped(table)
+    assert not spark._jvm.java.io.File(table._termweave_path.removeprefix("file://")).exists()
