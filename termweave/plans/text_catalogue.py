@@ -276,10 +276,11 @@ def semantic_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def terms_graph(spark: SparkSession, sf_dir: str) -> graph.Graph:
-    """Documents and their ten heaviest terms as a graph."""
+    """Documents and their ten heaviest terms as a graph; its edges are written, as they are read several times."""
     top = tfidf.top_terms(weighted(spark, sf_dir))
     docs = parts(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("annotation").alias("title"), "annotation")
     edges = top.select(F.col("doc_id").alias("pub_id"), F.col("term").alias("keyword_id"), F.lit("tfidf").alias("method"), graph.edge_weight(F.lit("tfidf"), F.col("rank") - 1).alias("weight"))
+    edges = scratch.stored(edges, "edges")
     words = edges.select(F.col("keyword_id").alias("id")).distinct().select("id", T.upper_first(F.col("id")).alias("name"), F.array(F.lit("tfidf")).alias("methods"))
     return graph.Graph(docs, words, edges)
 
@@ -291,7 +292,6 @@ select doc_id as id, score, shared from z order by score desc, doc_id limit 10""
 def similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: documents that share most terms with the first one that has any."""
     g = terms_graph(spark, sf_dir)
-    g.has_keyword = scratch.stored(g.has_keyword, "edges")  # ten rows a document, read three times
     anchor = g.has_keyword.agg(F.min("pub_id"))
     return search.similar_documents(g, anchor).select("id", "score", F.array_join("shared", "|").alias("shared"))
 
