@@ -8,8 +8,10 @@ it; the folder's own clean-up takes it.
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,8 +38,26 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+SWEEP = 15.0  # seconds at least between two sweeps
+_swept = [0.0]
+
+
+def sweep(spark: SparkSession) -> None:
+    """Lets the driver collect its garbage now and then.
+
+    Spark removes the shuffle files and broadcasts of finished jobs only when the
+    driver has collected what refers to them, by itself every half hour; many
+    short jobs in a row fill disks and the driver's memory until then.
+    """
+    if time.monotonic() - _swept[0] >= SWEEP:
+        gc.collect()
+        spark._jvm.System.gc()
+        _swept[0] = time.monotonic()
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Writes df to the shared folder and returns a reader of it: lineage ends here."""
+    sweep(df.sparkSession)
     path = new_path(df.sparkSession, what)
     df.write.mode("overwrite").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
