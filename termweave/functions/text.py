@@ -6,6 +6,8 @@ null text counts as an empty one.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,11 @@ def some(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once a row; in a higher-order function an expression is computed where it stands."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def matching_chars(text: Column, char_class: str) -> Column:
     """How many characters of text the class has."""
     inverse = char_class.replace("[", "[^", 1)
@@ -97,8 +104,8 @@ def sentences(text: Column) -> Column:
 def numbered_sentences(parts: Column, letters: str = "\\p{L}\\p{N}", least: int = 8, most: int = 60) -> Column:
     """(idx, text) of the sentences of 8 to 60 words that don't open like a caption or heading."""
     numbered = F.transform(parts, lambda s, i: F.struct(i.alias("idx"), s.alias("text")))
-    size = lambda s: F.size(words(s, letters))
-    return F.filter(numbered, lambda x: size(x["text"]).between(least, most) & ~F.lower(strip(x["text"])).rlike(f"(?U)^({P.SENTENCE_OPENERS})"))
+    fits = lambda s: bound(F.size(words(s, letters)), lambda n: n.between(least, most))
+    return F.filter(numbered, lambda x: fits(x["text"]) & ~F.lower(strip(x["text"])).rlike(f"(?U)^({P.SENTENCE_OPENERS})"))
 
 
 def keyword_list(text: Column) -> Column:

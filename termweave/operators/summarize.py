@@ -15,17 +15,19 @@ def sentence_scores(sentence_words: Column, keywords: Column) -> Column:
     """Raw score of each sentence: for each keyword its weight (10, 9, ...) times the share
     of its words that the sentence has, over the root of the sentence's length."""
 
-    def score(words: Column) -> Column:
-        parts = F.transform(F.slice(keywords, 1, 10), lambda k, i: F.when(F.size(T.blank_separated(k)) > 0, (10 - F.least(i, F.lit(9))) * F.size(F.array_intersect(F.array_distinct(T.blank_separated(k)), words)) / F.size(F.array_distinct(T.blank_separated(k)))).otherwise(F.lit(0.0)))
+    def score(words: Column, split: Column) -> Column:
+        hits = lambda k: F.size(F.filter(k, lambda w: F.array_contains(words, w)))
+        parts = F.transform(split, lambda k, i: F.when(F.size(k) > 0, (10 - F.least(i, F.lit(9))) * hits(k) / F.size(k)).otherwise(F.lit(0.0)))
         total = F.aggregate(parts, F.lit(0.0), lambda acc, x: acc + x)
         return F.when(F.size(words) > 0, total / F.sqrt(F.greatest(F.size(words), F.lit(1)).cast("double"))).otherwise(F.lit(0.0))
 
-    return F.transform(sentence_words, score)
+    split = F.transform(F.slice(keywords, 1, 10), lambda k: F.array_distinct(T.blank_separated(k)))
+    return T.bound(split, lambda s: F.transform(sentence_words, lambda w: score(w, s)))
 
 
 def normalised(scores: Column) -> Column:
     """The scores as shares of the highest; 0 if that is 0."""
-    return F.transform(scores, lambda x: T.share(x, F.array_max(scores)))
+    return T.bound(scores, lambda s: T.bound(F.array_max(s), lambda top: F.transform(s, lambda x: T.share(x, top))))
 
 
 def chosen_sentences(words: list[set[str]], scores: list[float], count: int = 4, balance: float = 0.6) -> list[int]:
