@@ -164,10 +164,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_byte
     known = labels.filter("doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).filter(F.octet_length("text") <= longest)
-    size = texts.join(known, "doc_id").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    sizes = texts.select("doc_id", F.octet_length("text").alias("bytes"))  # no text is shuffled
+    size = sizes.join(known, "doc_id").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).first()
     share = min(1.0, max_train / max(size["n"], 1), max_bytes / max(size["bytes"] or 0, 1))
     chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    rows = texts.join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).toArrow().sort_by("doc_id")
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).toArrow().sort_by("doc_id")
     return train(rows.column("text").to_pylist(), rows.column("toxic").to_numpy().astype(int))
 
 
