@@ -1,6 +1,7 @@
 """Finding benchmark items in documents by latent semantic retrieval.
 
-Items and documents are cut into overlapping passages of words, weighted by
+Items and documents are cut into overlapping passages of words (lower case, without
+ASCII punctuation around them), weighted by
 TF-IDF over the words that items have (document frequencies come from all
 documents).  A randomised subspace iteration, run over the executors, finds the
 right singular vectors of the item passages; document passages that lie
@@ -40,6 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +65,13 @@ _MARK = np.zeros(256, bool)
 _MARK[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
 
+def lowered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows with ``text`` in lower case, in any script."""
+    for batch in batches:
+        k = batch.schema.get_field_index("text")
+        yield batch.set_column(k, "text", pc.utf8_lower(batch.column(k)))
+
+
 def plain_words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the words without ASCII punctuation around them, their row bounds, and
     whether a sentence ends at each."""
@@ -99,7 +108,7 @@ class Items:
     """
 
     def __init__(self, ids: list[int], texts: list[str], parts: list[tuple[int, int]] | None = None):
-        data = [t.encode() for t in texts]
+        data = [t.encode() for t in pc.utf8_lower(pa.array(texts, pa.string())).to_pylist()]
         h, first, stop = plain_words(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in data])]).astype(np.int64))
         self.vocab, code = np.unique(h, return_inverse=True)
         self.gate = np.zeros(1 << 20, bool)
@@ -264,7 +273,7 @@ def word_frequencies(docs: DataFrame, words: DataFrame) -> DataFrame:
             return u, np.bincount(back, np.concatenate([n for _, n in held])).astype(np.int64)
 
         row = lambda h, n: pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["hash", "df"])
-        for batch in batches:
+        for batch in lowered(batches):
             for _, raw, at in text_chunks(batch, size=CHUNK):
                 h, first, _ = plain_words(raw, at)
                 some = np.flatnonzero(marked(shared.value, h.view(np.int64)))
@@ -343,7 +352,7 @@ def matches(items: Items, raw: np.ndarray, at: np.ndarray) -> list[tuple[int, in
 
 def item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(block, hash) of the words of items (block, text)."""
-    for batch in batches:
+    for batch in lowered(batches):
         for part, raw, at in text_chunks(batch, size=CHUNK):
             h, first, _ = plain_words(raw, at)
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.repeat(np.arange(len(first) - 1), np.diff(first)))), pa.array(h.view(np.int64))], names=["block", "hash"])
@@ -388,7 +397,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, **bounds: int) -> DataFrame:
         shared = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in lowered(batches):
                 for part, raw, at in text_chunks(batch, size=CHUNK):
                     found = matches(shared.value, raw, at)
                     if found:

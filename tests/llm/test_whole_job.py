@@ -180,3 +180,10 @@ def test_topk_over_many_small_blocks(spark):
         best = sorted((-int(sum(64 * a * 64 * b for a, b in zip(mine, v, strict=True))), i) for i, v in rows if i != q)[:9]
         want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert found(block=7, query_block=2) == found(block=1, query_block=1) == found() == sorted(want)
+
+
+def test_items_in_capitals_of_any_script(spark):
+    items = [(1, "Éai éonleeau pour an éonqueê aivi ai éenaitre éoiré anvitre èenreré. Les éèque le oueuxoi ñandú."), (2, "Граф знаний связывает слова и тексты одной статьи с другой. Ответ стоит в конце её.")]
+    docs = [(10 * k, " ".join(["vorher noch worte", t.upper(), "und danach mehr worte"])) for k, t in items] + [(5, "ganz anderer text ohne treffer " * 5)]
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id, r.lcs) for r in got.collect()} == {(10, 1, 1.0), (20, 2, 1.0)}
