@@ -41,7 +41,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,13 +64,6 @@ _MARK = np.zeros(256, bool)
 _MARK[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
 
-def lowered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same rows with ``text`` in lower case, in any script."""
-    for batch in batches:
-        k = batch.schema.get_field_index("text")
-        yield batch.set_column(k, "text", pc.utf8_lower(batch.column(k)))
-
-
 def plain_words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the words without ASCII punctuation around them, their row bounds, and
     whether a sentence ends at each."""
@@ -108,7 +100,7 @@ class Items:
     """
 
     def __init__(self, ids: list[int], texts: list[str], parts: list[tuple[int, int]] | None = None):
-        data = [t.encode() for t in pc.utf8_lower(pa.array(texts, pa.string())).to_pylist()]
+        data = [t.encode() for t in texts]
         h, first, stop = plain_words(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in data])]).astype(np.int64))
         self.vocab, code = np.unique(h, return_inverse=True)
         self.gate = np.zeros(1 << 20, bool)
@@ -273,7 +265,7 @@ def word_frequencies(docs: DataFrame, words: DataFrame) -> DataFrame:
             return u, np.bincount(back, np.concatenate([n for _, n in held])).astype(np.int64)
 
         row = lambda h, n: pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["hash", "df"])
-        for batch in lowered(batches):
+        for batch in batches:
             for _, raw, at in text_chunks(batch, size=CHUNK):
                 h, first, _ = plain_words(raw, at)
                 some = np.flatnonzero(marked(shared.value, h.view(np.int64)))
@@ -292,7 +284,7 @@ def word_frequencies(docs: DataFrame, words: DataFrame) -> DataFrame:
         if held:
             yield row(*summed())
 
-    return docs.select("text").mapInArrow(run, "hash long, df long").groupBy("hash").agg(F.sum("df").alias("df"))
+    return docs.select(F.lower("text").alias("text")).mapInArrow(run, "hash long, df long").groupBy("hash").agg(F.sum("df").alias("df"))
 
 
 def matches(items: Items, raw: np.ndarray, at: np.ndarray) -> list[tuple[int, int, float, float, float, int]]:
@@ -352,7 +344,7 @@ def matches(items: Items, raw: np.ndarray, at: np.ndarray) -> list[tuple[int, in
 
 def item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(block, hash) of the words of items (block, text)."""
-    for batch in lowered(batches):
+    for batch in batches:
         for part, raw, at in text_chunks(batch, size=CHUNK):
             h, first, _ = plain_words(raw, at)
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.repeat(np.arange(len(first) - 1), np.diff(first)))), pa.array(h.view(np.int64))], names=["block", "hash"])
@@ -361,7 +353,7 @@ def item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def prepared(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK, passages: int = PASSAGES) -> Iterator[Items]:
     """The benchmark's groups, ready to be matched, one at a time."""
     spark = bounded(docs.sparkSession)
-    usable = benchmark.filter("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+    usable = benchmark.filter("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.lower("text").alias("text")).distinct()
     size = usable.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
     if not size["n"]:
         return
@@ -391,13 +383,13 @@ HIT = "doc_id long, content long, item_id long, cosine double, lcs double, answe
 def hits(docs: DataFrame, benchmark: DataFrame, **bounds: int) -> DataFrame:
     """The evidence of each group, written: HIT; content is a hash of the row's text."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("content"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("content"), F.lower("text").alias("text"))
     out = spark.createDataFrame([], HIT)
     for items in prepared(docs, benchmark, **bounds):
         shared = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in lowered(batches):
+            for batch in batches:
                 for part, raw, at in text_chunks(batch, size=CHUNK):
                     found = matches(shared.value, raw, at)
                     if found:
