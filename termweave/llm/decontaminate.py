@@ -37,6 +37,7 @@ matter, whatever their names; empty tables give an empty result.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -121,7 +122,7 @@ class Items:
             self.answers.append(set((answer if len(answer) >= 3 else w).tolist()))
         self.owner = np.array(self.owner, np.int64)
         self.reach = np.array([len(w) if len(w) > WINDOW else len(w) // 2 + STRIDE for w in self.words], np.int64)  # words looked at beside a passage
-        self.sets = [set(w) for w in self.words]
+        self.sets, self.bags = [set(w) for w in self.words], [Counter(w) for w in self.words]
 
     def groups(self, most: int = PASSAGES) -> Iterator[Items]:
         """The same passages in groups of at most so many; a long item may be in several."""
@@ -326,7 +327,9 @@ def matches(items: Items, raw: np.ndarray, at: np.ndarray) -> list[tuple[int, in
             lo_word, hi_word = max(int(first[row[j]]), int(start[j]) - reach), min(int(first[row[j] + 1]), int(end[j]) + reach)
             own_words = items.sets[item]
             region = [c for c in code[lo_word:hi_word].tolist() if c in own_words]
-            if len(region) / len(words) < LCS:
+            bag = items.bags[item]
+            # no common subsequence has more of a word than either side
+            if sum(min(n, bag[c]) for c, n in Counter(region).items()) / len(words) < LCS:
                 continue
             share = common_subsequence(words, region) / len(words)
             if share < LCS:
