@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termweave.llm import decontaminate, filter_audit, linededup, lm, neardup, packing, quality, token_count, topk, toxicity, urlfilter
+from termweave.llm import centroids, chat, decontaminate, filter_audit, linededup, lm, neardup, packing, quality, token_count, topk, toxicity, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,9 +21,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": linededup.op8_substring_dedup,
         "op9_packing": packing.op9_packing,
         "op10_quality": quality.op10_quality,
+        "op11_chat_format": chat.op11_chat_format,
         "op12_filter_audit": filter_audit.op12_filter_audit,
+        "op13_centroids": centroids.op13_centroids,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_topk": topk.OP5_SQL, "op7_url_filter": urlfilter.OP7_SQL, "op12_filter_audit": filter_audit.OP12_SQL}
+    return {
+        "op5_exact_topk": topk.OP5_SQL,
+        "op7_url_filter": urlfilter.OP7_SQL,
+        "op11_chat_format": chat.OP11_SQL,
+        "op12_filter_audit": filter_audit.OP12_SQL,
+        "op13_centroids": centroids.OP13_SQL,
+    }
