@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termweave.functions import text as T
+from termweave.operators import setjoin
 from termweave.operators.lexicon import phrase_ids
 
 
@@ -116,13 +117,36 @@ def shared_terms(edges: DataFrame, ordered: bool = True, hub: int = HUB) -> Data
     return pairs.groupBy("d1", "d2").agg(F.sum(F.col("n1") * F.col("n2")).alias("paths"), F.count("*").alias("shared"))
 
 
+def similar_classes(edges: DataFrame, threshold: float = 0.05) -> tuple[DataFrame, DataFrame]:
+    """Members (pub_id, class_id, class_size) of the classes of equal keyword sets, and the links (class1, class2, score)
+    of classes whose Jaccard similarity is at least the threshold, above 0."""
+    s = setjoin.classes(edges)
+    links = setjoin.linked_classes(s.sets, setjoin.Alike(threshold))
+    return s.members, links.select("class1", "class2", (F.col("shared") / (F.col("n1") + F.col("n2") - F.col("shared"))).alias("score"))
+
+
 def similar_to(edges: DataFrame, threshold: float = 0.05) -> DataFrame:
-    """(source, target, score): Jaccard similarity of the documents' keyword sets, at least the threshold."""
-    sizes = edges.groupBy("pub_id").agg(F.countDistinct("keyword_id").alias("n"))
-    pairs = shared_terms(edges)
-    joined = pairs.join(sizes.select(F.col("pub_id").alias("d1"), F.col("n").alias("a")), "d1").join(sizes.select(F.col("pub_id").alias("d2"), F.col("n").alias("b")), "d2")
-    scored = joined.select(F.col("d1").alias("source"), F.col("d2").alias("target"), (F.col("shared") / (F.col("a") + F.col("b") - F.col("shared"))).alias("score"))
-    return scored.filter(F.col("score") >= threshold)
+    """(source, target, score): Jaccard similarity of the documents' keyword sets, at least the threshold.
+
+    Equal sets are compared once and written out as the pairs of documents they stand for.
+    """
+    members, links = similar_classes(edges, threshold)
+    side = lambda n: members.select(F.col("class_id").alias(f"class{n}"), F.col("pub_id").alias(f"d{n}"))
+    others = links.join(side(1), "class1").join(side(2), "class2").select("d1", "d2", "score")
+    equal = side(1).join(side(2), F.col("class1") == F.col("class2")).filter("d1 < d2").select("d1", "d2", F.lit(1.0).alias("score"))
+    both = others.unionByName(equal) if threshold <= 1 else others
+    return both.select(F.least("d1", "d2").alias("source"), F.greatest("d1", "d2").alias("target"), "score")
+
+
+def link_counts(edges: DataFrame, threshold: float = 0.05) -> DataFrame:
+    """A row a document: pub_id, class_id, class_size, and to how many other classes (links), of how many documents (linked), its class is similar.
+
+    Links are counted where they are found, so copies of one text cost no pairs.
+    """
+    s = setjoin.classes(edges)
+    counts = setjoin.link_counts(s.sets, setjoin.Alike(threshold))
+    none = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return s.members.join(counts, "class_id", "left").select("pub_id", "class_id", "class_size", none("links"), none("linked"))
 
 
 def both_ways(edges: DataFrame) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from termweave.plans import article_catalogue, graph_catalogue, text_catalogue
+from termweave.plans import article_catalogue, graph_catalogue, links_catalogue, text_catalogue
 from termweave.plans.text_catalogue import similar_documents
 
 __all__ = ["oracle_sql", "queries", "similar_documents"]
-PARTS = (graph_catalogue, text_catalogue, article_catalogue)
+PARTS = (graph_catalogue, text_catalogue, article_catalogue, links_catalogue)
 
 
 def queries() -> dict:

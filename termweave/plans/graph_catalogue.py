@@ -181,13 +181,26 @@ def methods_set(g: G.Graph) -> DataFrame:
     return sets.select("keyword_id", F.array_join("m", ",").alias("methods"), F.array_contains("m", "A").alias("has_a"), F.array_contains("m", "N").alias("has_n"))
 
 
-@query("""select d1 as source, d2 as target, round(shared / (a.n + b.n - shared), 9) as score from p
+JACCARD = """select d1 as source, d2 as target, round(shared / (a.n + b.n - shared), 9) as score from p
 join (select pub_id, count(distinct keyword_id) as n from e group by 1) a on a.pub_id = d1 join (select pub_id, count(distinct keyword_id) as n from e group by 1) b on b.pub_id = d2
-where shared / (a.n + b.n - shared) >= 0.2""")
+where shared / (a.n + b.n - shared) >= """
+
+
+@query(JACCARD + "0.2")
 def similar_to_jaccard(g: G.Graph) -> DataFrame:
     return G.similar_to(g.has_keyword, 0.2).withColumn("score", F.round("score", 9))
 
 
+@query(JACCARD + "0.05")
+def similar_to_loose(g: G.Graph) -> DataFrame:
+    return G.similar_to(g.has_keyword, 0.05).withColumn("score", F.round("score", 9))
+
+
+@query(JACCARD + "0.5")
+def similar_to_close(g: G.Graph) -> DataFrame:
+    return G.similar_to(g.has_keyword, 0.5).withColumn("score", F.round("score", 9))
+
+
 @query("select d.id, count(e.keyword_id) as n, count(distinct e.keyword_id) as terms from d left join e on e.pub_id = d.id group by 1")
 def optional_match_docs(g: G.Graph) -> DataFrame:
     joined = g.documents.join(g.has_keyword.withColumnRenamed("pub_id", "id"), "id", "left")
