@@ -27,12 +27,14 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from termweave.llm.shared import bounded, dropped, stored
+from termweave.operators.ranges import placed
 
 TURNS = 64  # of a segment
 ESCAPE = "\\"
@@ -85,46 +87,44 @@ def parsed(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
-def numbered(rows: DataFrame, order: list[Column]) -> DataFrame:
-    """The rows with ``node``, their place in the order, from 0; of equal ones any is the first.
+@dataclass
+class Messages:
+    """links (node, tree, parent, score) and texts (node, role, text); node is a place in an order, parent a node or null."""
 
-    Rows are dealt in ranges and numbered within them; only the ranges' sizes meet in one place.
-    """
-    keys = [c.alias(f"_k{i}") for i, c in enumerate([*order, F.monotonically_increasing_id()])]
-    names = [f"_k{i}" for i in range(len(keys))]
-    dealt = rows.select("*", *keys).repartitionByRange(*names).sortWithinPartitions(*names).drop(*names)
-    placed = stored(dealt.withColumn("_range", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "numbered")
-    sizes = placed.groupBy("_range").agg(F.count("*").alias("_n")).withColumn("_first", F.sum("_n").over(Window.orderBy("_range")) - F.col("_n"))
-    return placed.join(sizes.select("_range", "_first"), "_range").withColumn("node", F.col("_first") + F.col("_at")).drop("_range", "_first", "_at")
+    links: DataFrame
+    texts: DataFrame
 
 
 def _texts() -> list[Column]:
     return [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")]
 
 
-def linear(conversations: DataFrame) -> DataFrame:
-    """Conversations (conv_id, turn, role, text) as nodes: every turn answers the one before it."""
-    rows = conversations.select(F.col("conv_id").alias("tree"), "turn", *_texts(), F.lit(0.0).alias("score"))
-    nodes = numbered(rows, [F.col("tree"), F.col("turn"), F.col("role"), F.md5("text")]).drop("turn")
-    before = nodes.select((F.col("node") + 1).alias("node"), F.col("tree").alias("_before"), F.lit(True).alias("_any"))
-    linked = nodes.join(before, "node", "left").withColumn("parent", F.when(F.col("_any") & F.col("tree").eqNullSafe(F.col("_before")), F.col("node") - 1))
-    return stored(linked.drop("_before", "_any"), "nodes")
+def linear(conversations: DataFrame) -> Messages:
+    """Conversations (conv_id, turn, role, text): every turn answers the one before it."""
+    rows = conversations.select(F.col("conv_id").alias("tree"), "turn", *_texts())
+    nodes = placed(rows, [F.col("tree"), F.col("turn"), F.col("role"), F.md5("text")], "node")
+    own = nodes.select("node", "tree")
+    before = own.select((F.col("node") + 1).alias("node"), F.col("tree").alias("_before"), F.lit(True).alias("_any"))
+    parent = F.when(F.col("_any") & F.col("tree").eqNullSafe(F.col("_before")), F.col("node") - 1)
+    links = own.join(before, "node", "left").select("node", "tree", parent.alias("parent"), F.lit(0.0).alias("score"))
+    return Messages(stored(links, "links"), nodes.select("node", "role", "text"))
 
 
-def trees(messages: DataFrame) -> DataFrame:
-    """Messages (tree_id, node_id, parent_id, role, text, score) as nodes: node, parent, tree, role, text, score."""
+def trees(messages: DataFrame) -> Messages:
+    """Messages (tree_id, node_id, parent_id, role, text, score)."""
     rows = messages.select(F.col("tree_id").alias("tree"), "node_id", "parent_id", *_texts(), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
-    nodes = numbered(rows, [F.col("tree"), F.col("node_id"), F.col("parent_id"), F.col("role"), F.md5("text")])
+    nodes = placed(rows, [F.col("tree"), F.col("node_id"), F.col("parent_id"), F.col("role"), F.md5("text")], "node")
     answered = nodes.filter("node_id is not null").groupBy(F.col("tree").alias("_tree"), F.col("node_id").alias("_id")).agg(F.min("node").alias("parent"))
-    return stored(nodes.join(answered, F.col("tree").eqNullSafe(F.col("_tree")) & (F.col("parent_id") == F.col("_id")), "left").drop("_tree", "_id", "node_id", "parent_id"), "nodes")
+    links = nodes.select("node", "tree", "parent_id", "score").join(answered, F.col("tree").eqNullSafe(F.col("_tree")) & (F.col("parent_id") == F.col("_id")), "left")
+    return Messages(stored(links.select("node", "tree", "parent", "score"), "links"), nodes.select("node", "role", "text"))
 
 
-def climbed(nodes: DataFrame) -> list[DataFrame]:
+def climbed(links: DataFrame) -> list[DataFrame]:
     """Round by round node, up, n and total: n messages from the node upwards, the sum of their scores, and what follows (null at the root).
 
     In the last round only messages without a way to a root have something above them.
     """
-    rounds = [stored(nodes.select("node", F.col("parent").alias("up"), F.lit(1).cast("long").alias("n"), F.col("score").alias("total")), "climb")]
+    rounds = [stored(links.select("node", F.col("parent").alias("up"), F.lit(1).cast("long").alias("n"), F.col("score").alias("total")), "climb")]
     left = rounds[0].filter("up is not null").count()
     while left:
         now = rounds[-1]
@@ -137,21 +137,24 @@ def climbed(nodes: DataFrame) -> list[DataFrame]:
     return rounds
 
 
-def branches(nodes: DataFrame, rounds: list[DataFrame], best: int | None = 1) -> DataFrame:
+def branches(links: DataFrame, rounds: list[DataFrame], best: int | None = 1) -> DataFrame:
     """leaf, tree, score and rank of the paths from a root to a leaf; the ``best`` of each tree, or all."""
-    leaves = nodes.join(nodes.filter("parent is not null").select(F.col("parent").alias("node")).distinct(), "node", "left_anti").select("node", "tree")
+    leaves = links.join(links.filter("parent is not null").select(F.col("parent").alias("node")).distinct(), "node", "left_anti").select("node", "tree")
     scored = leaves.join(rounds[-1].filter("up is null"), "node").select(F.col("node").alias("leaf"), "tree", (F.col("total") / F.col("n")).alias("score"))
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")))
     return ranked if best is None else ranked.filter(F.col("rank") <= best)
 
 
-def paths(nodes: DataFrame, rounds: list[DataFrame], chosen: DataFrame) -> DataFrame:
-    """The chosen branches with position (from 1 at the root), role and text of each message."""
+def paths(messages: Messages, rounds: list[DataFrame], chosen: DataFrame) -> DataFrame:
+    """The chosen branches with position (from 1 at the root), role and text of each message.
+
+    The longest jumps come first, so that the rows double towards the end only.
+    """
     found = chosen.withColumn("node", F.col("leaf"))
-    for jumps in rounds[:-1]:
+    for jumps in reversed(rounds[:-1]):
         found = found.join(jumps.filter("up is not null").select("node", "up"), "node", "left")
         found = found.withColumn("node", F.explode(F.array_compact(F.array("node", "up")))).drop("up")
-    return found.join(rounds[-1].select("node", F.col("n").alias("position")), "node").join(nodes.select("node", "role", "text"), "node").drop("node")
+    return found.join(rounds[-1].select("node", F.col("n").alias("position")), "node").join(messages.texts, "node").drop("node")
 
 
 def formatted(messages: DataFrame, turns: int = TURNS) -> DataFrame:
@@ -170,11 +173,11 @@ def formatted(messages: DataFrame, turns: int = TURNS) -> DataFrame:
     return grouped.mapInArrow(run, f"{kept}, n_turns long, formatted string, loss array<struct<start: long, end: long>>")
 
 
-def conversations(nodes: DataFrame, best: int | None = 1, turns: int = TURNS) -> DataFrame:
-    """The best branches of each tree as conversations, in segments (see ``formatted``); nodes as from ``trees`` or ``linear``."""
-    bounded(nodes.sparkSession)
-    rounds = climbed(nodes)
-    out = stored(formatted(paths(nodes, rounds, branches(nodes, rounds, best)), turns), "conversations")
+def conversations(messages: Messages, best: int | None = 1, turns: int = TURNS) -> DataFrame:
+    """The best branches of each tree as conversations, in segments (see ``formatted``)."""
+    bounded(messages.links.sparkSession)
+    rounds = climbed(messages.links)
+    out = stored(formatted(paths(messages, rounds, branches(messages.links, rounds, best)), turns), "conversations")
     for table in rounds:
         dropped(table)
     return out
