@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termweave.operators.graph import Graph, expanded, shared_terms
+from termweave.operators import toppairs
+from termweave.operators.graph import Graph, expanded
 
 
 @dataclass(frozen=True)
@@ -129,8 +130,8 @@ def search_subgraph(g: Graph, query: str, kind: str = "publications") -> DataFra
 
 
 def top_pairs(g: Graph, least: int = 2, k: int = 10, paths: bool = True) -> DataFrame:
-    count = "paths" if paths else "shared"
-    return shared_terms(g.has_keyword).filter(F.col(count) >= least).select("d1", "d2", F.col(count).alias("shared_count")).orderBy(F.desc("shared_count"), "d1", "d2").limit(k)
+    """The k pairs of documents with most common keywords (or paths over them), at least ``least``."""
+    return toppairs.top_pairs(g.has_keyword, least, k, weighted=paths).withColumnRenamed("score", "shared_count")
 
 
 def top_keywords(g: Graph, k: int = 10, distinct: bool = False) -> DataFrame:

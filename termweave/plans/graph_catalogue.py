@@ -92,6 +92,11 @@ def top_pairs_paths(g: G.Graph) -> DataFrame:
     return S.top_pairs(g)
 
 
+@query("select d1, d2, shared as shared_count from p where shared >= 2 order by 3 desc, 1, 2 limit 25")
+def top_pairs_shared(g: G.Graph) -> DataFrame:
+    return S.top_pairs(g, k=25, paths=False)
+
+
 @query("select d1, d2, paths, shared from p where shared >= 2")
 def cooccur_pairs_ge2(g: G.Graph) -> DataFrame:
     return G.shared_terms(g.has_keyword).filter("shared >= 2")
