@@ -6,6 +6,7 @@ there is one line only).
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -301,3 +302,51 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from termweave.streaming.ingest import windowed_counts
 
     return windowed_counts(table(spark, sf_dir, "events")).select("event_type", "start", "n", F.round("total", 4).alias("total"))
+
+
+class Stopped(RuntimeError):
+    """What stops a stream in a query that shows its restart."""
+
+
+def _run_with_restart(start) -> None:
+    """Runs a stream, lets it fail behind its second micro-batch before that is committed, and runs it to its end."""
+
+    def stop(number: int) -> None:
+        if number == 1:
+            raise Stopped
+
+    try:
+        start(stop).awaitTermination()
+    except StreamingQueryException as e:
+        if Stopped.__name__ not in str(e):
+            raise
+    start(None).awaitTermination()
+
+
+@query("select event_type, date_trunc('hour', ts) as start, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
+def event_rollup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly totals of a stream whose files come in any order of time, with a failure and a restart on the way."""
+    from termweave.streaming import ingest
+
+    path = scratch.new_path(spark, "stream")
+    events = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
+    events.repartition(6, "event_id").write.parquet(f"{path}/in")
+    totals = ingest.rollup(spark, f"{path}/totals").create(spark)
+    _run_with_restart(lambda stop: ingest.into_table(ingest.event_stream(spark, f"{path}/in"), totals, f"{path}/checkpoint", ingest.hourly, stop))
+    return ingest.rolled_up(totals, spark).select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("total", 4).alias("total"))
+
+
+@query("""with o as (select *, ts - lag(ts) over (partition by user_id order by ts) as gap from events where user_id is not null),
+s as (select *, sum(case when gap is null or gap >= interval 30 minute then 1 else 0 end) over (partition by user_id order by ts rows unbounded preceding) as session from o)
+select user_id, min(ts) as start, max(ts) + interval 30 minute as "end", count(*) as n, round(sum(value), 4) as total from s group by user_id, session""")
+def user_sessions_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of a stream whose events come up to an hour late and twice in part, with a failure and a restart on the way."""
+    from termweave.streaming import ingest
+
+    path = scratch.new_path(spark, "stream")
+    events = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
+    again = events.filter("event_id % 7 = 0")  # come a second time, a row each
+    ingest.feed(events.unionByName(again), f"{path}/in", 6, jitter=3600, end=True)
+    found = ingest.session_table(spark, f"{path}/sessions").create(spark)
+    _run_with_restart(lambda stop: ingest.into_table(ingest.sessions(ingest.event_stream(spark, f"{path}/in")), found, f"{path}/checkpoint", watch=stop))
+    return found.rows(spark).select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "end")], "n", F.round("total", 4).alias("total"))

@@ -58,10 +58,15 @@ class KeyedTable:
         best = rows.groupBy("bucket", *self.key).agg(F.max(F.struct(SEQ, GONE, *others)).alias("best"))
         return best.select(*self.key, *[F.col(f"best.{c}").alias(c) for c in (*others, SEQ, GONE)], "bucket")
 
-    def apply(self, batch: DataFrame, batch_id: str) -> int:
-        """Merges rows with ``seq`` (and ``deleted``, if some go) into the table; how many buckets were written."""
+    def apply(self, batch: DataFrame, batch_id: str, skip: bool = True) -> int:
+        """Merges rows with ``seq`` (and ``deleted``, if some go) into the table; how many buckets were written.
+
+        A batch that was applied before is skipped, or, without ``skip``, merged again: a stream's state
+        is only kept if its rows are read.
+        """
         spark = batch.sparkSession
-        if self.applied(spark).filter(F.col("batch_id") == batch_id).limit(1).count():
+        known = bool(self.applied(spark).filter(F.col("batch_id") == batch_id).limit(1).count())
+        if known and skip:
             return 0
         now = batch if GONE in batch.columns else batch.withColumn(GONE, F.lit(False))
         names = [f.split()[0] for f in self.columns.split(", ")]
@@ -73,7 +78,8 @@ class KeyedTable:
             merged = self._latest(old.unionByName(new).repartition("bucket"))
             merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.folder}/rows")
         new.unpersist()
-        spark.createDataFrame([(batch_id, len(touched))], "batch_id string, touched int").coalesce(1).write.mode("append").parquet(f"{self.folder}/applied")
+        if not known:
+            spark.createDataFrame([(batch_id, len(touched))], "batch_id string, touched int").coalesce(1).write.mode("append").parquet(f"{self.folder}/applied")
         return len(touched)
 
 
