@@ -48,21 +48,28 @@ class Sets:
 
 
 def classes(edges: DataFrame, weighted: bool = False) -> Sets:
-    """Sets of (pub_id, keyword_id); a class is named by its smallest pub_id."""
-    items = edges.filter("pub_id is not null and keyword_id is not null").groupBy("pub_id", "keyword_id").agg((F.count("*") if weighted else F.lit(1).cast("long")).alias("w"))
-    whole = items.groupBy("pub_id").agg(F.array_sort(F.collect_list(F.struct("keyword_id", "w"))).alias("items"))
+    """Sets of (pub_id, keyword_id); a class is named by its smallest pub_id.  Only ``weighted`` sets have weights and tops."""
+    known = edges.filter("pub_id is not null and keyword_id is not null").select("pub_id", F.col("keyword_id").alias("k"))
+    if weighted:
+        whole = known.groupBy("pub_id", "k").agg(F.count("*").alias("w")).groupBy("pub_id").agg(F.array_sort(F.collect_list(F.struct("k", "w"))).alias("items"))
+    else:
+        whole = known.groupBy("pub_id").agg(F.array_sort(F.collect_set(F.struct("k"))).alias("items"))
+    extra = ["w"] if weighted else []
     sets = stored(whole.withColumn("set_key", F.unhex(F.sha2(F.to_json("items"), 256))), "sets")
     named = sets.groupBy("set_key").agg(F.min("pub_id").alias("class_id"), F.count("*").alias("class_size"))
     members = stored(sets.select("pub_id", "set_key").join(named, "set_key").drop("set_key"), "members")
     first = members.filter("pub_id = class_id").select("pub_id", "class_size")
     own = stored(sets.drop("set_key").join(first, "pub_id").withColumnRenamed("pub_id", "class_id"), "classes")
-    elements = own.select("class_id", F.explode("items").alias("x")).select("class_id", "x.keyword_id", "x.w")
-    known = elements.groupBy("keyword_id").agg(F.count("*").alias("df"), F.max("w").alias("top")).filter("df > 1")
-    ranks = placed(known, [F.col("df"), F.col("keyword_id")], "token").select("keyword_id", "token", "top")
-    shared = elements.join(ranks, "keyword_id").groupBy("class_id").agg(F.array_sort(F.collect_list(F.struct("token", "w", "top"))).alias("x"))
-    columns = [F.col(f"x.{c}").alias(to) for c, to in (("token", "tokens"), ("w", "weights"), ("top", "tops"))]
-    square = F.aggregate("items", F.lit(0).cast("long"), lambda a, x: a + x["w"] * x["w"])
-    about = own.select("class_id", "class_size", F.size("items").cast("long").alias("n"), square.alias("square"))
+    elements = own.select("class_id", F.explode("items").alias("x")).select("class_id", "x.*")
+    found = elements.groupBy("k").agg(F.count("*").alias("df"), *[F.max(w).alias("top") for w in extra]).filter("df > 1")
+    ranks = placed(found, [F.col("df"), F.col("k")], "token")
+    kind = "int" if ranks.count() < 2**31 else "long"  # tokens travel with every set, so they are as narrow as they can be
+    values = [F.col("token").cast(kind).alias("token"), *(["w", "top"] if weighted else [])]
+    shared = elements.join(ranks, "k").groupBy("class_id").agg(F.array_sort(F.collect_list(F.struct(*values))).alias("x"))
+    columns = [F.col(f"x.{c}").alias(to) for c, to in (("token", "tokens"), *((("w", "weights"), ("top", "tops")) if weighted else ()))]
+    size = F.size("items").cast("long")
+    square = F.aggregate("items", F.lit(0).cast("long"), lambda a, x: a + x["w"] * x["w"]) if weighted else size
+    about = own.select("class_id", "class_size", size.alias("n"), square.alias("square"))
     return Sets(members, about, stored(about.drop("square").join(shared, "class_id").select("class_id", "n", "class_size", *columns), "ranked"))
 
 
@@ -88,8 +95,11 @@ class Shared:
     """What is shared (elements, or products of weights) is at least ``least``."""
 
     least: int
+    weighted: bool = False
 
     def prefix(self) -> Column:
+        if not self.weighted:
+            return F.size("tokens") - self.least + 1
         most = lambda x: x["weights"] * x["tops"]  # noqa: E731  what a token can add, whatever the other set
         seen = F.aggregate(F.reverse(F.arrays_zip("weights", "tops")), F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("n")), lambda a, x: F.struct((a["sum"] + most(x)).alias("sum"), (a["n"] + F.when(a["sum"] + most(x) >= self.least, 1).otherwise(0)).alias("n")))
         return seen["n"]
@@ -109,7 +119,8 @@ class Rows:
         number = lambda c: column(c).to_numpy(zero_copy_only=False)
         self.ids, self.token, self.part, self.n, self.size = column("class_id"), number("token"), number("part"), number("n"), number("class_size")
         tokens = column("tokens")
-        self.flat, self.weights = tokens.flatten().to_numpy(), column("weights").flatten().to_numpy()
+        self.flat = tokens.flatten().to_numpy().astype(np.int64)
+        self.weights = column("weights").flatten().to_numpy() if "weights" in table.column_names else np.ones(len(self.flat), np.int64)
         self.at = np.concatenate([[0], np.cumsum(tokens.value_lengths().to_numpy())]).astype(np.int64)
         i, j = number("i"), number("j")
         self.cross = i != j

@@ -51,7 +51,7 @@ def top_pairs(edges: DataFrame, least: int = 2, k: int = 10, weighted: bool = Tr
     mine = [(r["square"], r["class_size"] * (r["class_size"] - 1) // 2) for r in first]
     floor = _kth(mine, k, least)
 
-    bound = F.aggregate(F.arrays_zip("weights", "tops"), F.lit(0).cast("long"), lambda a, x: a + x["weights"] * x["tops"])
+    bound = F.aggregate(F.arrays_zip("weights", "tops"), F.lit(0).cast("long"), lambda a, x: a + x["weights"] * x["tops"]) if weighted else F.size("tokens").cast("long")
     sets = s.sets.withColumn("bound", bound).withColumn("band", F.floor(F.log2(F.greatest("bound", F.lit(1))) * STEPS))
     # a row a band, of which there are at most STEPS a bit of a long
     bands = sorted(((r["band"], r["n"]) for r in sets.groupBy("band").agg(F.count("*").alias("n")).collect()), reverse=True)
@@ -64,7 +64,7 @@ def top_pairs(edges: DataFrame, least: int = 2, k: int = 10, weighted: bool = Tr
             taken, lowest = taken + n, b
         last = not left or lowest == left[-1][0]
         chosen = sets.filter(F.col("bound") >= floor) if last else sets.filter((F.col("band") >= lowest) & (F.col("bound") >= floor))
-        links = setjoin.linked_classes(chosen.drop("bound", "band"), setjoin.Shared(floor))
+        links = setjoin.linked_classes(chosen.drop("bound", "band"), setjoin.Shared(floor, weighted))
         found = stored(links.select(F.col("shared").alias("score"), "class1", "class2", F.lit(False).alias("copies")), "links")
         if last:
             break
