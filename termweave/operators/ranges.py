@@ -32,7 +32,13 @@ def range_sizes(table: DataFrame) -> DataFrame:
 
 
 def placed(rows: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
-    """The rows with their place in the order, from 0; of equal ones any comes first.  The sizes that are broadcast have a row a shuffle partition."""
+    """The rows with their place in the order, from 0; of equal ones any comes first.
+
+    The sizes that are broadcast have a row a shuffle partition.  The table behind the result can be
+    given to ``scratch.dropped`` by it.
+    """
     table = stored(in_ranges(rows, order), "ranges")
     first = F.broadcast(range_sizes(table).select("range_no", "range_first"))
-    return table.join(first, "range_no").withColumn(name, F.col("range_first") + F.col("range_place")).drop("range_no", "range_place", "range_first")
+    out = table.join(first, "range_no").withColumn(name, F.col("range_first") + F.col("range_place")).drop("range_no", "range_place", "range_first")
+    out._termweave_path = table._termweave_path
+    return out

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termweave.operators.ranges import placed
-from termweave.sources.scratch import stored
+from termweave.sources.scratch import dropped, stored
 
 BLOCK = 512  # sets of one element that meet as many others in one task
 DENSE = 32  # sets of one element from which a product of matrices is used
@@ -60,6 +60,7 @@ def classes(edges: DataFrame, weighted: bool = False) -> Sets:
     members = stored(sets.select("pub_id", "set_key").join(named, "set_key").drop("set_key"), "members")
     first = members.filter("pub_id = class_id").select("pub_id", "class_size")
     own = stored(sets.drop("set_key").join(first, "pub_id").withColumnRenamed("pub_id", "class_id"), "classes")
+    dropped(sets)
     elements = own.select("class_id", F.explode("items").alias("x")).select("class_id", "x.*")
     found = elements.groupBy("k").agg(F.count("*").alias("df"), *[F.max(w).alias("top") for w in extra]).filter("df > 1")
     ranks = placed(found, [F.col("df"), F.col("k")], "token")
@@ -69,8 +70,11 @@ def classes(edges: DataFrame, weighted: bool = False) -> Sets:
     columns = [F.col(f"x.{c}").alias(to) for c, to in (("token", "tokens"), *((("w", "weights"), ("top", "tops")) if weighted else ()))]
     size = F.size("items").cast("long")
     square = F.aggregate("items", F.lit(0).cast("long"), lambda a, x: a + x["w"] * x["w"]) if weighted else size
-    about = own.select("class_id", "class_size", size.alias("n"), square.alias("square"))
-    return Sets(members, about, stored(about.drop("square").join(shared, "class_id").select("class_id", "n", "class_size", *columns), "ranked"))
+    about = stored(own.select("class_id", "class_size", size.alias("n"), square.alias("square")), "about")
+    ready = stored(about.drop("square").join(shared, "class_id").select("class_id", "n", "class_size", *columns), "ranked")
+    for table in (own, ranks):
+        dropped(table)
+    return Sets(members, about, ready)
 
 
 @dataclass(frozen=True)

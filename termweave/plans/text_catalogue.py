@@ -337,7 +337,7 @@ def event_rollup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with o as (select *, ts - lag(ts) over (partition by user_id order by ts) as gap from events where user_id is not null),
-s as (select *, sum(case when gap is null or gap >= interval 30 minute then 1 else 0 end) over (partition by user_id order by ts rows unbounded preceding) as session from o)
+s as (select *, sum(case when gap is null or gap > interval 30 minute then 1 else 0 end) over (partition by user_id order by ts rows unbounded preceding) as session from o)
 select user_id, min(ts) as start, max(ts) + interval 30 minute as "end", count(*) as n, round(sum(value), 4) as total from s group by user_id, session""")
 def user_sessions_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of a stream whose events come up to an hour late and twice in part, with a failure and a restart on the way."""

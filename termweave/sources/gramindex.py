@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termweave.operators.ranges import placed
+from termweave.sources.scratch import dropped
 
 GRAM, PAD = 3, "\0"
 BLOCK = 1 << 16  # rows of a block
@@ -92,12 +93,13 @@ class GramIndex:
 def build(texts: DataFrame, folder: str, buckets: int = BUCKETS, block: int = BLOCK) -> GramIndex:
     """Writes the index of (id, text) to a folder."""
     spark = texts.sparkSession
-    rows = placed(texts.select("id", F.lower("text").alias("text")).filter("text <> ''"), [F.col("id")])
-    rows = rows.select((F.col("place") % block).cast("int").alias("offset"), "id", "text", F.floor(F.col("place") / block).alias("block"))
+    numbered = placed(texts.select("id", F.lower("text").alias("text")).filter("text <> ''"), [F.col("id")])
+    rows = numbered.select((F.col("place") % block).cast("int").alias("offset"), "id", "text", F.floor(F.col("place") / block).alias("block"))
     rows.write.mode("overwrite").partitionBy("block").parquet(f"{folder}/texts")
     postings = rows.select("block", "offset", F.explode(grams(F.col("text"))).alias("gram"))
     lists = postings.groupBy("gram", "block").agg(F.array_sort(F.collect_list("offset")).alias("offsets")).withColumn("bucket", _bucket_column(F.col("gram"), buckets))
     lists.repartitionByRange("bucket", "gram", "block").sortWithinPartitions("bucket", "gram", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/lists")
+    dropped(numbered)
     about = json.dumps({"id": texts.schema["id"].dataType.simpleString()})
     spark.createDataFrame([(about,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/about")
     return GramIndex(folder, buckets, block)

@@ -12,6 +12,7 @@ order should end with an id; pages beyond the end and those of an empty table ar
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,6 +38,16 @@ def _key(order: tuple[str, ...]) -> Column:
 class PagedTable:
     folder: str
     order: tuple[str, ...]
+    columns: str  # as DDL
+
+    @classmethod
+    def at(cls, spark: SparkSession, folder: str) -> PagedTable:
+        """A table that was written before."""
+        about = json.loads(spark.read.text(f"{folder}/about").first()[0])
+        return cls(folder, tuple(about["order"]), about["columns"])
+
+    def _read(self, spark: SparkSession) -> DataFrame:
+        return spark.read.schema(self.columns).parquet(f"{self.folder}/rows")
 
     def directory(self, spark: SparkSession) -> DataFrame:
         """range_no, range_rows, range_first, first_key and last_key."""
@@ -49,7 +60,7 @@ class PagedTable:
         """The rows at places skip to skip + size, with ``place`` (from 0), sorted; ranges outside aren't read."""
         within = (F.col("range_first") < skip + size) & (F.col("range_first") + F.col("range_rows") > skip)
         ranges = {r["range_no"]: r["range_first"] for r in self.directory(spark).filter(within).select("range_no", "range_first").collect()}  # size at most
-        table = spark.read.parquet(f"{self.folder}/rows")
+        table = self._read(spark)
         first = F.element_at(F.create_map(*[F.lit(x) for pair in ranges.items() for x in pair]), F.col("range_no")) if ranges else F.lit(0)
         found = table.filter(F.col("range_no").isin(list(ranges))).withColumn("place", first + F.col("range_place"))
         return found.filter((F.col("place") >= skip) & (F.col("place") < skip + size)).drop("range_no", "range_place").orderBy("place")
@@ -60,23 +71,24 @@ class PagedTable:
 
     def after(self, spark: SparkSession, key: tuple, size: int) -> DataFrame:
         """The ``size`` rows behind a key, which are values of the order's columns."""
-        kinds = {f.name: f.dataType for f in spark.read.parquet(f"{self.folder}/rows").schema.fields}
+        kinds = {f.name: f.dataType for f in self._read(spark).schema.fields}
         names = [name.removeprefix("-") for name in self.order]
         given = spark.createDataFrame([tuple(key)], ", ".join(f"`{n}` {kinds[n].simpleString()}" for n in names)).select(_key(self.order).alias("key")).first()["key"]
         wanted = F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(given, self.directory(spark).schema["first_key"].dataType.fields, strict=True)])
-        before = self.directory(spark).filter(F.col("first_key") <= wanted).agg(F.max_by(F.struct("range_no", "range_first"), "first_key").alias("r"), F.max("range_no").alias("n")).first()
-        if before["n"] is None:
+        last = self.directory(spark).filter(F.col("first_key") <= wanted).agg(F.max(F.struct("range_no", "range_first")).alias("r")).first()["r"]
+        if last is None:
             return self.rows(spark, 0, size)
-        last = self.directory(spark).filter(F.col("range_no") == before["n"]).first()
-        passed = spark.read.parquet(f"{self.folder}/rows").filter(F.col("range_no") == before["n"]).filter(_key(self.order) <= wanted).count()
+        passed = self._read(spark).filter(F.col("range_no") == last["range_no"]).filter(_key(self.order) <= wanted).count()
         return self.rows(spark, last["range_first"] + passed, size)
 
 
 def write(table: DataFrame, folder: str, order: tuple[str, ...], parts: int | None = None) -> PagedTable:
     """Lays the table out in ranges of its order; ``parts`` of them, or as many as Spark shuffles into."""
-    in_ranges(table, _fields(order), parts).write.mode("overwrite").partitionBy("range_no").parquet(f"{folder}/rows")
-    schema = in_ranges(table.limit(0), _fields(order)).schema
-    rows = table.sparkSession.read.schema(schema).parquet(f"{folder}/rows")
-    keys = rows.groupBy("range_no").agg(F.min(_key(order)).alias("first_key"), F.max(_key(order)).alias("last_key"))
-    range_sizes(rows).join(keys, "range_no").write.mode("overwrite").parquet(f"{folder}/directory")
-    return PagedTable(folder, tuple(order))
+    spark, laid = table.sparkSession, in_ranges(table, _fields(order), parts)
+    laid.write.mode("overwrite").partitionBy("range_no").parquet(f"{folder}/rows")
+    about = {"order": list(order), "columns": ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in laid.schema.fields)}
+    spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/about")
+    out = PagedTable.at(spark, folder)
+    keys = out._read(spark).groupBy("range_no").agg(F.min(_key(order)).alias("first_key"), F.max(_key(order)).alias("last_key"))
+    range_sizes(out._read(spark)).join(keys, "range_no").write.mode("overwrite").parquet(f"{folder}/directory")
+    return out
