@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from termweave.functions import profiles as P
 from termweave.functions import text as T
-from termweave.operators import evaluate, graph, lexicon, search, segment, semantic, summarize, tfidf
+from termweave.operators import evaluate, graph, lexicon, paradigms, search, segment, semantic, summarize, tfidf
 from termweave.plans import text_catalogue as base
 from termweave.plans.graph_catalogue import CTE, orders_graph
 from termweave.sources import readers, scratch, writers
@@ -230,6 +230,25 @@ def lemma_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("doc_id", "lemma").agg(F.count("*").alias("n"))
 
 
+@query(rf"""with t as (select distinct unnest(regexp_extract_all(lower(coalesce(text, '')), '\p{{L}}+')) as token from conversations),
+lex as (select token, {LEMMA} as lemma, {POS} as pos from t),
+a as (select *, list_max(list_filter(range(0, least(length(token), length(lemma)) + 1), lambda n: token[1:n] = lemma[1:n])) as same from lex),
+w as (select token, pos, length(token) - same as cut, substr(lemma, same + 1) as put, least(length(token) - 2, 5) as most from a where same >= 2),
+c as (select case when n > 0 then right(token, n) else '' end as ending, cut, put, pos, count(*) as c from (select *, unnest(range(cut, most + 1)) as n from w where cut <= most) group by all having count(*) >= 2),
+r as (select * from (select *, row_number() over (partition by ending order by c desc, cut, put, pos nulls last) as place from c) where place = 1),
+u as (select distinct unnest(regexp_extract_all(lower(coalesce(text, '')), '\p{{L}}+')) as token from documents),
+e as (select token, n, case when n > 0 then right(token, n) else '' end as ending from (select token, unnest(range(0, greatest(least(length(token) - 2, 5), 0) + 1)) as n from u where token not in (select token from t))),
+g as (select token, arg_max((cut, put, pos), n) as rule from e join r using (ending) group by 1)
+select token, case when t.token is not null then lex.lemma when rule is null then u.token else substr(u.token, 1, (length(u.token) - rule[1])::int) || rule[2] end as lemma, case when t.token is not null then lex.pos else rule[3] end as pos, t.token is not null as known
+from u left join t using (token) left join lex using (token) left join g using (token)""")
+def guessed_lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words of the documents by a lexicon of the words of conversations, and by rules learned from it where it has none."""
+    words = lambda t: base.table(spark, sf_dir, t).select(F.explode(T.words(F.col("text"), "\\p{L}")).alias("token")).distinct()
+    known = scratch.stored(lexicon.lexicon_of(words("conversations"), analysed), "lexicon")
+    found = paradigms.completed(words("documents"), known)
+    return found.join(known.select("token", F.lit(True).alias("known")), "token", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
 RU_STOP = "(" + ", ".join(f"'{w}'" for w in P.RUSSIAN.stopwords) + ")"
 RU_LINE = " и ".join(P.RUSSIAN_STOPWORDS[10:40]) + " граф знаний модель " + " ".join(P.RUSSIAN_DOMAIN_STOPWORDS[:20]) + " онтология "
 

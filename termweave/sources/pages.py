@@ -65,6 +65,11 @@ class PagedTable:
         found = table.filter(F.col("range_no").isin(list(ranges))).withColumn("place", first + F.col("range_place"))
         return found.filter((F.col("place") >= skip) & (F.col("place") < skip + size)).drop("range_no", "range_place").orderBy("place")
 
+    def listing(self, spark: SparkSession) -> DataFrame:
+        """All rows with ``place``; the directory has a row a range and is broadcast."""
+        first = F.broadcast(self.directory(spark).select("range_no", "range_first"))
+        return self._read(spark).join(first, "range_no").withColumn("place", F.col("range_first") + F.col("range_place")).drop("range_no", "range_place", "range_first")
+
     def page(self, spark: SparkSession, number: int, size: int) -> DataFrame:
         """Page ``number``, from 1."""
         return self.rows(spark, (number - 1) * size, size)
