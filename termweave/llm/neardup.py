@@ -303,10 +303,11 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, least
     placed = stored(signed.join(labels, "node", "left").select("doc_id", "content", F.coalesce("label", "node").alias("class")), "placed")
     for old in (signed, labels, *links):
         dropped(old)
+    own = F.coalesce(F.col("doc_id"), F.lit(LAST))  # a row without doc_id stands for a class only if no other can
     # written, so that the join below is one of its own, whose large classes Spark can split
-    classes = stored(placed.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), F.min(F.struct("doc_id", "content")).alias("one")), "classes")
+    classes = stored(placed.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), F.min(F.struct(own.alias("id"), "content")).alias("one")), "classes")
     out = placed.filter("class is not null").join(classes, "class").select(
-        "doc_id", "content", "class_id", "class_size", (F.col("doc_id").eqNullSafe(F.col("one.doc_id")) & (F.col("content") == F.col("one.content"))).alias("keep"))
+        "doc_id", "content", "class_id", "class_size", ((own == F.col("one.id")) & (F.col("content") == F.col("one.content"))).alias("keep"))
     return out.union(placed.filter("class is null").select("doc_id", "content", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("keep")))
 
 

@@ -12,8 +12,8 @@ holds one block of candidates and one of queries at a time.
 Defined results: a vector that is null or holds a null or non-finite component,
 or has a null vec_id, takes no part; a shorter vector has zeros at its end;
 rows with the query's vec_id are its own and no candidates; repeated candidate
-rows count each; a vec_id queried by several rows is answered once, for the
-smallest vector; scores beyond a long are clipped; other columns don't matter,
+rows count each; every query row is answered, so a vec_id queried by several rows has
+the ranks 1 to k once for each of them; scores beyond a long are clipped; other columns don't matter,
 whatever their names; an empty table gives an empty result.
 """
 
@@ -121,7 +121,7 @@ def packed(vectors: DataFrame, size: int = BLOCK) -> tuple[DataFrame, int]:
 
 
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score of each query's k best candidates; both have vec_id and embedding."""
+    """query_id, rank, vec_id, score of each query row's k best candidates; both have vec_id and embedding."""
     bounded(candidates.sparkSession)
 
     def valid(df: DataFrame) -> DataFrame:
@@ -130,26 +130,27 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = K, block: int = BL
         return df.filter(F.col("vec_id").isNotNull() & e.isNotNull() & F.coalesce(fine, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("embedding"))
 
     blocks, n = packed(valid(candidates), block)
-    asking, _ = packed(valid(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), query_block)
-    mine = blocks.select(F.explode(F.sequence(F.col("block") * PARTS, F.col("block") * PARTS + PARTS - 1)).alias("slot"), F.lit(0).alias("asks"), "ids", "vectors")
+    asking, _ = packed(valid(queries), query_block)
+    mine = blocks.select(F.explode(F.sequence(F.col("block") * PARTS, F.col("block") * PARTS + PARTS - 1)).alias("slot"), F.lit(0).alias("asks"), F.col("block"), "ids", "vectors")
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(n, 1) - 1).cast("long")))
-    theirs = asking.select(every.alias("to"), F.col("block"), "ids", "vectors").select((F.col("to") * PARTS + F.col("block") % PARTS).alias("slot"), F.lit(1).alias("asks"), "ids", "vectors")
+    theirs = asking.select(every.alias("to"), F.col("block"), "ids", "vectors").select((F.col("to") * PARTS + F.col("block") % PARTS).alias("slot"), F.lit(1).alias("asks"), "block", "ids", "vectors")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slot, ids, vectors = None, None, None
         for batch in batches:
             for i in range(batch.num_rows):
-                own = batch.column(2)[i].values.to_numpy()
-                rows = integers(_dense(batch.column(3)[i].values))
+                own = batch.column(3)[i].values.to_numpy()
+                rows = integers(_dense(batch.column(4)[i].values))
                 if not batch.column(1)[i].as_py():
                     slot, ids, vectors = batch.column(0)[i].as_py(), own, rows
                 elif batch.column(0)[i].as_py() == slot:  # where there are no candidates, none are found
                     row, place, score = best_of_block(own, rows, ids, vectors, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(own[row]), pa.array(ids[place]), pa.array(score)], names=["query_id", "vec_id", "score"])
+                    number = batch.column(2)[i].as_py() * query_block + row
+                    yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(own[row]), pa.array(ids[place]), pa.array(score)], names=["query_row", "query_id", "vec_id", "score"])
 
     dealt = mine.union(theirs).repartitionByRange(max(n, 1) * PARTS, "slot").sortWithinPartitions("slot", "asks")
-    partial = dealt.mapInArrow(run, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    partial = dealt.mapInArrow(run, "query_row long, query_id long, vec_id long, score long")
+    best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return partial.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -165,14 +166,14 @@ def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP5_SQL = """
 with v as (
-  select vec_id, list_transform(embedding, lambda x: floor(64 * cast(x as double))) as e
+  select row_number() over () as row_no, vec_id, list_transform(embedding, lambda x: floor(64 * cast(x as double))) as e
   from embeddings
   where vec_id is not null and embedding is not null
     and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 scored as (
-  select q.vec_id as query_id, c.vec_id as vec_id, cast(list_inner_product(q.e, c.e) as bigint) as score
+  select q.row_no as row_no, q.vec_id as query_id, c.vec_id as vec_id, cast(list_inner_product(q.e, c.e) as bigint) as score
   from v q join v c on q.vec_id % 20 = 0 and c.vec_id <> q.vec_id)
 select query_id, cast(rank as integer) as rank, vec_id, score from (
-  select query_id, vec_id, score, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored)
+  select query_id, vec_id, score, row_number() over (partition by row_no order by score desc, vec_id) as rank from scored)
 where rank <= 20
 """

@@ -175,8 +175,7 @@ def test_topk_over_many_small_blocks(spark):
     queries = vectors.filter("vec_id % 20 = 0")
     found = lambda **sizes: sorted(map(tuple, topk.top_k(vectors, queries, 9, **sizes).collect()))
     want = []
-    for q in range(0, 120, 20):
-        mine = min(v for i, v in rows if i == q)
+    for q, mine in [(i, v) for i, v in rows if i % 20 == 0]:
         best = sorted((-int(sum(64 * a * 64 * b for a, b in zip(mine, v, strict=True))), i) for i, v in rows if i != q)[:9]
         want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert found(block=7, query_block=2) == found(block=1, query_block=1) == found() == sorted(want)
