@@ -16,7 +16,7 @@ from termweave.functions import text as T
 from termweave.operators import evaluate, graph, lexicon, paradigms, search, segment, semantic, summarize, tfidf
 from termweave.plans import text_catalogue as base
 from termweave.plans.graph_catalogue import CTE, orders_graph
-from termweave.sources import readers, scratch, writers
+from termweave.sources import markup, readers, scratch, writers
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -115,19 +115,41 @@ def layout_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 NAV = r"regexp_extract_all(html, '<li><a href=\"([^\"]*)\"', 1)"
 
 
+def _joined(links: DataFrame, pages: DataFrame) -> DataFrame:
+    """page_id, links of all pages in the order of their elements."""
+    lists = links.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("seq", "href"))).alias("l"))
+    return pages.select("page_id").join(lists, "page_id", "left").select("page_id", F.coalesce(F.array_join(F.col("l.href"), "|"), F.lit("")).alias("links"))
+
+
 @query(f"select page_id, array_to_string(list_filter({NAV}, lambda x: contains(x, 'on')), '|') as links from pages")
 def issue_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Navigation links set as issue pages set theirs, <p><strong><a>; those of one kind."""
     html = F.regexp_replace(F.regexp_replace("html", '<li><a href="', '<p><strong><a href="'), "</a></li>", "</a></strong></p>")
-    return base.table(spark, sf_dir, "pages").select("page_id", F.array_join(readers.issue_links(html, "on"), "|").alias("links"))
+    pages = base.table(spark, sf_dir, "pages").select("page_id", html.alias("html"))
+    return _joined(markup.issue_links(markup.elements(pages), "on"), pages)
 
 
 @query(f"select page_id, array_to_string(list_filter({NAV}, lambda x: contains(x, 'e')), '|') as links from pages")
 def archive_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Navigation links set as an archive sets its issues; those whose link holds an image."""
+    """Navigation links set as an archive sets its issues, in boxes that are never closed; those whose link holds an image."""
     box = '<div class="elementor-widget-container"><a href="$1">'
     html = F.regexp_replace(F.regexp_replace("html", '<li><a href="([^"]*e[^"]*)">', box + '<img src="i">'), '<li><a href="([^"]*)">', box)
-    return base.table(spark, sf_dir, "pages").select("page_id", F.array_join(readers.archive_links(html), "|").alias("links"))
+    pages = base.table(spark, sf_dir, "pages").select("page_id", html.alias("html"))
+    return _joined(markup.archive_links(markup.elements(pages)), pages)
+
+
+TAGS = r"regexp_extract_all(regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<(script|style)>.*?</(script|style)>', '<\1>', 'gs'), '<([a-zA-Z][a-zA-Z0-9]*)', 1)"
+
+
+@query(rf"""select page_id, 'html/body/nav/ul/li/a' as path, href, text, 1 as n from (select page_id, unnest(regexp_extract_all(html, '<li><a href="([^"]*)">', 1)) as href, unnest(regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a>', 1)) as text from pages)
+union all select page_id, tag, null, null, count(*)::int from (select page_id, unnest({TAGS}) as tag from pages) where tag <> 'a' group by 1, 2""")
+def page_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every link with its path, target and text, and how many elements of each other kind a page has."""
+    found = markup.elements(base.table(spark, sf_dir, "pages"))
+    links = found.filter("tag = 'a'").select("page_id", "path", F.col("attributes")["href"].alias("href"), "text", F.lit(1).alias("n"))
+    others = found.filter("tag <> 'a'").groupBy("page_id", F.col("tag").alias("path")).agg(F.count("*").cast("int").alias("n"))
+    none = F.lit(None).cast("string")
+    return links.unionByName(others.select("page_id", "path", none.alias("href"), none.alias("text"), "n"))
 
 
 @query("select string_split(url, '/')[-1] as name, max(page_id) as page_id, arg_max(url, page_id) as url from pages group by 1")
