@@ -6,6 +6,8 @@ there is one line only).
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -305,7 +307,38 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 class Stopped(RuntimeError):
-    """What stops a stream in a query that shows its restart."""
+    """What stops a stream or a run in a query that shows its restart."""
+
+
+GATED = TFIDF.replace("with tok as", r"""with ok as (select * from documents where length(text) >= 100 and length(regexp_replace(text, '[^\x{0400}-\x{04FF}a-zA-Z0-9 \t\n\r.,;:!?()\-"''/\[\]{}+=<>@#$%&*_~\\]', '', 'g')) / length(text) >= 0.75),
+tok as""").replace("from documents)", "from ok)").replace("n from documents", "n from ok")
+
+
+@query(GATED + ", e as (select term, doc_id from top where rank <= 10) select term, count(*) as documents, min(doc_id) as first from e group by 1")
+def staged_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readable documents, their keywords and the keywords' documents, in stages; the run is killed behind the second and goes on."""
+    from termweave.plans.stages import Runner, Stage
+
+    def keywords(tables: dict[str, DataFrame]) -> DataFrame:
+        docs = tables["corpus"]
+        tf = tfidf.term_counts(docs.select("doc_id", F.explode(T.words(F.col("text"))).alias("term")).filter(F.length("term") >= 2))
+        return tfidf.top_terms(tfidf.weights(tf, docs.select("doc_id")))
+
+    stages = [
+        Stage("corpus", ("documents",), lambda t: t["documents"].filter(T.is_readable(F.col("text"))).select("doc_id", "text")),
+        Stage("keywords", ("corpus",), keywords),
+        Stage("graph", ("keywords",), lambda t: t["keywords"].groupBy("term").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first"))),
+    ]
+    runner = Runner(spark, scratch.new_path(spark, "stages"), {"documents": f"{sf_dir}/documents.parquet"}, stages)
+
+    def kill(name: str) -> None:
+        if name == "keywords":
+            raise Stopped
+
+    with contextlib.suppress(Stopped):
+        runner.run(ended=kill)
+    runner.run()
+    return runner.result("graph")
 
 
 def _run_with_restart(start) -> None:
