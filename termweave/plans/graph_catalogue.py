@@ -6,12 +6,15 @@ flag is the method, its quantity the weight.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termweave.functions import text as T
 from termweave.operators import graph as G
 from termweave.operators import search as S
+from termweave.sources import layout, scratch
 
 
 def orders_graph(spark: SparkSession, sf_dir: str) -> G.Graph:
@@ -110,6 +113,14 @@ def edges_of_top_pairs(g: G.Graph) -> DataFrame:
     return left.join(right, ["d2", "keyword_id"], "left_semi").select("d1", "d2", "keyword_id", "method", "weight")
 
 
+@query("select d1, d2, paths, shared from p where paths >= 3")
+def bucketed_two_hops(g: G.Graph) -> DataFrame:
+    """Pairs by common keywords from a stored layout in which edges that meet lie together."""
+    spark = g.has_keyword.sparkSession
+    store = layout.write(g, f"hops_{uuid.uuid4().hex}", scratch.new_path(spark, "layout"), 8)
+    return store.two_hops().filter("paths >= 3")
+
+
 @query("select keyword_id, count(*) as cnt from e group by 1 order by 2 desc, 1 limit 10")
 def top_keywords_rows(g: G.Graph) -> DataFrame:
     return S.top_keywords(g)
