@@ -9,9 +9,10 @@ from termweave.functions import text as T
 from termweave.functions.sequences import with_common_subsequence
 
 
-def keyword_metrics(pairs: DataFrame, cuts: tuple[int, ...] = (5, 10)) -> DataFrame:
+def keyword_metrics(pairs: DataFrame, cuts: tuple[int, ...] = (5, 10), matches: tuple[str, ...] = ("exact", "soft")) -> DataFrame:
     """(doc_id, method, match, k, precision, recall, f1) from (doc_id, method, found, wanted) of normalised phrases."""
-    cases = [(m, k, fn(F.col("found"), F.col("wanted"), k)) for k in cuts for m, fn in (("exact", T.exact_metrics), ("soft", T.soft_metrics))]
+    by = {"exact": T.exact_metrics, "soft": T.soft_metrics}
+    cases = [(m, k, by[m](F.col("found"), F.col("wanted"), k)) for k in cuts for m in matches]
     each = F.explode(F.array(*[F.struct(F.lit(m).alias("match"), F.lit(k).alias("k"), x.alias("m")) for m, k, x in cases])).alias("x")
     return pairs.select("doc_id", "method", each).select("doc_id", "method", "x.match", "x.k", "x.m.precision", "x.m.recall", "x.m.f1")
 

@@ -78,9 +78,13 @@ def labelled(keywords: DataFrame) -> DataFrame:
     return keywords.select("*", *[F.array_contains("methods", m).alias(c) for c, m in (("author_kw", "author"), ("tfidf_kw", "tfidf"), ("keybert_kw", "keybert"))])
 
 
-def upserted(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Rows by key, the new ones winning."""
-    return old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
+def upserted(old: DataFrame, new: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """Rows by key, the new ones winning; of new rows of one key the last by ``order`` (a column of new) and then the greatest."""
+    columns = [c for c in new.columns if c != order]
+    rest = [c for c in columns if c != key]
+    last = F.max(F.struct(*[F.col(f"`{c}`") for c in ([order] if order else [])], *[F.col(f"`{c}`") for c in rest]))
+    one = new.groupBy(key).agg(last.alias("_last")).select(key, *[F.col(f"_last.`{c}`").alias(c) for c in rest]) if rest or order else new.dropDuplicates([key])
+    return old.join(one.select(key), key, "left_anti").unionByName(one, allowMissingColumns=True)
 
 
 def with_endpoints(edges: DataFrame, documents: DataFrame, keywords: DataFrame) -> DataFrame:

@@ -40,6 +40,16 @@ class Page:
         return [*before, *range(low, high + 1), *after]
 
 
+def window_column(number: Column, pages: Column, most: int = 7) -> Column:
+    """``Page.window`` of columns: an array of page numbers, null for a gap."""
+    low = F.least(F.greatest(F.lit(1), number - most // 2), F.greatest(F.lit(1), pages - most + 1))
+    high = F.least(pages, low + most - 1)
+    gap, none = F.array(F.lit(None).cast("int")), F.array().cast("array<int>")
+    before = F.when(low > 2, F.concat(F.array(F.lit(1)), gap)).when(low > 1, F.array(F.lit(1))).otherwise(none)
+    after = F.when(high < pages - 1, F.concat(gap, F.array(pages))).when(high < pages, F.array(pages)).otherwise(none)
+    return F.when(pages <= 1, none).otherwise(F.concat(before, F.sequence(low, high), after))
+
+
 def has(column: str, query: str) -> Column:
     return F.lower(F.col(column)).contains(query.lower())
 

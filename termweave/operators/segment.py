@@ -124,6 +124,7 @@ def segmented(texts: DataFrame, language_gate: bool = True) -> DataFrame:
         keywords=F.when(k == "D", F.array().cast("array<string>")).otherwise(T.keyword_list(c("raw_keys"))), main_text=T.squeeze_spacing(c("raw_body")),
     )
     short = F.substring("title", 1, 50)
+    # The reasons' texts.
     reason = (
         F.when(c("n") == 0, F.lit("No text content found after filtering headers/footers"))
         .when(k.isin("C", "D") & (F.length("main_text") < 200), F.lit("Too little text content to extract anything useful"))

@@ -163,11 +163,16 @@ def first_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.first_by(base.table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", 15)
 
 
-@query("select 'pass=word' as password, '' as empty, 'env' as host")
+@query("""with l as (select doc_id, i, line from (select doc_id, unnest(l) as line, unnest(range(len(l))) as i from (select doc_id, string_split(text, chr(10)) as l from documents))),
+p as (select trim(string_split(line, '=')[1]) as key, trim(substr(line, instr(line, '=') + 1)) as value, doc_id, i from l where trim(line) <> '' and not starts_with(trim(line), '#') and contains(line, '=')),
+f as (select key, arg_min(value, (doc_id, i)) as value from p group by 1)
+select md5(key) as key, md5(value) as value from f union all select md5(source), md5(n::varchar) from (select source, count(*) as n from documents group by 1)""")
 def dotenv_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A settings file: comments and lines without '=' go, the first '=' splits, the environment wins."""
-    found = readers.settings("# a comment\n\nPASSWORD=pass=word\nnothing here\nEMPTY=\nHOST=file\n", {"HOST": "env"})
-    return spark.createDataFrame([(found["PASSWORD"], found["EMPTY"], found["HOST"])], "password string, empty string, host string")
+    """The lines of all documents as a settings file: comments and lines without '=' go, the first '=' splits, the first line of a key counts; beside them what is present."""
+    docs = base.table(spark, sf_dir, "documents")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    present = docs.groupBy(F.col("source").alias("key")).agg(F.count("*").cast("string").alias("value"))
+    return readers.settings_table(lines, ["doc_id", "i"], present).select(F.md5("key").alias("key"), F.md5("value").alias("value"))
 
 
 @query("""select coalesce(s.s_suppkey, c.c_custkey) as id, coalesce(s.s_name, c.c_name) as name from customer c full join supplier s on s.s_suppkey = c.c_custkey""")
@@ -556,11 +561,30 @@ def display_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spelled(search.paths(g, g.has_keyword, 100))
 
 
-@query("""with t as (select greatest(1, ceil(count(*) / 15.0))::int as n from documents), p as (select unnest(range(1, n + 1))::int as p, n from t), l as (select p, n, least(greatest(1, p - 3), greatest(1, n - 6)) as lo from p), h as (select *, least(n, lo + 6) as hi from l)
-select p as page, case when n = 1 then '' else case when lo > 1 then '1 ' else '' end || case when lo > 2 then '... ' else '' end || array_to_string(range(lo, hi + 1), ' ') || case when hi < n - 1 then ' ...' else '' end || case when hi < n then ' ' || n else '' end end as shown from h""")
+@query("""with t as (select lang, source, greatest(1, ceil(count(*) / 3.0))::int as n from documents group by 1, 2), p as (select lang, source, unnest(range(1, n + 1))::int as p, n from t),
+l as (select *, least(greatest(1, p - 3), greatest(1, n - 6)) as lo from p), h as (select *, least(n, lo + 6) as hi from l)
+select lang, source, p as page, case when n = 1 then '' else case when lo > 1 then '1 ' else '' end || case when lo > 2 then '... ' else '' end || array_to_string(range(lo, hi + 1), ' ') || case when hi < n - 1 then ' ...' else '' end || case when hi < n then ' ' || n else '' end end as shown from h""")
 def pager_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the pager offers on each page of all documents."""
-    total = base.table(spark, sf_dir, "documents").count()
-    pages = search.Page.of(1, 15).pages(total)
-    shown = [(p, " ".join("..." if x is None else str(x) for x in search.Page.of(p, 15).window(total))) for p in range(1, pages + 1)]
-    return spark.createDataFrame(shown, "page int, shown string")
+    """What the pager offers on each page of the documents of each language and source, three a page."""
+    counts = base.table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / 3)).cast("int").alias("pages"))
+    each = counts.withColumn("page", F.explode(F.sequence(F.lit(1), "pages")))
+    shown = F.transform(search.window_column(F.col("page"), F.col("pages")), lambda x: F.coalesce(x.cast("string"), F.lit("...")))
+    return each.select("lang", "source", "page", F.array_join(shown, " ").alias("shown"))
+
+
+
+AVERAGES = ", ".join(f"round(coalesce(avg({c}), 0), 6) as {c}" for c in ("precision", "recall", "f1"))
+
+
+@query("select mode, metric, " + AVERAGES + " from (select pair_id, mode, metric, precision, recall, case when precision + recall > 0 then 2 * precision * recall / (precision + recall) else 0 end as f1 from (" + " union all ".join(f(m, w) if n is None else f(n, m, w) for m, w in (("raw", RAW), ("lemmatized", LEMMAS)) for n, f in ((1, _scores), (2, _scores), (None, _longest))) + ")) group by mode, metric")
+def rouge_averages_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Macro averages of ROUGE-1, -2 and -L, of words and of lemmas."""
+    mean = evaluate.rouge_averages(raw_and_lemma_scores(spark, sf_dir), "mode", "metric")
+    return mean.select("mode", "metric", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query(base.PAIRS + "select 'tfidf' as method, k, match, round(avg(p), 6) as precision, round(avg(r), 6) as recall, round(avg(case when p + r > 0 then 2 * p * r / (p + r) else 0.0 end), 6) as f1 from m, (values ('exact'), ('soft')) v(match) group by k, match")
+def keyword_averages_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Macro averages of exact and of soft matches; single words match softly where they match exactly."""
+    mean = evaluate.keyword_averages(evaluate.keyword_metrics(base.term_pairs(spark, sf_dir)))
+    return mean.select("method", "k", "match", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])

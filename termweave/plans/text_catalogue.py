@@ -190,20 +190,20 @@ m as (select doc_id, kk as k, case when len(wanted) = 0 then 0.0 else len(list_f
 
 @query(PAIRS + "select doc_id, k, round(p, 9) as precision, round(r, 9) as recall, round(case when p + r > 0 then 2 * p * r / (p + r) else 0.0 end, 9) as f1 from m")
 def keyword_exact_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = evaluate.keyword_metrics(term_pairs(spark, sf_dir)).filter("match = 'exact'")
+    scored = evaluate.keyword_metrics(term_pairs(spark, sf_dir), matches=("exact",))
     return scored.select("doc_id", "k", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
 
 
 @query(PAIRS + "select doc_id, k, round(p, 9) as precision, round(r, 9) as recall from m")
 def keyword_soft_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Single words: soft and exact precision and recall agree."""
-    scored = evaluate.keyword_metrics(term_pairs(spark, sf_dir)).filter("match = 'soft'")
+    scored = evaluate.keyword_metrics(term_pairs(spark, sf_dir), matches=("soft",))
     return scored.select("doc_id", "k", *[F.round(c, 9).alias(c) for c in ("precision", "recall")])
 
 
 @query(PAIRS + "select 'tfidf' as method, k, round(avg(p), 6) as precision, round(avg(r), 6) as recall, round(avg(case when p + r > 0 then 2 * p * r / (p + r) else 0.0 end), 6) as f1 from m group by k")
 def keyword_macro_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mean = evaluate.keyword_averages(evaluate.keyword_metrics(term_pairs(spark, sf_dir)).filter("match = 'exact'"))
+    mean = evaluate.keyword_averages(evaluate.keyword_metrics(term_pairs(spark, sf_dir), matches=("exact",)))
     return mean.select("method", "k", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 

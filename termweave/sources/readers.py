@@ -99,3 +99,12 @@ def settings(text: str, present: dict[str, str]) -> dict[str, str]:
             key, value = line.split("=", 1)
             out.setdefault(key.strip(), value.strip())
     return out
+
+
+def settings_table(lines: DataFrame, order: list[str], present: DataFrame | None = None) -> DataFrame:
+    """(key, value) of lines (``line`` and the columns of its order) as ``settings`` reads them: the first line of a key counts, what is present (key, value) wins."""
+    text = F.trim("line")
+    kept = lines.filter((text != "") & ~text.startswith("#") & F.contains("line", F.lit("=")))
+    pairs = kept.select(F.trim(F.substring_index("line", "=", 1)).alias("key"), F.trim(F.expr("substring(line, instr(line, '=') + 1)")).alias("value"), F.struct(*order).alias("at"))
+    first = pairs.groupBy("key").agg(F.min_by("value", "at").alias("value"))
+    return first if present is None else first.join(present.select("key"), "key", "left_anti").unionByName(present.select("key", "value"))

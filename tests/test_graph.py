@@ -187,3 +187,25 @@ def test_scratch_folder(spark):
     assert table.count() == 3
     scratch.dropped(table)
     assert not spark._jvm.java.io.File(table._termweave_path.removeprefix("file://")).exists()
+
+
+def test_repeated_keys_in_a_batch(spark):
+    old = spark.createDataFrame([("a", 1), ("b", 2)], "id string, v int")
+    new = spark.createDataFrame([("b", 3, 2), ("b", 9, 1), ("c", 4, 1), ("c", 5, 1)], "id string, v int, seq int")
+    assert sorted(map(tuple, G.upserted(old, new, "id", "seq").collect())) == [("a", 1), ("b", 3), ("c", 5)]
+    assert sorted(map(tuple, G.upserted(old, new.drop("seq"), "id").collect())) == [("a", 1), ("b", 9), ("c", 5)]
+
+
+def test_pager_columns(spark):
+    rows = [(p, n) for n in (1, 2, 7, 8, 9, 30) for p in range(1, n + 1)]
+    table = spark.createDataFrame(rows, "p int, n int")
+    got = {(r.p, r.n): r.w for r in table.select("p", "n", S.window_column(F.col("p"), F.col("n")).alias("w")).collect()}
+    assert got == {(p, n): S.Page.of(p, 15).window(15 * n) for p, n in rows}
+
+
+def test_settings_table(spark):
+    lines = [" # c", "A=1=2", "", "B = 3 ", "bad", "A=9", "=x"]
+    table = spark.createDataFrame(list(enumerate(lines)), "i int, line string")
+    present = spark.createDataFrame([("B", "0"), ("C", "y")], "key string, value string")
+    got = {r.key: r.value for r in readers.settings_table(table, ["i"], present).collect()}
+    assert got == readers.settings("\n".join(lines), {"B": "0", "C": "y"}) == {"A": "1=2", "B": "0", "C": "y", "": "x"}
