@@ -17,6 +17,8 @@ def in_ranges(rows: DataFrame, order: list[Column], parts: int | None = None) ->
     """The rows sorted in ranges, with ``range_no`` and ``range_place``, from 0 within the range.
 
     Rows that are equal in the order may lie in two ranges, so a value that many share doesn't fill one.
+    Such rows should come from files or a table as it is written: what parts them is their place there,
+    which is the same when a task is run again.
     """
     keys = [c.alias(f"_key{i}") for i, c in enumerate([*order, F.monotonically_increasing_id()])]
     names = [f"_key{i}" for i in range(len(keys))]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from termweave.operators import toppairs
 from termweave.operators.graph import Graph, expanded
+from termweave.sources.gramindex import GramIndex, build
 
 
 @dataclass(frozen=True)
@@ -54,25 +55,53 @@ def has(column: str, query: str) -> Column:
     return F.lower(F.col(column)).contains(query.lower())
 
 
+@dataclass(frozen=True)
+class SearchIndex:
+    """Indexes of grams over the titles and annotations of documents and the names of keywords."""
+
+    titles: GramIndex
+    annotations: GramIndex
+    names: GramIndex
+
+    @classmethod
+    def of(cls, g: Graph, folder: str) -> SearchIndex:
+        """Writes the three indexes to a folder."""
+        text = lambda df, c: df.select("id", F.col(c).alias("text"))
+        return cls(build(text(g.documents, "title"), f"{folder}/titles"), build(text(g.documents, "annotation"), f"{folder}/annotations"), build(text(g.keywords, "name"), f"{folder}/names"))
+
+
+def _named(g: Graph, query: str, index: SearchIndex | None) -> DataFrame:
+    """The keywords whose name holds the query."""
+    return g.keywords.filter(has("name", query)) if index is None else g.keywords.join(index.names.ids(g.keywords.sparkSession, query), "id", "left_semi")
+
+
 def stats(g: Graph) -> DataFrame:
     one = lambda df, name: df.agg(F.count("*").alias(name))
     counts = one(g.documents, "documents").crossJoin(one(g.keywords, "keywords")).crossJoin(one(g.has_keyword, "edges"))
     return counts.withColumn("similar", F.lit(0).cast("long")) if g.similar is None else counts.crossJoin(one(g.similar, "similar"))
 
 
-def matching_documents(g: Graph, query: str = "") -> DataFrame:
-    """Documents whose title, annotation or some keyword's name holds the query; all for a blank one."""
+def matching_documents(g: Graph, query: str = "", index: SearchIndex | None = None) -> DataFrame:
+    """Documents whose title, annotation or some keyword's name holds the query; all for a blank one.
+
+    With an index only the buckets of the query's grams and the texts they leave are read; without one all are.
+    """
     query = query.strip().lower()
     if not query:
         return g.documents
-    named = g.has_keyword.join(g.keywords.filter(has("name", query)).select(F.col("id").alias("keyword_id")), "keyword_id", "left_semi").select(F.col("pub_id").alias("id")).distinct().withColumn("by_name", F.lit(True))
-    found = g.documents.join(named, "id", "left")
+    names = _named(g, query, index).select(F.col("id").alias("keyword_id"))
+    named = g.has_keyword.join(names, "keyword_id", "left_semi").select(F.col("pub_id").alias("id")).distinct()
+    if index is not None:
+        spark = g.documents.sparkSession
+        found = index.titles.ids(spark, query).union(index.annotations.ids(spark, query)).union(named).distinct()
+        return g.documents.join(found, "id", "left_semi")
+    found = g.documents.join(named.withColumn("by_name", F.lit(True)), "id", "left")
     return found.filter(has("title", query) | has("annotation", query) | F.col("by_name")).drop("by_name")
 
 
-def search_documents(g: Graph, query: str = "", page: Page = Page(1, 15)) -> DataFrame:
+def search_documents(g: Graph, query: str = "", page: Page = Page(1, 15), index: SearchIndex | None = None) -> DataFrame:
     """One page of matches by title, each with its keywords as an array of (name, method, weight)."""
-    rows = matching_documents(g, query).orderBy(F.asc_nulls_last("title"), "id").offset(page.skip).limit(page.size)
+    rows = matching_documents(g, query, index).orderBy(F.asc_nulls_last("title"), "id").offset(page.skip).limit(page.size)
     # the page is small and fixed in size: it is broadcast to the edges
     its = g.has_keyword.join(F.broadcast(rows.select(F.col("id").alias("pub_id"))), "pub_id").join(g.keywords.select(F.col("id").alias("keyword_id"), "name"), "keyword_id")
     nested = its.groupBy("pub_id").agg(F.array_sort(F.collect_list(F.struct("method", (-F.col("weight")).alias("low"), "name"))).alias("k"))
@@ -114,10 +143,10 @@ def similar_documents(g: Graph, pub_id, k: int = 10, names: bool = True) -> Data
     return top.join(g.documents.select(F.col("id").alias("pub_id"), "title"), "pub_id").withColumnRenamed("pub_id", "id")
 
 
-def keyword_facets(g: Graph, query: str = "", method: str = "all") -> DataFrame:
+def keyword_facets(g: Graph, query: str = "", method: str = "all", index: SearchIndex | None = None) -> DataFrame:
     """Keywords by the number of documents linked to them (by the method, if one is named)."""
     edges = g.has_keyword if method in ("", "all") else g.has_keyword.filter(F.col("method") == method)
-    names = g.keywords if not query.strip() else g.keywords.filter(has("name", query.strip()))
+    names = g.keywords if not query.strip() else _named(g, query.strip(), index)
     joined = edges.join(names.select(F.col("id").alias("keyword_id"), "name", "methods"), "keyword_id")
     return joined.groupBy(F.col("keyword_id").alias("id"), "name", "methods").agg(F.countDistinct("pub_id").alias("pub_count"))
 
@@ -171,12 +200,14 @@ def ego_network(g: Graph, pub_id) -> DataFrame:
     return near.unionByName(alone.join(near.select("pub_id").distinct(), "pub_id", "left_anti"))
 
 
-def combined_search(g: Graph, query: str, k: int = 5) -> DataFrame:
+def combined_search(g: Graph, query: str, k: int = 5, index: SearchIndex | None = None) -> DataFrame:
     """The first k documents by title and the k keywords of most documents, documents first; nothing for a query below two characters."""
     if len(query.strip()) < 2:
         query = "\u0000"
-    docs = g.documents.filter(has("title", query.strip())).select(F.lit("document").alias("kind"), F.col("id").cast("string").alias("id"), F.col("title").alias("label"), F.lit(0).cast("long").alias("n")).orderBy(F.asc_nulls_last("label"), "id").limit(k)
-    kws = facet_page(keyword_facets(g, query), Page(1, k)).select(F.lit("keyword").alias("kind"), F.col("id").cast("string").alias("id"), F.col("name").alias("label"), F.col("pub_count").alias("n"))
+    query = query.strip()
+    titled = g.documents.filter(has("title", query)) if index is None else g.documents.join(index.titles.ids(g.documents.sparkSession, query), "id", "left_semi")
+    docs = titled.select(F.lit("document").alias("kind"), F.col("id").cast("string").alias("id"), F.col("title").alias("label"), F.lit(0).cast("long").alias("n")).orderBy(F.asc_nulls_last("label"), "id").limit(k)
+    kws = facet_page(keyword_facets(g, query, index=index), Page(1, k)).select(F.lit("keyword").alias("kind"), F.col("id").cast("string").alias("id"), F.col("name").alias("label"), F.col("pub_count").alias("n"))
     return docs.unionByName(kws)
 
 

@@ -209,3 +209,13 @@ def test_settings_table(spark):
     present = spark.createDataFrame([("B", "0"), ("C", "y")], "key string, value string")
     got = {r.key: r.value for r in readers.settings_table(table, ["i"], present).collect()}
     assert got == readers.settings("\n".join(lines), {"B": "0", "C": "y"}) == {"A": "1=2", "B": "0", "C": "y", "": "x"}
+
+
+def test_search_by_index(spark, g, tmp_path):
+    index = S.SearchIndex.of(g, str(tmp_path))
+    ids = lambda df: sorted(r.id for r in df.collect())
+    for query in ("знаний", "ГРАФ", "gamma", "a", "ab", "graphs", "\nline", "zz", " "):
+        assert ids(S.matching_documents(g, query, index)) == ids(S.matching_documents(g, query))
+        assert ids(S.keyword_facets(g, query, index=index)) == ids(S.keyword_facets(g, query))
+        assert sorted(map(tuple, S.combined_search(g, query, index=index).collect())) == sorted(map(tuple, S.combined_search(g, query).collect()))
+    assert [r.id for r in S.search_documents(g, "знаний", index=index).collect()] == ["a.pdf", "b.pdf"]
