@@ -17,7 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from termweave.sources.scratch import stored
+
 LONGEST, STEM, LEAST = 5, 2, 2  # letters of an ending, letters that stay, rows that make a rule
+SHORT, FEW = 2, 50_000  # endings of so many letters are common to many words; so many rules of such are broadcast
 
 
 def _ending(word: Column, n: Column) -> Column:
@@ -39,11 +42,20 @@ def rules(lexicon: DataFrame, longest: int = LONGEST, stem: int = STEM, least: i
 
 
 def guessed(words: DataFrame, learned: DataFrame, longest: int = LONGEST, stem: int = STEM) -> DataFrame:
-    """(token, lemma, pos) of the distinct tokens by their longest ending that has a rule."""
+    """(token, lemma, pos) of the distinct tokens by their longest ending that has a rule.
+
+    Many words share a short ending, and there are few of those: unless there are too many, their rules are
+    broadcast, and only longer endings meet by a shuffle.
+    """
     distinct = words.filter("token is not null").select("token").distinct()
     most = F.greatest(F.least(F.length("token") - stem, F.lit(longest)), F.lit(0))
     ends = distinct.withColumn("n", F.explode(F.sequence(F.lit(0), most))).withColumn("ending", _ending(F.col("token"), F.col("n")))
-    found = ends.join(learned.drop("n"), "ending").groupBy("token").agg(F.max_by(F.struct("cut", "put", "pos"), "n").alias("rule"))
+    learned = learned.drop("n")
+    short = learned.filter(F.length("ending") <= SHORT)
+    if short.limit(FEW + 1).count() <= FEW:
+        short = F.broadcast(short)
+    met = ends.filter(F.col("n") <= SHORT).join(short, "ending").unionByName(ends.filter(F.col("n") > SHORT).join(learned.filter(F.length("ending") > SHORT), "ending"))
+    found = met.groupBy("token").agg(F.max_by(F.struct("cut", "put", "pos"), "n").alias("rule"))
     lemma = F.concat(F.expr("substring(token, 1, length(token) - rule.cut)"), F.col("rule.put"))
     return distinct.join(found, "token", "left").select("token", F.coalesce(lemma, "token").alias("lemma"), F.col("rule.pos").alias("pos"))
 
@@ -54,4 +66,4 @@ def completed(words: DataFrame, lexicon: DataFrame, longest: int = LONGEST, stem
     distinct = words.filter("token is not null").select("token").distinct()
     known = distinct.join(entries, "token").select("token", "own.lemma", "own.pos")
     unknown = distinct.join(entries, "token", "left_anti")
-    return known.unionByName(guessed(unknown, rules(lexicon, longest, stem, least), longest, stem))
+    return known.unionByName(guessed(unknown, stored(rules(lexicon, longest, stem, least), "rules"), longest, stem))
