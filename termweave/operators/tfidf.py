@@ -2,15 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from termweave.functions import text as T
+
 
 def term_counts(tokens: DataFrame) -> DataFrame:
     """(doc_id, term, tf) from (doc_id, term) occurrences."""
     return tokens.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
+def counted_terms(documents: DataFrame, words: Column) -> DataFrame:
+    """(doc_id, term, tf) of documents, a row a doc_id, whose ``words`` are an array: counted where the row lies, so that occurrences aren't shuffled.
+
+    The words are sorted; a term's count is the distance from its first place to the next term's.
+    """
+    sorted_ = T.held(documents, "doc_id", w=F.sort_array(words)).filter("size(w) > 0")
+    first = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: (i == 0) | (F.get("w", i) != F.get("w", i - 1)))
+    places = T.held(sorted_, "doc_id", "w", s=first)
+    each = F.transform("s", lambda i, j: F.struct(F.get("w", i).alias("term"), (F.coalesce(F.get("s", j + 1), F.size("w")) - i).cast("long").alias("tf")))
+    return places.select("doc_id", F.explode(each).alias("x")).select("doc_id", "x.term", "x.tf")
+
+
 def document_frequencies(tf: DataFrame) -> DataFrame:
     return tf.groupBy("term").agg(F.count("*").alias("df"))
 

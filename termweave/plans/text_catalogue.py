@@ -9,7 +9,7 @@ from __future__ import annotations
 import contextlib
 
 from pyspark.errors import StreamingQueryException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from termweave.functions import profiles as P
@@ -55,13 +55,17 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 PARTS = "parts as (select doc_id, string_split(text, chr(10))[1] as annotation, case when len(string_split(text, chr(10))) > 1 then array_to_string(string_split(text, chr(10))[2:], chr(10)) else text end as body from documents)"
 
 
+def long_enough(text: Column) -> Column:
+    return F.filter(T.words(text), lambda w: F.length(w) >= 2)
+
+
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(T.words(F.col("text"))).alias("term"))
 
 
 def weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tf = tfidf.term_counts(tokens(spark, sf_dir).filter(F.length("term") >= 2))
-    return tfidf.weights(tf, table(spark, sf_dir, "documents").select("doc_id"))
+    docs = table(spark, sf_dir, "documents")
+    return tfidf.weights(tfidf.counted_terms(docs, long_enough(F.col("text"))), docs.select("doc_id"))
 
 
 @query(r"""select doc_id, round(length(regexp_replace(text, '[^\x{0400}-\x{04FF}a-zA-Z0-9 \t\n\r.,;:!?()\-"''/\[\]{}+=<>@#$%&*_~\\]', '', 'g')) / greatest(length(text), 1), 9) as share,
@@ -321,8 +325,7 @@ def staged_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def keywords(tables: dict[str, DataFrame]) -> DataFrame:
         docs = tables["corpus"]
-        tf = tfidf.term_counts(docs.select("doc_id", F.explode(T.words(F.col("text"))).alias("term")).filter(F.length("term") >= 2))
-        return tfidf.top_terms(tfidf.weights(tf, docs.select("doc_id")))
+        return tfidf.top_terms(tfidf.weights(tfidf.counted_terms(docs, long_enough(F.col("text"))), docs.select("doc_id")))
 
     stages = [
         Stage("corpus", ("documents",), lambda t: t["documents"].filter(T.is_readable(F.col("text"))).select("doc_id", "text")),

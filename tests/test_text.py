@@ -157,3 +157,17 @@ def test_common_subsequence(a, b):
             new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
         row = new
     assert common_subsequence(a, b) == row[-1]
+
+
+def test_counted_terms(spark):
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from termweave.operators import tfidf
+
+    rows = [(1, ["b", "a", "b", "é", "b"]), (2, []), (3, None), (4, ["x"]), (5, ["a", "a"]), (None, ["n", "n"])]
+    docs = spark.createDataFrame(rows, "doc_id long, w array<string>").select("doc_id", F.col("w").alias("words"))
+    got = sorted(map(str, tfidf.counted_terms(docs, F.col("words")).collect()))
+    want = [(d, t, n) for d, w in rows for t, n in Counter(w or []).items()]
+    assert got == sorted(f"Row(doc_id={d}, term={t!r}, tf={n})" for d, t, n in want)
