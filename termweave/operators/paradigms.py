@@ -54,16 +54,19 @@ def guessed(words: DataFrame, learned: DataFrame, longest: int = LONGEST, stem:
     short = learned.filter(F.length("ending") <= SHORT)
     if short.limit(FEW + 1).count() <= FEW:
         short = F.broadcast(short)
-    met = ends.filter(F.col("n") <= SHORT).join(short, "ending").unionByName(ends.filter(F.col("n") > SHORT).join(learned.filter(F.length("ending") > SHORT), "ending"))
-    found = met.groupBy("token").agg(F.max_by(F.struct("cut", "put", "pos"), "n").alias("rule"))
+    side = lambda some, of, to: some.join(of, "ending").groupBy("token").agg(F.max_by(F.struct("cut", "put", "pos"), "n").alias(to))
+    by_long = side(ends.filter(F.col("n") > SHORT), learned.filter(F.length("ending") > SHORT), "by_long")
+    by_short = side(ends.filter(F.col("n") <= SHORT), short, "by_short")
+    found = distinct.join(by_long, "token", "left").join(by_short, "token", "left").select("token", F.coalesce("by_long", "by_short").alias("rule"))
     lemma = F.concat(F.expr("substring(token, 1, length(token) - rule.cut)"), F.col("rule.put"))
-    return distinct.join(found, "token", "left").select("token", F.coalesce(lemma, "token").alias("lemma"), F.col("rule.pos").alias("pos"))
+    return found.select("token", F.coalesce(lemma, "token").alias("lemma"), F.col("rule.pos").alias("pos"))
 
 
 def completed(words: DataFrame, lexicon: DataFrame, longest: int = LONGEST, stem: int = STEM, least: int = LEAST) -> DataFrame:
     """(token, lemma, pos) of the distinct tokens: the lexicon's entry, or else what its rules say."""
     entries = lexicon.filter("token is not null and lemma is not null").groupBy("token").agg(F.min(F.struct("lemma", F.col("pos").isNull().alias("none"), "pos")).alias("own"))
     distinct = words.filter("token is not null").select("token").distinct()
-    known = distinct.join(entries, "token").select("token", "own.lemma", "own.pos")
     unknown = distinct.join(entries, "token", "left_anti")
-    return known.unionByName(guessed(unknown, stored(rules(lexicon, longest, stem, least), "rules"), longest, stem))
+    learned = guessed(unknown, stored(rules(lexicon, longest, stem, least), "rules"), longest, stem).select("token", F.col("lemma").alias("other"), F.col("pos").alias("other_pos"))
+    both = distinct.join(entries, "token", "left").join(learned, "token", "left")
+    return both.select("token", F.coalesce("own.lemma", "other").alias("lemma"), F.when(F.col("own").isNotNull(), F.col("own.pos")).otherwise(F.col("other_pos")).alias("pos"))
