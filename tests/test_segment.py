@@ -60,3 +60,10 @@ def test_no_authors(spark, value):
 
     r = spark.createDataFrame([(value,)], "x string").select(S.authors_of(F.col("x")).alias("a"), S.title_of(F.col("x"), F.lit("a_b.pdf")).alias("t")).first()
     assert r.a == [] and r.t == "a b"
+
+
+def test_end_of_keywords_without_a_later_line(spark):
+    """Where no line ends 100 characters behind the heading, keywords end 200 behind it, as the feature has it, so nothing is left for the body."""
+    text = "+++ 1234 5678 +++\n\nAbstract: short\nKeywords: anea, eriner, thanea\n\nknowledge graphs link words knowledge graphs link words \nReferences\n[1] X"
+    r = cut(spark, text)
+    assert (r.template, r.main_text) == ("C", "")
