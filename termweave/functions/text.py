@@ -6,6 +6,7 @@ null text counts as an empty one.
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -27,8 +28,14 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def matching_chars(text: Column, char_class: str) -> Column:
-    """How many characters of text the class has."""
-    inverse = char_class.replace("[", "[^", 1)
+    """How many characters of text the class has.
+
+    The others go in runs, as a match costs more than a character, and ASCII letters and digits are
+    named one by one: the engine looks single characters up in a table, but tries range after range.
+    """
+    for span, single in (("a-z", string.ascii_lowercase), ("A-Z", string.ascii_uppercase), ("0-9", string.digits)):
+        char_class = char_class.replace(span, single)
+    inverse = char_class.replace("[", "[^", 1) + "+"
     return F.length(F.regexp_replace(some(text), inverse, ""))
 
 
@@ -51,11 +58,12 @@ def is_valid_title(title: Column) -> Column:
 
 def script_share(text: Column, script: str = "[\\x{0400}-\\x{04FF}]", other: str = "[a-zA-Z]") -> Column:
     mine, theirs = matching_chars(text, script), matching_chars(text, other)
-    return share(mine, mine + theirs)
+    return bound(F.array(mine, theirs), lambda n: share(n[0], n[0] + n[1]))
 
 
 def is_in_script(text: Column, threshold: float = 0.5, script: str = "[\\x{0400}-\\x{04FF}]", other: str = "[a-zA-Z]") -> Column:
-    return (matching_chars(text, script) + matching_chars(text, other) > 0) & (script_share(text, script, other) >= threshold)
+    both = F.array(matching_chars(text, script), matching_chars(text, other))
+    return bound(both, lambda n: (n[0] + n[1] > 0) & (share(n[0], n[0] + n[1]) >= threshold))
 
 
 def join_hyphens(text: Column) -> Column:
@@ -71,7 +79,8 @@ def join_hyphens(text: Column) -> Column:
     for before, after, prefixes in ((ru, f"{ru}+(?!{word})", P.RUSSIAN_HYPHEN_PREFIXES), (word, f"{word}+", P.ENGLISH_HYPHEN_PREFIXES)):
         t = F.regexp_replace(t, f"(?iuU){left}({'|'.join(prefixes)}){gap}({after})", f"$1{mark}$2")
     t = F.regexp_replace(t, f"(?U){left}({word}+){gap}({word}+)", "$1$2")
-    return F.replace(t, F.lit(mark), F.lit("-"))
+    broken = some(text).rlike(f"(?U){gap}")  # few texts are, and only they need the patterns
+    return F.replace(F.when(broken, t).otherwise(some(text)), F.lit(mark), F.lit("-"))
 
 
 def squeeze_spacing(text: Column) -> Column:

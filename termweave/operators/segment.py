@@ -29,12 +29,12 @@ def _lines(block: Column) -> Column:
 
 
 def title_of(block: Column, filename: Column) -> Column:
-    good = F.filter(_lines(block), lambda x: ~T.noisy(F.lower(x), P.TITLE_NOISE) & (F.length(x) >= 10))
+    good = F.filter(_lines(block), lambda x: (F.length(x) >= 10) & ~T.bound(F.lower(x), lambda y: T.noisy(y, P.TITLE_NOISE)))
     return F.coalesce(F.get(good, F.lit(0)), T.stem_of(filename))
 
 
 def authors_of(block: Column) -> Column:
-    lines = F.filter(_lines(block), lambda x: ~T.noisy(F.lower(x), P.AUTHOR_NOISE) & x.rlike(f"(?U){INITIALS}") & (F.length(x) <= 200))
+    lines = F.filter(_lines(block), lambda x: (F.length(x) <= 200) & x.rlike(f"(?U){INITIALS}") & ~T.bound(F.lower(x), lambda y: T.noisy(y, P.AUTHOR_NOISE)))
     clean = F.transform(lines, lambda x: T.strip(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, "[¹²³⁴⁵⁶⁷⁸⁹⁰]+", ""), "(?U)\\d+(?=[А-ЯЁA-Z])", ""), "(?U)\\s+", " ")))
     parts = F.transform(F.flatten(F.transform(clean, lambda x: F.split(x, "(?U)\\s*,\\s*"))), T.strip)
     named = F.filter(parts, lambda p: p.rlike(f"(?U){INITIALS}") & (F.length(p) > 3))
@@ -133,7 +133,7 @@ def segmented(texts: DataFrame, language_gate: bool = True) -> DataFrame:
     )
     if language_gate:
         reason = reason.when(~T.is_in_script(c("main_text")), F.concat(F.lit("Non-Russian article: "), short))
-    out = out.withColumn("reason", reason)
+    out = T.held(out, *out.columns, reason=reason)
     status = F.when(c("reason").isNull(), "ok").when(c("n") == 0, "error").otherwise("skipped")
     return out.withColumn("status", status).drop("n")
 

@@ -67,3 +67,28 @@ def test_end_of_keywords_without_a_later_line(spark):
     text = "+++ 1234 5678 +++\n\nAbstract: short\nKeywords: anea, eriner, thanea\n\nknowledge graphs link words knowledge graphs link words \nReferences\n[1] X"
     r = cut(spark, text)
     assert (r.template, r.main_text) == ("C", "")
+
+def test_chars_are_counted_by_runs(spark):
+    """The same counts as by single characters, with few matches."""
+    from pyspark.sql import functions as F
+
+    from termweave.functions import text as T
+
+    rows = [("",), (None,), ("Слово word 12",), ("☃☃a☃ß\u0001b-\\]^",), ("абв\nabc\tёЁ",)]
+    want = lambda x, ok: sum(ok(c) for c in x or "")
+    readable = lambda c: 0x400 <= ord(c) <= 0x4FF or c.isascii() and (c.isalnum() or c in " \t\n\r.,;:!?()-\"'/[]{}+=<>@#$%&*_~\\")
+    latin = lambda c: c.isascii() and c.isalpha()
+    got = spark.createDataFrame(rows, "x string").select("x", T.matching_chars(F.col("x"), T.READABLE).alias("r"), T.matching_chars(F.col("x"), "[a-zA-Z]").alias("l")).collect()
+    assert [(r.r, r.l) for r in got] == [(want(x, readable), want(x, latin)) for (x,) in rows]
+    plan = spark.range(1).select(T.matching_chars(F.lit("x"), "[a-z]"))._jdf.queryExecution().logical().toString()
+    assert "[^abcdefghijklmnopqrstuvwxyz]+" in plan
+
+
+def test_hyphens_only_where_lines_are_broken(spark):
+    from pyspark.sql import functions as F
+
+    from termweave.functions import text as T
+
+    rows = [("кни-\nга про multi-\nagent",), ("a-b c\u0001d",), (None,)]
+    got = [r[0] for r in spark.createDataFrame(rows, "x string").select(T.join_hyphens(F.col("x"))).collect()]
+    assert got == ["книга про multi-agent", "a-b c-d", ""]
