@@ -32,6 +32,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +45,7 @@ KEEP = 0.5
 LANGS, SOURCES = 32, 128  # hash buckets
 CHUNK = 1 << 20
 GROUPS = 32  # of words, by hash
+FAN = 32  # tasks whose sums are added at once
 FEATURES = 30 + GROUPS
 
 _KIND = np.zeros(256, np.int8)  # 1 lower 2 upper 3 digit 4 space 5 sentence mark 6 symbol
@@ -249,6 +251,25 @@ def _unflat(row: np.ndarray, sizes: tuple[int, int]) -> list:
     return out
 
 
+PACKED = "task int, place binary, x binary"  # a row a task, however many sums it has
+
+
+def _packed(task: int, total: np.ndarray) -> pa.RecordBatch:
+    some = np.flatnonzero(total)
+    return pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([some.astype(np.int32).tobytes()], pa.binary()), pa.array([total[some].tobytes()], pa.binary())], names=["task", "place", "x"])
+
+
+def _total(rows: pa.Table, size: int) -> np.ndarray:
+    total = np.zeros(size)
+    for place, x in sorted(zip(*(rows.column(c).to_pylist() for c in ("place", "x")), strict=True)):  # in one order, as sums of floats depend on it
+        total[np.frombuffer(place, np.int32)] += np.frombuffer(x)
+    return total
+
+
+def _added(rows: pa.Table, size: int) -> pa.Table:
+    return pa.Table.from_batches([_packed(rows.column("task")[0].as_py(), _total(rows, size))])
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> CoTrained:
     spark = bounded(docs.sparkSession)
     known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.min("quality") > 0).cast("int").alias("quality"))
@@ -259,6 +280,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     order = np.random.default_rng(5).permutation(got.num_rows)
     text, meta = (x[order] for x in _features(got))
     sizes = (text.shape[1] + 1, meta.shape[1] + 1)
+    size = sum(2 * (1 + d + d * (d + 1) // 2) for d in sizes)
     unlabelled = rows.filter("quality is null").select(*columns)
 
     def pool(model: CoTrained) -> list:
@@ -270,13 +292,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
                 if batch.num_rows:
                     total = total + _flat(held.value.pool_sums(*_features(batch)))
             if np.ndim(total):
-                some = np.flatnonzero(total)
-                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["place", "x"])
+                yield _packed(TaskContext.get().partitionId(), total)
+
+        def added(rows: pa.Table) -> pa.Table:
+            return _added(rows, size)
 
-        sums = unlabelled.mapInArrow(run, "place int, x double").groupBy("place").agg(F.sum("x").alias("x")).toArrow()
+        sums = unlabelled.mapInArrow(run, PACKED)
+        for _ in range(2):  # FAN tasks at once, so that few sums reach the driver
+            sums = sums.withColumn("task", F.floor(F.col("task") / FAN).cast("int")).groupBy("task").applyInArrow(added, PACKED)
+        row = _total(sums.toArrow(), size)
         held.destroy()
-        row = np.zeros(sum(2 * (1 + d + d * (d + 1) // 2) for d in sizes))
-        row[sums.column("place").to_numpy()] = sums.column("x").to_numpy()
         return _unflat(row, sizes)
 
     model = CoTrained().learn(text, meta, got.column("quality").to_numpy().astype(float)[order], pool)

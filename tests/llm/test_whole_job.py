@@ -186,3 +186,18 @@ def test_items_in_capitals_of_any_script(spark):
     docs = [(10 * k, " ".join(["vorher noch worte", t.upper(), "und danach mehr worte"])) for k, t in items] + [(5, "ganz anderer text ohne treffer " * 5)]
     got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert {(r.doc_id, r.item_id, r.lcs) for r in got.collect()} == {(10, 1, 1.0), (20, 2, 1.0)}
+
+
+def test_quality_sums_are_a_row_a_task(spark):
+    """What tasks send doesn't grow with the sums they hold: packed rows add up to the sums themselves."""
+    import numpy as np
+    import pyarrow as pa
+
+    from termweave.llm import quality
+
+    rng = np.random.default_rng(1)
+    parts = [np.where(rng.random(500) < 0.2, rng.normal(size=500), 0.0) for _ in range(70)]
+    rows = pa.Table.from_batches([quality._packed(k, p) for k, p in enumerate(parts)])
+    assert rows.num_rows == 70 and np.allclose(quality._total(rows, 500), sum(parts))
+    added = quality._added(rows, size=500)
+    assert added.num_rows == 1 and np.allclose(quality._total(added, 500), sum(parts))
