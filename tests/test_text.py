@@ -171,3 +171,16 @@ def test_counted_terms(spark):
     got = sorted(map(str, tfidf.counted_terms(docs, F.col("words")).collect()))
     want = [(d, t, n) for d, w in rows for t, n in Counter(w or []).items()]
     assert got == sorted(f"Row(doc_id={d}, term={t!r}, tf={n})" for d, t, n in want)
+
+
+def test_batches_go_in_pieces():
+    """Of long arrays few rows are Python objects at once; no row is lost or cut."""
+    import pyarrow as pa
+
+    from termweave.functions.sequences import pieces
+
+    lists = [["a"] * n for n in (3, 0, 9, 1, 1, 30, 2)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(lists, pa.list_(pa.string()))], names=["i", "x"])
+    got = [p.column(0).to_pylist() for p in pieces(batch, (1,), 10)]
+    assert got == [[0, 1], [2, 3], [4], [5], [6, 7]] and sum(got, []) == list(range(8))
+    assert list(pieces(batch.slice(0, 0), (1,), 10)) == []
