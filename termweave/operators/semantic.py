@@ -6,11 +6,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termweave.functions import profiles as P
 from termweave.functions import text as T
+from termweave.functions.sequences import pieces, small_batches
 
 Embedder = Callable[[list[str]], np.ndarray]
 AT_ONCE = 20_000  # phrases embedded together
@@ -89,23 +91,19 @@ def ranked_phrases(docs: DataFrame, embed: Embedder | None = None, k: int = 25,
     """(doc_id, phrases): at most k phrases of each document, in order of choice."""
     embed = embed or hashed_ngram_embedder()
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            lists = [list(p) for p in part["phrases"]]
-            ends = np.cumsum([len(p) for p in lists])
-            found, at = [], 0
-            while at < len(lists):  # as many documents at once as have about AT_ONCE phrases
-                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, "right")))
-                docs, vectors = embed(part["text"].iloc[at:to].tolist()), embed([p for some in lists[at:to] for p in some])
-                lo = 0
-                for doc, phrases in zip(docs, lists[at:to], strict=True):
-                    picked = diverse(doc, vectors[lo : lo + len(phrases)], k, diversity) if phrases else []
-                    found.append([phrases[i] for i in picked])
-                    lo += len(phrases)
-                at = to
-            yield pd.DataFrame({"doc_id": part["doc_id"], "phrases": found})
-
-    return candidates(docs, profile, most).mapInPandas(run, "doc_id long, phrases array<string>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (part for whole in batches for part in pieces(whole, (2,), AT_ONCE)):
+            lists = [p or [] for p in part.column(2).to_pylist()]
+            docs, vectors = embed(part.column(1).to_pylist()), embed([p for some in lists for p in some])
+            found, lo = [], 0
+            for doc, phrases in zip(docs, lists, strict=True):
+                picked = diverse(doc, vectors[lo : lo + len(phrases)], k, diversity) if phrases else []
+                found.append([phrases[i] for i in picked])
+                lo += len(phrases)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.string()))], names=["doc_id", "phrases"])
+
+    small_batches(docs.sparkSession)
+    return candidates(docs, profile, most).mapInArrow(run, "doc_id long, phrases array<string>")
 
 
 def without_redundant(phrases: Column, most: int = 10) -> Column:
