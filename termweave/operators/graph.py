@@ -142,6 +142,22 @@ def similar_to(edges: DataFrame, threshold: float = 0.05) -> DataFrame:
     return both.select(F.least("d1", "d2").alias("source"), F.greatest("d1", "d2").alias("target"), "score")
 
 
+def similar_to_one(edges: DataFrame, pub_id, threshold: float = 0.05) -> DataFrame:
+    """The rows of similar_to that have the document at one of their ends, without the others.
+
+    Edges are counted by document, all of them and those to the document's keywords, so the work
+    grows with the edges, not with pairs.
+    """
+    known = edges.filter("pub_id is not null and keyword_id is not null").select("pub_id", "keyword_id").distinct()
+    one = F.col("pub_id") == F.lit(pub_id)
+    mine = known.filter(one).select("keyword_id", F.lit(1).alias("mine"))
+    sizes = known.join(mine, "keyword_id", "left").groupBy("pub_id").agg(F.count("*").alias("n"), F.count("mine").alias("shared"))
+    own = known.filter(one).agg(F.count("*").alias("own"))  # one row
+    scored = sizes.filter(~one & (F.col("shared") > 0)).crossJoin(F.broadcast(own)).withColumn("score", F.col("shared") / (F.col("n") + F.col("own") - F.col("shared")))
+    other = F.lit(pub_id).cast(edges.schema["pub_id"].dataType)
+    return scored.filter(F.col("score") >= threshold).select(F.least("pub_id", other).alias("source"), F.greatest("pub_id", other).alias("target"), "score")
+
+
 def link_counts(edges: DataFrame, threshold: float = 0.05) -> DataFrame:
     """A row a document: pub_id, class_id, class_size, and to how many other classes (links), of how many documents (linked), its class is similar.
 

@@ -444,7 +444,7 @@ join (select pub_id, count(distinct keyword_id) as n from e group by 1) a on a.p
 @query(CTE + SIMILAR + "select target as pub_id, score from z where source = 42 union all select source, score from z where target = 42")
 def similar_either_way(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents linked to one, whichever way the link points."""
-    linked = graph.similar_to(orders_graph(spark, sf_dir).has_keyword, 0.0)
+    linked = graph.similar_to_one(orders_graph(spark, sf_dir).has_keyword, 42, 0.0)
     return graph.similar_of(linked, 42).withColumn("score", F.round("score", 9))
 
 

@@ -219,3 +219,15 @@ def test_search_by_index(spark, g, tmp_path):
         assert ids(S.keyword_facets(g, query, index=index)) == ids(S.keyword_facets(g, query))
         assert sorted(map(tuple, S.combined_search(g, query, index=index).collect())) == sorted(map(tuple, S.combined_search(g, query).collect()))
     assert [r.id for r in S.search_documents(g, "знаний", index=index).collect()] == ["a.pdf", "b.pdf"]
+
+
+def test_links_of_one_document(spark):
+    """The same links as of all documents, found without the pairs of others."""
+    rows = [(1, "a"), (1, "b"), (1, "b"), (2, "b"), (2, "c"), (3, "c"), (4, "a"), (4, "b"), (5, None), (None, "a"), (0, "a")]
+    edges = spark.createDataFrame(rows, "pub_id long, keyword_id string")
+    from termweave.operators import graph
+
+    for one in (1, 3, 5, 9):
+        for least in (0.0, 0.4, 1.0):
+            want = graph.similar_to(edges, least).filter(f"source = {one} or target = {one}")
+            assert sorted(graph.similar_to_one(edges, one, least).collect()) == sorted(want.collect())
