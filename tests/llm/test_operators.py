@@ -249,6 +249,20 @@ def test_lm_scores_by_plain_loops(spark, docs, texts, monkeypatch):
     assert gained > 5
 
 
+def test_every_context_has_n_grams(spark):
+    """No place behind two tokens is left out, so texts that stand twice gain over those that stand once."""
+    import numpy as np
+
+    first = np.array([0, 1, 40, 300])
+    at, context, gram = lm.behind_two(np.arange(300, dtype=np.uint64), first)
+    assert at.tolist() == [*range(3, 40), *range(42, 300)] and len(set(context.tolist())) == len(set(gram.tolist())) == len(at)
+    train = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 10][:60]
+    text = lambda k: " ".join(f"w{(k * 7919 + j * j * 31 + j * k) % 251}" for j in range(12))
+    rows = [(i, text(k // 2 if k < 20 else k)) for k, i in enumerate(train)]
+    got = {r.doc_id: (r.score - r.base_score) / r.n_tokens for r in lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), rounds=1).collect()}
+    assert min(got[i] for i in train[:20]) > max(got[i] for i in train[20:])
+
+
 def test_toxicity(spark, docs, empty):
     labels = spark.createDataFrame([(k, int(k % 7 == 0)) for k in range(60)] + [(None, 1), (61, None)], "doc_id long, toxic int")
     got = toxicity.toxicity(docs, labels, max_train=40).collect()
