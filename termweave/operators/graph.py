@@ -132,11 +132,16 @@ def similar_classes(edges: DataFrame, threshold: float = 0.05) -> tuple[DataFram
 def similar_to(edges: DataFrame, threshold: float = 0.05) -> DataFrame:
     """(source, target, score): Jaccard similarity of the documents' keyword sets, at least the threshold.
 
-    Equal sets are compared once and written out as the pairs of documents they stand for.
+    Equal sets are compared once and written out as the pairs of documents they stand for.  A class
+    of one document is named by it, so a link of two such classes is ready where it is found and isn't moved.
     """
-    members, links = similar_classes(edges, threshold)
+    s = setjoin.classes(edges)
+    links = lambda copies: setjoin.linked_classes(s.sets, setjoin.Alike(threshold), copies=copies).withColumn("score", F.col("shared") / (F.col("n1") + F.col("n2") - F.col("shared")))
+    members = s.members.filter("class_size > 1")
     side = lambda n: members.select(F.col("class_id").alias(f"class{n}"), F.col("pub_id").alias(f"d{n}"))
-    others = links.join(side(1), "class1").join(side(2), "class2").select("d1", "d2", "score")
+    own = lambda n: F.coalesce(f"d{n}", f"class{n}").alias(f"d{n}")
+    several = links(True).join(side(1), "class1", "left").join(side(2), "class2", "left").select(own(1), own(2), "score")
+    others = links(False).select(F.col("class1").alias("d1"), F.col("class2").alias("d2"), "score").unionByName(several)
     equal = side(1).join(side(2), F.col("class1") == F.col("class2")).filter("d1 < d2").select("d1", "d2", F.lit(1.0).alias("score"))
     both = others.unionByName(equal) if threshold <= 1 else others
     return both.select(F.least("d1", "d2").alias("source"), F.greatest("d1", "d2").alias("target"), "score")

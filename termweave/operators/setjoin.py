@@ -130,6 +130,11 @@ class Rows:
         self.cross = i != j
         new = np.flatnonzero((self.token[1:] != self.token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
         self.cells = np.concatenate([[0], new, [len(self.token)]])
+        self.copies: bool | None = None
+
+    def meant(self, a: np.ndarray, b: np.ndarray):
+        """Whether pairs of rows are sought: all, or those with or without a class of several documents."""
+        return True if self.copies is None else ((self.size[a] > 1) | (self.size[b] > 1)) == self.copies
 
 
 def _few(rows: Rows, first: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -145,7 +150,7 @@ def _few(rows: Rows, first: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.
 
 def _compared(rows: Rows, a: np.ndarray, b: np.ndarray, rule, keys: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Of pairs of rows of one cell, the linked ones whose first common token is the cell's, and what they share."""
-    fine = rule.may(rows.n[a], rows.n[b]) & ~(rows.cross[a] & (rows.part[a] == rows.part[b]))
+    fine = rule.may(rows.n[a], rows.n[b]) & rows.meant(a, b) & ~(rows.cross[a] & (rows.part[a] == rows.part[b]))
     a, b = a[fine], b[fine]
     length = np.diff(rows.at)
     swap = length[a] > length[b]
@@ -191,7 +196,7 @@ def _many(rows: Rows, lo: int, hi: int, rule) -> tuple[np.ndarray, np.ndarray, n
         if end <= head:
             before += product
     n1, n2 = rows.n[left][:, None], rows.n[right][None]
-    fine = (before == 0) & (shared > 0) & rule.may(n1, n2)
+    fine = (before == 0) & (shared > 0) & rule.may(n1, n2) & rows.meant(left[:, None], right[None])
     if not rows.cross[lo]:
         fine &= np.triu(np.ones(fine.shape, bool), 1)
     x, y = np.nonzero(fine)
@@ -249,10 +254,14 @@ def _sorted(sets: DataFrame, rule, block: int) -> DataFrame:
     return dealt(sets, rule, block).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
 
 
-def linked_classes(sets: DataFrame, rule, block: int = BLOCK) -> DataFrame:
-    """(class1, class2, shared, n1, n2) of the links between classes, class1 < class2."""
+def linked_classes(sets: DataFrame, rule, block: int = BLOCK, copies: bool | None = None) -> DataFrame:
+    """(class1, class2, shared, n1, n2) of the links between classes, class1 < class2.
+
+    ``copies`` tells the links of which a class has several documents from those of two single ones.
+    """
 
     def answer(rows: Rows) -> Iterator[pa.RecordBatch]:
+        rows.copies = copies
         for a, b, shared in links_of(rows, rule):
             if len(a):
                 yield pa.RecordBatch.from_arrays([rows.ids.take(pa.array(a)), rows.ids.take(pa.array(b)), pa.array(shared), pa.array(rows.n[a]), pa.array(rows.n[b])], names=["a", "b", "shared", "na", "nb"])

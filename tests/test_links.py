@@ -229,3 +229,15 @@ def test_sessions_close_and_repeats_count_once(spark, tmp_path):
         ingest.into_table(ingest.sessions(ingest.event_stream(spark, str(tmp_path / "in"), 1)), found, str(tmp_path / "ck")).awaitTermination()
     got = sorted((r.user_id, (r.start - start).seconds // 60, r.n) for r in found.rows(spark).collect())
     assert got == [(1, 0, 2), (1, 55, 1), (1, 500, 1), (2, 5, 2), (2, 65, 1)]
+
+
+def test_links_of_single_documents_are_not_moved(spark):
+    """Links of two classes of one document each come out of the task that finds them: no join reads them."""
+    edges = spark.createDataFrame([(d, k) for d in range(30) for k in (d % 5, 5 + d % 3, 9 + d // 3)] + [(40 + d, k) for d in range(3) for k in (1, 6, 9)], "pub_id long, keyword_id long")
+    s = setjoin.classes(edges)
+    rule = setjoin.Alike(0.05)
+    for block in (3, 512):
+        every, with_copies, without = ({tuple(r) for r in setjoin.linked_classes(s.sets, rule, block, copies).collect()} for copies in (None, True, False))
+        assert with_copies and without and not with_copies & without and with_copies | without == every
+    sizes = {r.class_id: r.class_size for r in s.members.collect()}
+    assert all(sizes[r[0]] == sizes[r[1]] == 1 for r in without)
