@@ -161,11 +161,13 @@ def soft_metrics(found: Column, wanted: Column, k: int) -> Column:
     first = F.slice(found, 1, k)
 
     def mean_best(xs: Column, ys: Column) -> Column:
-        best = F.transform(xs, lambda x: F.array_max(F.transform(ys, lambda y: jaccard(blank_separated(x), blank_separated(y)))))
+        best = F.transform(xs, lambda x: F.array_max(F.transform(ys, lambda y: jaccard(x, y))))
         return share(F.aggregate(best, F.lit(0.0), lambda acc, v: acc + v), F.size(xs))
 
     ok = (F.size(first) > 0) & (F.size(wanted) > 0)
-    p, r = mean_best(first, wanted), mean_best(wanted, first)
+    split = lambda phrases: F.transform(phrases, blank_separated)  # noqa: E731  once, not for every pair
+    both = lambda use: bound(split(first), lambda a: bound(split(wanted), lambda b: use(a, b)))
+    p, r = both(mean_best), both(lambda a, b: mean_best(b, a))
     zero = F.lit(0.0)
     return F.struct(F.when(ok, p).otherwise(zero).alias("precision"), F.when(ok, r).otherwise(zero).alias("recall"), F.when(ok, f1(p, r)).otherwise(zero).alias("f1"))
 

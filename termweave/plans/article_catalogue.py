@@ -358,7 +358,7 @@ def rougeL(spark: SparkSession, sf_dir: str) -> DataFrame:
 select doc_id, array_to_string(list_reduce(k, lambda acc, e: case when len(acc) >= 10 or len(list_filter(acc, lambda x: contains(x, e[1]) or contains(e[1], x))) > 0 then acc else list_concat(acc, e) end, []::varchar[]), '|') as kept from t25""")
 def greedy_substring_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first ten of 25 terms of which none holds another, in order of weight."""
-    terms = tfidf.top_terms(base.weighted(spark, sf_dir), 25).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("k"))
+    terms = base.top_terms(spark, sf_dir, 25).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("k"))
     return terms.select("doc_id", F.array_join(semantic.without_redundant(F.transform("k", lambda x: x["term"])), "|").alias("kept"))
 
 
@@ -414,7 +414,7 @@ def built_graph(spark: SparkSession, sf_dir: str) -> graph.Graph:
     x = F.regexp_extract_all("annotation", F.lit("(\\p{L}+)"), F.lit(1))
     at = lambda i: F.coalesce(F.get(x, F.lit(i - 1)), F.lit(""))
     listed = base.parts(spark, sf_dir).select("doc_id", "annotation", F.array(F.lit(" "), F.concat(at(1), F.lit(" "), at(2), F.lit(".")), F.concat(F.upper(at(2)), F.lit(" "), at(1)), at(3)).alias("keywords"), F.array(at(4), at(5), at(6)).alias("keywords_keybert"))
-    terms = tfidf.top_terms(base.weighted(spark, sf_dir)).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("k")).select("doc_id", F.transform("k", lambda v: v["term"]).alias("keywords_tfidf"))
+    terms = base.top_terms(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("k")).select("doc_id", F.transform("k", lambda v: v["term"]).alias("keywords_tfidf"))
     rows = listed.join(terms, "doc_id", "left").select(F.col("doc_id").alias("filename"), F.col("annotation").alias("title"), F.array("annotation").alias("authors"), "annotation", "keywords", "keywords_tfidf", "keywords_keybert")
     return graph.build(rows, letters="\\p{L}")
 
@@ -507,7 +507,7 @@ from (select doc_id, to_json({{'title': annotation, 'keywords_tfidf': coalesce(t
 @query(ENRICHED)
 def enriched_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index with its keywords, as JSON text and back."""
-    terms = tfidf.top_terms(base.weighted(spark, sf_dir)).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("k"))
+    terms = base.top_terms(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("k"))
     rows = base.parts(spark, sf_dir).join(terms, "doc_id", "left").select("doc_id", F.struct(F.col("annotation").alias("title"), F.coalesce(F.transform("k", lambda v: v["term"]), F.array().cast("array<string>")).alias("keywords_tfidf")).alias("x"))
     back = F.from_json(F.to_json("x"), "title string, keywords_tfidf array<string>")
     return rows.select("doc_id", back.alias("y")).select("doc_id", "y.title", F.size("y.keywords_tfidf").alias("n"), F.array_join("y.keywords_tfidf", "|").alias("terms"))

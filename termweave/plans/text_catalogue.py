@@ -55,17 +55,12 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 PARTS = "parts as (select doc_id, string_split(text, chr(10))[1] as annotation, case when len(string_split(text, chr(10))) > 1 then array_to_string(string_split(text, chr(10))[2:], chr(10)) else text end as body from documents)"
 
 
-def long_enough(text: Column) -> Column:
-    return F.filter(T.words(text), lambda w: F.length(w) >= 2)
-
-
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(T.words(F.col("text"))).alias("term"))
 
 
-def weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return tfidf.weights(tfidf.counted_terms(docs, long_enough(F.col("text"))), docs.select("doc_id"))
+def top_terms(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
+    return tfidf.top_of_documents(table(spark, sf_dir, "documents"), F.col("text"), k)
 
 
 @query(r"""select doc_id, round(length(regexp_replace(text, '[^\x{0400}-\x{04FF}a-zA-Z0-9 \t\n\r.,;:!?()\-"''/\[\]{}+=<>@#$%&*_~\\]', '', 'g')) / greatest(length(text), 1), 9) as share,
@@ -107,12 +102,12 @@ def tokens_tf_df(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(TFIDF + "select doc_id, rank, term, round(weight, 6) as weight from top where rank <= 10")
 def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tfidf.top_terms(weighted(spark, sf_dir)).withColumn("weight", F.round("weight", 6))
+    return top_terms(spark, sf_dir).withColumn("weight", F.round("weight", 6))
 
 
 @query(TFIDF + rf", v as (select doc_id, term, weight, row_number() over (partition by doc_id order by rank) as r from top where rank <= 30 and length(term) >= 3 and regexp_matches(term, '^[\p{{L}}\-]+$') and term not in {STOP}) select doc_id, cast(r as int) as rank, term from v where r <= 10")
 def tfidf_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tfidf.keywords(weighted(spark, sf_dir), lexicon.is_valid_keyword).select("doc_id", "rank", "term")
+    return tfidf.first_valid(top_terms(spark, sf_dir, 30), lexicon.is_valid_keyword).select("doc_id", "rank", "term")
 
 
 @query(rf"select doc_id, count(*) as n from (select doc_id, unnest({WORDS}) as term from documents) where term not in {STOP} group by 1")
@@ -147,7 +142,7 @@ def sentence_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def summary_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = tfidf.top_terms(weighted(spark, sf_dir)).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("k"))
+    keys = top_terms(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("k"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return docs.join(keys, "doc_id", "left").select("doc_id", "text", F.coalesce(F.transform("k", lambda x: x["term"]), F.array().cast("array<string>")).alias("keywords"))
 
@@ -178,7 +173,7 @@ def hyphen_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def term_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, method, found (top terms), wanted (first eight longer words of the annotation)."""
-    top = tfidf.top_terms(weighted(spark, sf_dir)).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("k"))
+    top = top_terms(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("k"))
     long_words = F.filter(T.words(F.col("annotation"), "\\p{L}"), lambda w: F.length(w) >= 5)
     wanted = parts(spark, sf_dir).select("doc_id", F.slice(F.array_distinct(long_words), 1, 8).alias("wanted"))
     return wanted.join(top, "doc_id").select("doc_id", F.lit("tfidf").alias("method"), F.transform("k", lambda x: x["term"]).alias("found"), "wanted")
@@ -283,11 +278,10 @@ def semantic_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def terms_graph(spark: SparkSession, sf_dir: str) -> graph.Graph:
-    """Documents and their ten heaviest terms as a graph; its edges are written, as they are read several times."""
-    top = tfidf.top_terms(weighted(spark, sf_dir))
+    """Documents and their ten heaviest terms as a graph; its edges are read several times from the written terms."""
+    top = top_terms(spark, sf_dir)
     docs = parts(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("annotation").alias("title"), "annotation")
     edges = top.select(F.col("doc_id").alias("pub_id"), F.col("term").alias("keyword_id"), F.lit("tfidf").alias("method"), graph.edge_weight(F.lit("tfidf"), F.col("rank") - 1).alias("weight"))
-    edges = scratch.stored(edges, "edges")
     words = edges.select(F.col("keyword_id").alias("id")).distinct().select("id", T.upper_first(F.col("id")).alias("name"), F.array(F.lit("tfidf")).alias("methods"))
     return graph.Graph(docs, words, edges)
 
@@ -324,8 +318,7 @@ def staged_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     from termweave.plans.stages import Runner, Stage
 
     def keywords(tables: dict[str, DataFrame]) -> DataFrame:
-        docs = tables["corpus"]
-        return tfidf.top_terms(tfidf.weights(tfidf.counted_terms(docs, long_enough(F.col("text"))), docs.select("doc_id")))
+        return tfidf.top_of_documents(tables["corpus"], F.col("text"))
 
     stages = [
         Stage("corpus", ("documents",), lambda t: t["documents"].filter(T.is_readable(F.col("text"))).select("doc_id", "text")),

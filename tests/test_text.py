@@ -164,8 +164,6 @@ def test_counted_terms(spark):
 
     from pyspark.sql import functions as F
 
-    from termweave.operators import tfidf
-
     rows = [(1, ["b", "a", "b", "é", "b"]), (2, []), (3, None), (4, ["x"]), (5, ["a", "a"]), (None, ["n", "n"])]
     docs = spark.createDataFrame(rows, "doc_id long, w array<string>").select("doc_id", F.col("w").alias("words"))
     got = sorted(map(str, tfidf.counted_terms(docs, F.col("words")).collect()))
@@ -184,3 +182,19 @@ def test_batches_go_in_pieces():
     got = [p.column(0).to_pylist() for p in pieces(batch, (1,), 10)]
     assert got == [[0, 1], [2, 3], [4], [5], [6, 7]] and sum(got, []) == list(range(8))
     assert list(pieces(batch.slice(0, 0), (1,), 10)) == []
+
+
+def test_top_of_documents(spark):
+    """Counted in batches of any size, the same terms in the same order as by a row a document and term."""
+    import random
+
+    rng = random.Random(3)
+    words = ["straße", "ÉTÉ", "x", "a1", "граф", "Ωmega", "der", "die", "ab", "ba", "n²", "zz"]
+    texts = [None, "", " ", "x", "ab,ab ba", "x-y_z"] + [" ".join(rng.choice(words) for _ in range(rng.randrange(30))) + "." for _ in range(40)]
+    for rows in (texts, texts[:4], texts[4:5], texts[4:6], []):
+        docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+        pairs = tfidf.counted_terms(docs, F.filter(T.words(F.col("text")), lambda w: F.length(w) >= 2))
+        want = tfidf.top_terms(tfidf.weights(pairs, docs.select("doc_id")), 4)
+        for most in (1, 100, tfidf.BYTES):
+            got = tfidf.top_of_documents(docs, F.col("text"), 4, most=most)
+            assert got.dtypes == want.dtypes and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
