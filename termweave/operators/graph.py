@@ -121,6 +121,54 @@ def shared_terms(edges: DataFrame, ordered: bool = True, hub: int = HUB) -> Data
     return pairs.groupBy("d1", "d2").agg(F.sum(F.col("n1") * F.col("n2")).alias("paths"), F.count("*").alias("shared"))
 
 
+LONG = 48  # keywords of a document up to which all pairs of them are listed
+
+
+def _met(left: DataFrame, right: DataFrame, keys: list[str], hub: int) -> DataFrame:
+    """Rows of left and right with equal keys: their pub_id as d1 and d2, their n and m as n1, m1, n2, m2; hubs are split as above."""
+    parts = right.groupBy(*keys).agg(F.ceil(F.count("*") / hub).cast("int").alias("parts"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    part = F.pmod(F.xxhash64("pub_id"), F.col("parts")).cast("int")
+
+    def side(rows: DataFrame, i: int) -> DataFrame:
+        own, other = f"p{i}", f"p{3 - i}"
+        return rows.join(parts, keys).withColumn(own, part).select(*keys, own, every.alias(other), F.col("pub_id").alias(f"d{i}"), F.col("n").alias(f"n{i}"), F.col("m").alias(f"m{i}"))
+
+    return side(left, 1).join(side(right, 2), [*keys, "p1", "p2"])
+
+
+def pairs_sharing_two(one: DataFrame, hub: int = HUB, long: int = LONG) -> DataFrame:
+    """(d1, d2, paths, shared) of the pairs d1 < d2 of documents with two common keywords at least, from (pub_id, keyword_id, n).
+
+    Documents of few keywords meet in pairs of keywords, so those that share one keyword only make no rows.  A pair of
+    documents that shares s meets s * (s - 1) / 2 times, and each common keyword counts in s - 1 of them.  Pairs with a
+    document of more than ``long`` keywords meet in single keywords.
+    """
+    known = one.filter("pub_id is not null and keyword_id is not null")
+    lists = known.groupBy("pub_id").agg(F.array_sort(F.collect_list(F.struct(F.col("keyword_id").alias("k"), "n"))).alias("x"))
+    few = lists.filter(F.size("x") <= long).select("pub_id", F.posexplode("x").alias("i", "a"), "x")
+    twos = few.select("pub_id", "a", F.explode(F.slice("x", F.col("i") + 2, F.lit(long))).alias("b")).select("pub_id", F.col("a.k").alias("k1"), F.col("b.k").alias("k2"), F.col("a.n").alias("n"), F.col("b.n").alias("m"))
+    often = twos.groupBy("k1", "k2").agg(F.count("*").alias("c")).filter("c > 1").select("k1", "k2")
+    twos = twos.join(often, ["k1", "k2"])
+    met = _met(twos, twos, ["k1", "k2"], hub).filter("d1 < d2").groupBy("d1", "d2").agg(F.sum(F.col("n1") * F.col("n2") + F.col("m1") * F.col("m2")).alias("sum"), F.count("*").alias("c"))
+    shared = F.round((1 + F.sqrt(1 + 8 * F.col("c"))) / 2).cast("long")
+    short = met.withColumn("shared", shared).select("d1", "d2", (F.col("sum") / (F.col("shared") - 1)).cast("long").alias("paths"), "shared")
+    marked = lists.select("pub_id", F.explode("x").alias("y"), (F.size("x") > long).cast("int").alias("m")).select("pub_id", F.col("y.k").alias("keyword_id"), F.col("y.n").alias("n"), "m")
+    mixed = _met(marked.filter("m = 1"), marked, ["keyword_id"], hub).filter("d1 < d2 or (m2 = 0 and d1 <> d2)")
+    ends = [F.least("d1", "d2").alias("d1"), F.greatest("d1", "d2").alias("d2")]
+    with_long = mixed.groupBy(*ends).agg(F.sum(F.col("n1") * F.col("n2")).alias("paths"), F.count("*").alias("shared")).filter("shared > 1")
+    return short.unionByName(with_long)
+
+
+def pairs_of_paths(one: DataFrame, least: int, hub: int = HUB) -> DataFrame:
+    """The pairs of at least ``least`` paths, above 1: those that share two keywords, and those that share one by parallel edges."""
+    several = pairs_sharing_two(one, hub)
+    rows = one.filter("pub_id is not null and keyword_id is not null").withColumn("m", (F.col("n") > 1).cast("int"))
+    single = _met(rows.filter("m = 1"), rows, ["keyword_id"], hub).filter("d1 < d2 or (m2 = 0 and d1 <> d2)").filter(F.col("n1") * F.col("n2") >= least)
+    single = single.select(F.least("d1", "d2").alias("d1"), F.greatest("d1", "d2").alias("d2"), (F.col("n1") * F.col("n2")).alias("paths"), F.lit(1).cast("long").alias("shared"))
+    return several.filter(F.col("paths") >= least).unionByName(single.join(several.select("d1", "d2"), ["d1", "d2"], "left_anti"))
+
+
 def similar_classes(edges: DataFrame, threshold: float = 0.05) -> tuple[DataFrame, DataFrame]:
     """Members (pub_id, class_id, class_size) of the classes of equal keyword sets, and the links (class1, class2, score)
     of classes whose Jaccard similarity is at least the threshold, above 0."""

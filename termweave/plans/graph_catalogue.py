@@ -102,7 +102,7 @@ def top_pairs_shared(g: G.Graph) -> DataFrame:
 
 @query("select d1, d2, paths, shared from p where shared >= 2")
 def cooccur_pairs_ge2(g: G.Graph) -> DataFrame:
-    return G.shared_terms(g.has_keyword).filter("shared >= 2")
+    return G.pairs_sharing_two(g.has_keyword.groupBy("pub_id", "keyword_id").agg(F.count("*").alias("n")))
 
 
 @query("select t.d1, t.d2, e.keyword_id, e.method, e.weight from (select * from p where paths >= 2 order by paths desc, d1, d2 limit 10) t join e on e.pub_id = t.d1 where e.keyword_id in (select keyword_id from e x where x.pub_id = t.d2)")
@@ -117,8 +117,8 @@ def edges_of_top_pairs(g: G.Graph) -> DataFrame:
 def bucketed_two_hops(g: G.Graph) -> DataFrame:
     """Pairs by common keywords from a stored layout in which edges that meet lie together."""
     spark = g.has_keyword.sparkSession
-    store = layout.write(g, f"hops_{uuid.uuid4().hex}", scratch.new_path(spark, "layout"), 8)
-    return store.two_hops().filter("paths >= 3")
+    store = layout.write(g, f"hops_{uuid.uuid4().hex}", scratch.new_path(spark, "layout"))
+    return store.pairs_of_paths(3)
 
 
 @query("select keyword_id, count(*) as cnt from e group by 1 order by 2 desc, 1 limit 10")

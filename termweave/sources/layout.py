@@ -13,7 +13,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termweave.operators.graph import Graph
+from termweave.operators.graph import Graph, pairs_of_paths
+
+ROWS = 500_000  # edges of a bucket, about
 
 
 @dataclass(frozen=True)
@@ -39,6 +41,10 @@ class BucketedGraph:
         pairs = left.join(one.select("keyword_id", F.col("pub_id").alias("d2"), F.col("n").alias("n2")), "keyword_id").filter("d1 < d2")
         return pairs.groupBy("d1", "d2").agg(F.sum(F.col("n1") * F.col("n2")).alias("paths"), F.count("*").alias("shared"))
 
+    def pairs_of_paths(self, least: int) -> DataFrame:
+        """Those of at least ``least`` paths, above 1; a document's keywords are gathered where they lie."""
+        return pairs_of_paths(self.table("edges_by_document").groupBy("pub_id", "keyword_id").agg(F.count("*").alias("n")), least)
+
     def neighbours(self, documents: DataFrame) -> DataFrame:
         """(pub_id, other, shared): the documents that share keywords with each of a few (pub_id); only their edges are looked up by document."""
         mine = self.table("edges_by_document").join(documents.select("pub_id").distinct(), "pub_id", "left_semi").select("pub_id", "keyword_id").distinct()
@@ -50,8 +56,9 @@ class BucketedGraph:
             self.spark.sql(f"drop table if exists {self.name}_{part}")
 
 
-def write(g: Graph, name: str, folder: str, buckets: int = 200) -> BucketedGraph:
-    """Writes the tables to a folder and names them ``name_...``; ``buckets`` should be so many that one is a task's work."""
+def write(g: Graph, name: str, folder: str, buckets: int | None = None) -> BucketedGraph:
+    """Writes the tables to a folder and names them ``name_...``; ``buckets`` should be so many that one is a task's work, by default of about ``ROWS`` edges."""
+    buckets = buckets or max(8, -(-g.has_keyword.count() // ROWS))
     for part, table, key, then in (
         ("documents", g.documents, "id", ()), ("keywords", g.keywords, "id", ()),
         ("edges_by_keyword", g.has_keyword, "keyword_id", ("pub_id",)), ("edges_by_document", g.has_keyword, "pub_id", ("keyword_id",)),

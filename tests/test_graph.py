@@ -137,6 +137,21 @@ def test_hubs_are_split(spark):
     assert G.shared_terms(edges, ordered=False, hub=5).count() == 2 * len(want)
 
 
+def test_pairs_of_two_common_keywords(spark):
+    """The same pairs as by single keywords, with hubs, long documents, parallel edges and nulls."""
+    import random
+
+    rng = random.Random(5)
+    rows = [(rng.randrange(30), min(rng.randrange(60), rng.randrange(60))) for _ in range(300)] + [(50, k) for k in range(40)] + [(51, k) for k in range(20, 60)] + [(60, 99), (60, 99), (61, 99), (61, 99), (62, 99), (None, 1), (3, None)]
+    edges = spark.createDataFrame(rows, "pub_id long, keyword_id long")
+    one = edges.groupBy("pub_id", "keyword_id").agg(F.count("*").alias("n"))
+    every = {tuple(r) for r in G.shared_terms(edges).collect()}
+    for hub, long in ((3, 25), (2048, 48), (2048, 1)):
+        assert sorted(map(tuple, G.pairs_sharing_two(one, hub, long).collect())) == sorted(r for r in every if r[3] > 1)
+    for least in (2, 3, 4):
+        assert sorted(map(tuple, G.pairs_of_paths(one, least).collect())) == sorted(r for r in every if r[2] >= least)
+
+
 def test_dangling_edges_go(spark):
     edges = spark.createDataFrame([("a", "k", "x", 1.0), ("a", "k", "x", 1.0), ("a", "gone", "x", 1.0), ("gone", "k", "x", 1.0), (None, "k", "x", 1.0)], "pub_id string, keyword_id string, method string, weight double")
     docs, words = spark.createDataFrame([("a",), ("b",)], "id string"), spark.createDataFrame([("k",)], "id string")
