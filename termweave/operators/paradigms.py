@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from termweave.sources.scratch import stored
 
 LONGEST, STEM, LEAST = 5, 2, 2  # letters of an ending, letters that stay, rows that make a rule
-SHORT, FEW = 2, 50_000  # endings of so many letters are common to many words; so many rules of such are broadcast
+FEW = 50_000  # rules of endings of one length that are broadcast at most
 
 
 def _ending(word: Column, n: Column) -> Column:
@@ -41,32 +41,39 @@ def rules(lexicon: DataFrame, longest: int = LONGEST, stem: int = STEM, least: i
     return best.select("ending", "best.cut", "best.put", "best.pos", (-F.col("best.few")).alias("n"))
 
 
-def guessed(words: DataFrame, learned: DataFrame, longest: int = LONGEST, stem: int = STEM) -> DataFrame:
-    """(token, lemma, pos) of the distinct tokens by their longest ending that has a rule.
+def _ruled(rows: DataFrame, learned: DataFrame, longest: int, stem: int) -> tuple[DataFrame, Column]:
+    """The rows, each with a token, and the rule of its longest ending that has one.
 
-    Many words share a short ending, and there are few of those: unless there are too many, their rules are
-    broadcast, and only longer endings meet by a shuffle.
+    Each length of endings is a join that keeps every row where it is, unless it has too many rules to be
+    broadcast; so tokens are neither multiplied nor gathered again.
     """
-    distinct = words.filter("token is not null").select("token").distinct()
     most = F.greatest(F.least(F.length("token") - stem, F.lit(longest)), F.lit(0))
-    ends = distinct.withColumn("n", F.explode(F.sequence(F.lit(0), most))).withColumn("ending", _ending(F.col("token"), F.col("n")))
-    learned = learned.drop("n")
-    short = learned.filter(F.length("ending") <= SHORT)
-    if short.limit(FEW + 1).count() <= FEW:
-        short = F.broadcast(short)
-    side = lambda some, of, to: some.join(of, "ending").groupBy("token").agg(F.max_by(F.struct("cut", "put", "pos"), "n").alias(to))
-    by_long = side(ends.filter(F.col("n") > SHORT), learned.filter(F.length("ending") > SHORT), "by_long")
-    by_short = side(ends.filter(F.col("n") <= SHORT), short, "by_short")
-    found = distinct.join(by_long, "token", "left").join(by_short, "token", "left").select("token", F.coalesce("by_long", "by_short").alias("rule"))
-    lemma = F.concat(F.expr("substring(token, 1, length(token) - rule.cut)"), F.col("rule.put"))
-    return found.select("token", F.coalesce(lemma, "token").alias("lemma"), F.col("rule.pos").alias("pos"))
+    sizes = {r["n"]: r["rules"] for r in learned.groupBy(F.length("ending").alias("n")).agg(F.count("*").alias("rules")).collect()}  # a row a length
+    lengths = [n for n in range(longest, -1, -1) if n in sizes]
+    for n in lengths:
+        some = learned.filter(F.length("ending") == n).select(F.col("ending").alias(f"_end{n}"), F.struct("cut", "put", "pos").alias(f"_rule{n}"))
+        on = F.when(most >= n, _ending(F.col("token"), F.lit(n))) == F.col(f"_end{n}")
+        rows = rows.join(F.broadcast(some) if sizes[n] <= FEW else some, on, "left").drop(f"_end{n}")
+    return rows, F.coalesce(*[F.col(f"_rule{n}") for n in lengths]) if lengths else F.lit(None).cast("struct<cut: int, put: string, pos: string>")
+
+
+def _by_rule(rule: Column) -> tuple[Column, Column]:
+    """Lemma and part of speech of the token by its rule."""
+    lemma = F.concat(F.substring(F.col("token"), F.lit(1), F.length("token") - rule["cut"]), rule["put"])
+    return F.coalesce(lemma, "token"), rule["pos"]
+
+
+def guessed(words: DataFrame, learned: DataFrame, longest: int = LONGEST, stem: int = STEM) -> DataFrame:
+    """(token, lemma, pos) of the distinct tokens by their longest ending that has a rule."""
+    rows, rule = _ruled(words.filter("token is not null").select("token").distinct(), learned, longest, stem)
+    lemma, pos = _by_rule(rule)
+    return rows.select("token", lemma.alias("lemma"), pos.alias("pos"))
 
 
 def completed(words: DataFrame, lexicon: DataFrame, longest: int = LONGEST, stem: int = STEM, least: int = LEAST) -> DataFrame:
     """(token, lemma, pos) of the distinct tokens: the lexicon's entry, or else what its rules say."""
     entries = lexicon.filter("token is not null and lemma is not null").groupBy("token").agg(F.min(F.struct("lemma", F.col("pos").isNull().alias("none"), "pos")).alias("own"))
     distinct = words.filter("token is not null").select("token").distinct()
-    unknown = distinct.join(entries, "token", "left_anti")
-    learned = guessed(unknown, stored(rules(lexicon, longest, stem, least), "rules"), longest, stem).select("token", F.col("lemma").alias("other"), F.col("pos").alias("other_pos"))
-    both = distinct.join(entries, "token", "left").join(learned, "token", "left")
-    return both.select("token", F.coalesce("own.lemma", "other").alias("lemma"), F.when(F.col("own").isNotNull(), F.col("own.pos")).otherwise(F.col("other_pos")).alias("pos"))
+    rows, rule = _ruled(distinct.join(entries, "token", "left"), stored(rules(lexicon, longest, stem, least), "rules"), longest, stem)
+    lemma, pos = _by_rule(rule)
+    return rows.select("token", F.coalesce("own.lemma", lemma).alias("lemma"), F.when(F.col("own").isNotNull(), F.col("own.pos")).otherwise(pos).alias("pos"))

@@ -75,3 +75,16 @@ def test_held_out_words(spark):
 def test_nothing_learned(spark, rows):
     got = paradigms.completed(spark.createDataFrame([("dogs",)], "token string"), spark.createDataFrame(rows, ROW)).first()
     assert (got.lemma, got.pos) == ("dogs", None)
+
+
+def test_words_stay_where_they_lie(spark, monkeypatch):
+    """One row a word through all joins, by broadcast rules and by a shuffle alike."""
+    lexicon = spark.createDataFrame([(w + e, w, "NOUN") for w in ("table", "chair", "lamp", "door") for e in ("", "s", "sing")], "token string, lemma string, pos string")
+    words = spark.createDataFrame([(w,) for w in ("beds", "chairs", "walksing", "s", "", "ab", "beds", None)], "token string")
+    learned = paradigms.rules(lexicon)
+    plan = paradigms.guessed(words, learned)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan.split("Join")[0] and "max_by" not in plan
+    got = sorted(map(tuple, paradigms.completed(words, lexicon).collect()))
+    monkeypatch.setattr(paradigms, "FEW", 0)
+    assert got == sorted(map(tuple, paradigms.completed(words, lexicon).collect())) and len(got) == 6
+    assert ("beds", "bed", "NOUN") in got and ("walksing", "walk", "NOUN") in got
