@@ -416,7 +416,7 @@ def built_graph(spark: SparkSession, sf_dir: str) -> graph.Graph:
     listed = base.parts(spark, sf_dir).select("doc_id", "annotation", F.array(F.lit(" "), F.concat(at(1), F.lit(" "), at(2), F.lit(".")), F.concat(F.upper(at(2)), F.lit(" "), at(1)), at(3)).alias("keywords"), F.array(at(4), at(5), at(6)).alias("keywords_keybert"))
     terms = base.top_terms(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("k")).select("doc_id", F.transform("k", lambda v: v["term"]).alias("keywords_tfidf"))
     rows = listed.join(terms, "doc_id", "left").select(F.col("doc_id").alias("filename"), F.col("annotation").alias("title"), F.array("annotation").alias("authors"), "annotation", "keywords", "keywords_tfidf", "keywords_keybert")
-    return graph.build(rows, letters="\\p{L}")
+    return graph.build(scratch.stored(rows, "articles"), letters="\\p{L}")  # read once a list and a use
 
 
 @query(BUILT + "select doc_id as pub_id, keyword_id, method, case method when 'author' then 1.0 else 10 - least(idx, 9) end::double as weight from mention")
