@@ -263,6 +263,47 @@ def test_every_context_has_n_grams(spark):
     assert min(got[i] for i in train[:20]) > max(got[i] for i in train[20:])
 
 
+def test_lm_counts_take_less_disk_than_texts(spark):
+    """n-grams that stand once, 8 bytes of text each, take no rows and no hashes of their own."""
+    import os
+
+    import numpy as np
+
+    from termweave.sources import scratch
+
+    vocabulary = [f"w{k:06}" for k in range(2000)]
+    rows = [(i, " ".join(vocabulary[k] for k in x)) for i, x in enumerate(np.random.default_rng(5).integers(0, 2000, (400, 250)))]
+    root = scratch.shared_folder(spark).removeprefix("file://")
+    size = lambda: sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(root) for f in files)
+    before = size()
+    counts = lm.Counts(spark.createDataFrame(rows, "doc_id long, text string").repartition(2))
+    assert counts.words.count() == 2001
+    assert size() - before < sum(len(t) for _, t in rows)
+
+
+def test_lm_scores_in_many_buckets_and_passes(spark, docs, texts, monkeypatch):
+    """Buckets, passes and chunks leave counts and scores as they are, and a pass moves its buckets alone."""
+    import numpy as np
+
+    def found(rounds):
+        counts = lm.Counts(docs)
+        model = lm.Model().fit(docs, counts, rounds)
+        assert {r.bucket for r in lm.blocks(counts.chunks, counts.buckets, range(1)).select("bucket").collect()} == {0, -1}
+        words = sorted(map(tuple, counts.words.collect()))
+        return counts.buckets, words, model.discount, sorted((r.doc_id or 0, r.n_tokens, r.n_known, round(r.base_score, 6), r.score) for r in lm.scored(docs, counts, model).collect())
+
+    one = found(0)
+    size = sum(len((t or "").encode()) for _, t in texts)
+    monkeypatch.setattr(lm, "BUCKET", size // 5)
+    monkeypatch.setattr(lm, "CHUNK", 3000)
+    monkeypatch.setattr(lm, "PASSES", 3)
+    many = found(0)
+    assert one[0] == 1 < 4 < many[0] and one[1:3] == many[1:3] and len(one[3]) == len(many[3])
+    assert [x[:4] for x in one[3]] == [x[:4] for x in many[3]] and np.allclose([x[4] for x in one[3]], [x[4] for x in many[3]])
+    for n in (np.zeros(0, int), np.array([0, 254, 255, 256, 1, 1 << 40]), np.array([255])):
+        assert lm.unpacked(lm.packed(n), len(n)).tolist() == n.tolist()
+
+
 def test_toxicity(spark, docs, empty):
     labels = spark.createDataFrame([(k, int(k % 7 == 0)) for k in range(60)] + [(None, 1), (61, None)], "doc_id long, toxic int")
     got = toxicity.toxicity(docs, labels, max_train=40).collect()
