@@ -17,9 +17,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termweave.functions import text as T
-from termweave.sources.scratch import dropped, stored
+from termweave.functions.sequences import small_batches
+from termweave.sources.scratch import LARGE_ROWS, dropped, stored
 
-BYTES = 12 << 20  # of the texts that ask together
+BYTES = 4 << 20  # of the texts that ask together
 LETTERS = "\\p{L}\\p{N}"
 
 
@@ -122,7 +123,8 @@ def top_of_documents(documents: DataFrame, text: Column, k: int = 10, digits: in
 
     A row a doc_id; words are runs of letters and digits of the lower-case ``text``.
     """
-    made = stored(counted_batches(documents, text, least, most), "terms")
+    small_batches(documents.sparkSession)
+    made = stored(counted_batches(documents, text, least, most), "terms", **LARGE_ROWS)
     frequencies = made.select(F.inline(F.arrays_zip("term", "df"))).groupBy("term").agg(F.sum("df").alias("df"))
     n = made.agg(F.coalesce(F.sum(F.size("doc_id")), F.lit(0)).cast("long").alias("n"))
     known = _with_idf(frequencies, n, min_df, max_share).select("term", "idf")

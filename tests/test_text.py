@@ -198,3 +198,25 @@ def test_top_of_documents(spark):
         for most in (1, 100, tfidf.BYTES):
             got = tfidf.top_of_documents(docs, F.col("text"), 4, most=most)
             assert got.dtypes == want.dtypes and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_large_rows_of_the_tfidf_step(spark, monkeypatch):
+    """What documents ask with lies in small row groups: neither writing nor reading holds a task's whole part."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from termweave.operators import tfidf
+
+    found = []
+
+    def kept(df):
+        for f in glob.glob(df._termweave_path.removeprefix("file:") + "/*.parquet"):
+            meta = pq.ParquetFile(f).metadata
+            found.extend(meta.row_group(i).total_byte_size for i in range(meta.num_row_groups))
+
+    monkeypatch.setattr(tfidf, "dropped", kept)
+    words = F.transform(F.sequence(F.lit(0), F.lit(1_999)), lambda i: F.substring(F.sha1(((F.col("doc_id") * 2_000 + i) % 300_000).cast("string")), 1, 8))
+    docs = spark.range(0, 750, 1, 1).withColumnRenamed("id", "doc_id").select("doc_id", F.array_join(words, " ").alias("text"))
+    assert tfidf.top_of_documents(docs, F.col("text"), 2, most=1 << 20).count() == 1_500
+    assert sum(found) > 24_000_000 and max(found) < 22_000_000
