@@ -220,3 +220,16 @@ def test_large_rows_of_the_tfidf_step(spark, monkeypatch):
     docs = spark.range(0, 750, 1, 1).withColumnRenamed("id", "doc_id").select("doc_id", F.array_join(words, " ").alias("text"))
     assert tfidf.top_of_documents(docs, F.col("text"), 2, most=1 << 20).count() == 1_500
     assert sum(found) > 24_000_000 and max(found) < 22_000_000
+
+
+def test_summaries_of_long_texts_come_in_small_batches(spark):
+    """A batch's words are Python objects, so a worker gets a few megabytes at once; the summaries stay the same."""
+    from termweave.functions.sequences import BATCH_BYTES
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    sentence = "Alpha beta gamma delta epsilon zeta eta theta iota"
+    docs = spark.createDataFrame([(i, f"{sentence} {i}. " * 3 + f"Graph {sentence}.", ["graph"]) for i in range(3)], "doc_id long, text string, keywords array<string>")
+    made = summarize.summaries(docs)
+    assert int(spark.conf.get(key).rstrip("b")) <= BATCH_BYTES
+    assert {r.summary for r in made.collect()} and made.filter("summary like '%Graph Alpha%'").count() == 3
